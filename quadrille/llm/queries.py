@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontaminate, simhash
+from quadrille.llm import decontaminate, secrets, simhash, tokenfiles, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_secrets": secrets.op2_secrets,
         "op8_simhash": simhash.op8_simhash,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_tokens": tokenfiles.op10_tokens,
     }
 
 

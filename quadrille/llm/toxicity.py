@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import plus, texts_of, words_of
 
-#: At most so many labelled rows are learned from; which, a hash of doc_id decides.
-TRAIN_ROWS = 6000
+#: At most so many rows of each label are learned from; which, a hash of doc_id decides.
+ROWS_PER_LABEL = 3000
 #: log2 of the number of weights.
 BITS = 20
 _KEEP_WORDS = 300_000
@@ -63,12 +63,12 @@ def score(dense: np.ndarray, bias: float, features: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def fit(rows: list[tuple[bytes | None, int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.5, epochs: int = 4, bits: int = BITS, seed: int = 7) -> Model:
+def fit(rows: list[tuple[bytes | None, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 0.065, l2: float = 0.5, epochs: int = 4, bits: int = BITS, seed: int = 7) -> Model:
     """FTRL-proximal (McMahan et al.): per-coordinate rates alpha / (beta + sqrt(n)), L1 and L2. The bias has no L1.
 
-    Rows are (text, label); no rows, or only one label, give a model without features that scores the base rate.
+    l1 is times the root of the number of rows, as gradients of noise add up. Rows are (text, label); no rows, or only one label, give a model without features that scores the base rate.
     """
-    hasher = Hasher(bits)
+    hasher, l1 = Hasher(bits), l1 * len(rows) ** 0.5
     encoded = [(np.unique(hasher(t)).astype(np.int64), y) for t, y in rows]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     positive = sum(y for _, y in encoded)
@@ -90,8 +90,8 @@ def fit(rows: list[tuple[bytes | None, int]], alpha: float = 0.3, beta: float =
     return Model(bias, at.astype(np.uint32), w.astype(np.float32), bits)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model on at most train_rows labelled documents outside the held-out fifth.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = ROWS_PER_LABEL) -> Model:
+    """Fits a model on at most rows_per_label documents of each label outside the held-out fifth.
 
     Labels of a repeated id agree on their largest; null ids and labels teach nothing. The chosen ids, a bounded
     number, are broadcast; only their texts come to the driver.
@@ -99,12 +99,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != 0)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = known.select(id_col, "_label").orderBy(F.xxhash64(id_col), id_col).limit(train_rows).collect()
+    chosen = [r for y in (0, 1) for r in known.where(F.col("_label") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows_per_label).collect()]
     if not chosen:
         return fit([])
     ids = spark.createDataFrame(chosen, known.schema)
     found = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(F.col(text_col).cast("binary"), "_label", id_col)
-    rows = sorted(((r[2], r[0] or b"", r[1]) for r in found.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))[:train_rows]
+    rows = sorted(((r[2], r[0] or b"", r[1]) for r in found.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))[: 2 * rows_per_label]
     return fit([(t, y) for _, t, y in rows])
 
 
