@@ -61,13 +61,14 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(df: DataFrame, key: list[str], order: list[Column], salt: Column, per_bucket: int, out: str, rows: int) -> DataFrame:
+def numbered(df: DataFrame, key: list[str], order: list[Column], salt: Column, rows: int, out: str, per_bucket: int = 1000, most: int = 4096) -> DataFrame:
     """Adds `out`: a gapless number from 0 within each key, whatever the key's size.
 
-    Rows of a key are dealt to buckets by `salt` (a hash of the row), buckets are counted with map-side aggregation, and
-    a running sum over the small table of counts gives each bucket its base; only rows of one bucket meet in a task.
+    Rows of a key are dealt to buckets by `salt` (a hash of the row): about one for per_bucket of all `rows`, and `most`
+    at most, which keeps the table of counts small. Buckets are counted with map-side aggregation, a running sum over
+    the counts gives each bucket its base, and only rows of one bucket meet in a task.
     """
-    n = max(1, -(-rows // per_bucket))
+    n = min(max(1, -(-rows // per_bucket)), most)
     spread = df.withColumn("_bucket", F.pmod(salt, F.lit(n)).cast("int"))
     counts = spread.groupBy(*key, "_bucket").agg(F.count("*").alias("_n"))
     base = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontaminate, secrets, simhash, tokenfiles, toxicity
+from quadrille.llm import decontaminate, htmltext, packing, pii, secrets, sharding, simhash, tokenfiles, toxicity, vecdedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_secrets": secrets.op2_secrets,
+        "op3_sharding": sharding.op3_sharding,
+        "op4_embeddings": vecdedup.op4_embeddings,
+        "op5_pii": pii.op5_pii,
+        "op6_html": htmltext.op6_html,
+        "op7_packing": packing.op7_packing,
         "op8_simhash": simhash.op8_simhash,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_tokens": tokenfiles.op10_tokens,
@@ -20,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op4_embeddings": vecdedup.OP4_SQL}
