@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -20,7 +21,7 @@ from quadrille.llm.common import plus, shared_dir
 
 END_ID = 2
 #: Entries of each table of known units; those seen once only are not entered.
-KEEP = 300_000
+KEEP = 500_000
 _SEEN_BITS = 22
 #: White space other than the blank and the line feed.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -116,6 +117,12 @@ class Encoder:
         return ["".join(x) for x in out]
 
 
+@functools.cache
+def encoder_of(path: str, end_id: int = END_ID) -> Encoder:
+    """One for each worker process: what it has learned about units serves all tasks that the process runs."""
+    return Encoder(path, end_id)
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}" if not folder.startswith("file:") else "file://" + folder[5:])
 
@@ -132,7 +139,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
     spark.range(1).write.mode("ignore").parquet(f"{folder}/_made")  # the folder, by Spark's own file system
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (store, top) = Encoder(tokenizer_path, end_id), _open(folder)
+        encoder, (store, top) = encoder_of(tokenizer_path, end_id), _open(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         ids: list[np.ndarray] = []
         sizes: list[int] = []
