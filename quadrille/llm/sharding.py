@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quadrille.llm.common import discard, materialise, numbered
 
 SHARDS = 24
-ROUNDS = 5
+ROUNDS = 6
 
 
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,7 +18,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     Documents with equal texts are linked. Every document starts with the label that a hash of its id gives. Those of a
     group that share a label move as one; a group's part never exceeds a sixteenth of a shard, so a hot group is many.
     In each round a group's labels vote, weighted by rows; as many labels win as the group needs shards; parts with
-    another label want to move to a winner, and as many do as the winner's quota has room for, which a hash decides.
+    another label want to move to a winner (a group that fits one shard prefers shards that are not nearly full), and as many do as the winner's quota has room for, which a hash decides.
     Documents without a link have no pull: they keep their label unless linked ones need the room. At last each label's
     first rows, linked ones before others, fill its shard's quota, and what is over fills the gaps elsewhere.
 
@@ -39,15 +39,18 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     dealt = materialise(dealt.drop("_rows"), "dealt")
     state = materialise(dealt.where("_salt IS NOT NULL").groupBy("_group", "_salt").agg(F.count("*").alias("w")).withColumn("label", (F.col("_salt") % shards).cast("int")), "labels")
     for k in range(rounds):
+        load = {r[0]: r[1] for r in state.groupBy("label").agg(F.sum("w")).collect()}
+        full = F.array(*(F.lit(load.get(t, 0) >= 0.85 * quota) for t in range(shards)))
         votes = state.groupBy("_group", "label").agg(F.sum("w").alias("v"))
         of_group = Window.partitionBy("_group")
-        ranked = votes.withColumn("r", F.row_number().over(of_group.orderBy(F.desc("v"), F.xxhash64("_group", "label"))))
-        winners = materialise(ranked.withColumn("m", F.ceil(F.sum("v").over(of_group) * 10 / (9 * quota))).where("r <= m").select("_group", F.col("label").alias("to"), "r", F.least("m", F.lit(shards)).alias("m")), "winners")
+        needed = votes.withColumn("m", F.ceil(F.sum("v").over(of_group) * 10 / (9 * quota)))
+        order = of_group.orderBy((F.col("m") == 1) & full[F.col("label")], F.desc("v"), F.xxhash64("_group", "label"))
+        ranked = needed.withColumn("r", F.row_number().over(order)).where("r <= m")
+        winners = materialise(ranked.select("_group", F.col("label").alias("to"), "r", F.least("m", F.lit(shards)).alias("m")), "winners")
         stays = winners.select("_group", F.col("to").alias("label"), F.lit(True).alias("stays"))
         wants = state.join(stays, ["_group", "label"], "left").join(winners.select("_group", "m").distinct(), "_group")
         wants = wants.withColumn("r", (F.pmod(F.xxhash64("_group", "_salt", F.lit(k)), F.col("m")) + 1).cast("int")).drop("m").join(winners.drop("m"), ["_group", "r"], "left")
         wants = materialise(wants.withColumn("to", F.when(F.col("stays").isNull(), F.col("to"))).select("_group", "_salt", "w", "label", "to"), "wants")
-        load = {r[0]: r[1] for r in wants.groupBy("label").agg(F.sum("w")).collect()}
         asked = {r[0]: r[1] for r in wants.where("to IS NOT NULL").groupBy("to").agg(F.sum("w")).collect()}
         share = [min(1.0, max(0, quota - load.get(t, 0)) / asked[t]) if t in asked else 0.0 for t in range(shards)]
         drawn = F.pmod(F.xxhash64("_salt", "_group", F.lit(k + 1000)), F.lit(1 << 30)) / F.lit(float(1 << 30))
