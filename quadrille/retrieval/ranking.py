@@ -23,7 +23,8 @@ def ranked(scores: DataFrame, by: list[str], item: str, score: str = "score", k:
 
 def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """(doc, term, tf, dl): one row for each term of a document, aggregated before it is shuffled."""
-    words = docs.select(F.col(doc), F.explode(tokens).alias("term"), F.size(tokens).alias("dl"))
+    sized = docs.select(F.col(doc), tokens.alias("_t")).withColumn("dl", F.size("_t"))  # the length before the rows are multiplied
+    words = sized.select(doc, F.explode("_t").alias("term"), "dl")
     return words.groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
 
 
