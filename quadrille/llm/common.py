@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Rows that a Python worker is handed at a time.
+BATCH_ROWS = 1000
 #: Lower-cases A-Z; ASCII that is neither a letter nor a digit becomes a blank; bytes from 0x80 stay.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -31,6 +33,15 @@ def plus(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows, as whole texts at the session's default of 10,000 rows fill
+    Python workers and Arrow buffers. A limit that the session sets below that stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(f, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir. Only a local session without it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)

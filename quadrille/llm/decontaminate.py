@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialise, plus, texts_of, words_of
+from quadrille.llm.common import map_batches, materialise, plus, texts_of, words_of
 
 WINDOW = 13
 #: Words of training text that one FM-index covers; a longer document is a shard of its own.
@@ -252,9 +252,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         rows = [(r[0], r[1].encode() if r[1] is not None else None) for r in block.select(item_col, item_text_col).collect()]
         shared = spark.sparkContext.broadcast(windows_of(rows, width))
         if blocks == 1:
-            return own.mapInArrow(_scan(shared, shard_words, id_col, text_col), plus(docs.select(id_col), ddl))
+            return map_batches(own, _scan(shared, shard_words, id_col, text_col), plus(docs.select(id_col), ddl))
         keyed = own.select(F.struct("_row", id_col).alias("_key"), text_col)
-        parts.append(materialise(keyed.mapInArrow(_scan(shared, shard_words, "_key", text_col), plus(keyed.select("_key"), ddl)), "decontaminate_block"))
+        parts.append(materialise(map_batches(keyed, _scan(shared, shard_words, "_key", text_col), plus(keyed.select("_key"), ddl)), "decontaminate_block"))
         shared.unpersist()
     every = parts[0]
     for p in parts[1:]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import plus
+from quadrille.llm.common import map_batches, plus
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
@@ -304,7 +304,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
             texts = [visible_text(t) for t in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(texts, pa.string())], names=[*others, out])
 
-    return pages.select(*others, html_col).mapInArrow(run, plus(pages.select(*others), f"`{out}` string"))
+    return map_batches(pages.select(*others, html_col), run, plus(pages.select(*others), f"`{out}` string"))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:

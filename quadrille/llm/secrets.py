@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import plus
+from quadrille.llm.common import map_batches, plus
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -249,7 +249,7 @@ def scan(docs: DataFrame, grammar: Grammar, text_col: str = "text", mask: str |
 
     ddl = "base array<struct<start:bigint,end:bigint,kind:string>>, spans array<struct<start:bigint,end:bigint,kind:string>>"
     given = docs.select(*others) if mask is not None else docs.select(*others, text_col)
-    return given.mapInArrow(run, plus(docs.select(*others), ddl))
+    return map_batches(given, run, plus(docs.select(*others), ddl))
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:

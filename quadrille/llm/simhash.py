@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import components, materialise, plus, texts_of
+from quadrille.llm.common import components, map_batches, materialise, plus, texts_of
 
 RADIUS = 2
 BLOCKS = 4
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp") -> Da
             prints = np.fromiter(map(fingerprint, texts_of(batch, text_col)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(prints.view(np.int64))], names=[*others, out])
 
-    return docs.select(*others, text_col).mapInArrow(run, plus(docs.select(*others), f"`{out}` long"))
+    return map_batches(docs.select(*others, text_col), run, plus(docs.select(*others), f"`{out}` long"))
 
 
 class BKTree:

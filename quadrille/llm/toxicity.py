@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import plus, texts_of, words_of
+from quadrille.llm.common import map_batches, plus, texts_of, words_of
 
 #: At most so many rows of each label are learned from; which, a hash of doc_id decides.
 ROWS_PER_LABEL = 3000
@@ -120,7 +120,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
             scores = [score(dense, m.bias, hasher(t)) for t in texts_of(batch, text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(scores, pa.float64())], names=[*others, out])
 
-    return docs.select(*others, text_col).mapInArrow(run, plus(docs.select(*others), f"`{out}` double"))
+    return map_batches(docs.select(*others, text_col), run, plus(docs.select(*others), f"`{out}` double"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
