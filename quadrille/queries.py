@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadrille import catalog, training, units
-from quadrille.functions import text
-from quadrille.metrics import answers
+from quadrille.functions import stemming, text
+from quadrille.metrics import answers, selection
 from quadrille.operators import probing, reshape
 from quadrille.plans.compiler import CubeContext, code_filter, compile, long_form
 from quadrille.plans.expressions import Value
@@ -598,6 +598,53 @@ def resume_remaining(spark, d):
     return sources.remaining(table(spark, d, "orders").select("o_custkey").distinct(), done, "o_custkey")
 
 
+@query("stem_tokens")
+def stem_tokens(spark, d):
+    """Tested against known stems: SQL has no stemmer for both languages."""
+    words = text.tokens(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", stemming.stemmed(words, "en").alias("en"), stemming.stemmed(words, "nl").alias("nl"))
+
+
+@query("close_match")
+def close_match(spark, d):
+    """Tested against difflib: pairs of parts' names next to each other in order of their keys."""
+    parts = table(spark, d, "part")
+    after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("after"))
+    return parts.join(after, "p_partkey").select("p_partkey", text.close_match(F.col("p_name"), F.col("after")).alias("close"))
+
+
+@query("token_overlap", "SELECT p_partkey, round(CAST(len(list_intersect(n, t)) AS DOUBLE) / greatest(len(n), 1), 8) AS score FROM (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) AS n, list_distinct(regexp_extract_all(lower(p_type), '[a-z]+')) AS t FROM part)")
+def token_overlap(spark, d):
+    found = lambda c: F.array_distinct(text.tokens(F.col(c), "[a-z]+"))
+    return table(spark, d, "part").select("p_partkey", F.round(text.overlap(found("p_name"), found("p_type")), 8).alias("score"))
+
+
+_SIDES = "SELECT s_suppkey % 20 AS question, s_nationkey, s_acctbal < 3000 AS p, s_acctbal > 0 AS t FROM supplier"
+
+
+@query(
+    "selection_f1",
+    f"""WITH s AS ({_SIDES}), u AS (
+    SELECT question, 'predicted' AS side, n_name AS name FROM s JOIN nation ON s_nationkey = n_nationkey WHERE p UNION
+    SELECT question, 'truth', n_name FROM s JOIN nation ON s_nationkey = n_nationkey WHERE t),
+  c AS (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+  sides AS (SELECT DISTINCT question, side FROM u),
+  h AS (SELECT a.question, a.side, c.r_name, c.n_name, EXISTS (SELECT 1 FROM u WHERE u.question = a.question AND u.side = a.side AND u.name = c.n_name) AS hit FROM sides a CROSS JOIN c),
+  k AS (SELECT question, side, n_name FROM (SELECT *, bool_or(hit) OVER (PARTITION BY question, side, r_name) AS touched FROM h) WHERE hit OR NOT touched),
+  e AS (SELECT question, n_name, bool_or(side = 'predicted') AS p, bool_or(side = 'truth') AS t FROM k GROUP BY question, n_name),
+  x AS (SELECT question, count(*) FILTER (p AND t) AS c, count(*) FILTER (p AND NOT t) AS e, count(*) FILTER (t AND NOT p) AS m FROM e GROUP BY question)
+  SELECT question, round(CASE WHEN c + e + m = 0 THEN 1 ELSE 2.0 * c / (2 * c + e + m) END, 8) AS dimension_f1, e AS extra_dimensions, m AS missing_dimensions FROM x""",
+)
+def selection_f1(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    named = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_suppkey") % 20).alias("question"), F.lit("T").alias("table_id"), F.col("n_name").alias("name"), "s_acctbal")
+    side = lambda cond, name: named.where(cond).select("question", F.lit(name).alias("side"), "table_id", "name")
+    nodes = nation.select(F.lit("T").alias("table_id"), F.col("n_name").alias("node_id"), F.lit("code").alias("kind"))
+    hierarchy = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+    scores = selection.selection_scores(selection.selections(side("s_acctbal < 3000", "predicted").union(side("s_acctbal > 0", "truth")), nodes, hierarchy))
+    return scores.select("question", F.round("dimension_f1", 8).alias("dimension_f1"), "extra_dimensions", "missing_dimensions")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
