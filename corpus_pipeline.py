@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import decontaminate, packing, secrets, simhash, toxicity
-from quadrille.llm.common import materialise
+from quadrille.llm.common import fresh, materialise
 
 MASK = "[SECRET]"
 
@@ -15,11 +15,13 @@ MASK = "[SECRET]"
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs.withColumn("_text", F.col("text")), model, "_text", "_score").where("_score < 0.5").select(*docs.columns)
+    copy, score = fresh(docs, "_text"), fresh(docs, "_score")
+    return toxicity.scored(docs.withColumn(copy, F.col("text")), model, copy, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays. Documents without an id stay."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays. Documents without an id stay, as
+    do rows that repeat the kept id: they are the same document."""
     return docs.join(simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -31,8 +33,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is masked; n_chars follows the text."""
-    found = secrets.scan(docs, secrets.learn(secrets.labelled_credentials()), mask=MASK)
-    masked = F.size("spans") > 0
+    spans = fresh(docs, "_spans")
+    found = secrets.scan(docs, secrets.learn(secrets.labelled_credentials()), mask=MASK, base_col=fresh(docs, "_base"), spans_col=spans)
+    masked = F.size(spans) > 0
     return found.withColumn("n_chars", F.when(masked, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -33,6 +33,20 @@ def plus(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def others_of(df: DataFrame, *names: str) -> list[str]:
+    """df's columns but those of these names, in any case: an operator's own columns replace given ones of their names."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow in batches of at most BATCH_ROWS rows, as whole texts at the session's default of 10,000 rows fill
     Python workers and Arrow buffers. A limit that the session sets below that stays."""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import map_batches, plus
+from quadrille.llm.common import map_batches, others_of, plus
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
@@ -297,7 +297,7 @@ def visible_text(html: str | None) -> str | None:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """pages' other columns and `out`, the visible text. A null page has a null text, an empty one an empty text; rows
     stay as they are, however long or broken the page."""
-    others = [c for c in pages.columns if c not in (html_col, out)]
+    others = others_of(pages, html_col, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import map_batches, plus
+from quadrille.llm.common import map_batches, others_of, plus
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -218,13 +218,14 @@ def _candidates(column: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, in
         yield r, text.decode(), runs, bool(signed[r])
 
 
-def scan(docs: DataFrame, grammar: Grammar, text_col: str = "text", mask: str | None = None) -> DataFrame:
-    """docs' columns but the text, then base and spans: arrays of (start, end, kind), code points, end exclusive.
+def scan(docs: DataFrame, grammar: Grammar, text_col: str = "text", mask: str | None = None, base_col: str = "base", spans_col: str = "spans") -> DataFrame:
+    """docs' columns but the text, then base and spans: arrays of (start, end, kind), code points, end exclusive. They
+    replace columns of their names.
 
     With `mask`, the text stays, with every span replaced by it; of overlapping spans the union is replaced once. Null
     and empty texts have no spans and stay as they are. Rows, repeated or not, stay as they are.
     """
-    others = [c for c in docs.columns if c != text_col] if mask is None else docs.columns
+    others = others_of(docs, base_col, spans_col, *([text_col] if mask is None else []))
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
@@ -245,9 +246,9 @@ def scan(docs: DataFrame, grammar: Grammar, text_col: str = "text", mask: str |
             if masked:
                 columns[others.index(text_col)] = pa.array([masked.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
             as_rows = lambda found: pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in found], kind)
-            yield pa.RecordBatch.from_arrays([*columns, as_rows(base), as_rows(spans)], names=[*others, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, as_rows(base), as_rows(spans)], names=[*others, base_col, spans_col])
 
-    ddl = "base array<struct<start:bigint,end:bigint,kind:string>>, spans array<struct<start:bigint,end:bigint,kind:string>>"
+    ddl = ", ".join(f"`{c}` array<struct<start:bigint,end:bigint,kind:string>>" for c in (base_col, spans_col))
     given = docs.select(*others) if mask is not None else docs.select(*others, text_col)
     return map_batches(given, run, plus(docs.select(*others), ddl))
 

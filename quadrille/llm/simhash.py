@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import components, map_batches, materialise, plus, texts_of
+from quadrille.llm.common import components, map_batches, materialise, others_of, plus, texts_of
 
 RADIUS = 2
 BLOCKS = 4
@@ -37,7 +37,7 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp") -> DataFrame:
     """docs' other columns and `out`, the fingerprint as a signed long. A null text counts as empty."""
-    others = [c for c in docs.columns if c != text_col]
+    others = others_of(docs, text_col, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

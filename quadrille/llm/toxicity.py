@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import map_batches, plus, texts_of, words_of
+from quadrille.llm.common import map_batches, others_of, plus, texts_of, words_of
 
 #: At most so many rows of each label are learned from; which, a hash of doc_id decides.
 ROWS_PER_LABEL = 3000
@@ -109,8 +109,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs' other columns and `out`, from 0 to 1; null and empty texts score the bias alone. Rows stay as they are."""
-    others = [c for c in docs.columns if c != text_col]
+    """docs' other columns and `out`, from 0 to 1; null and empty texts score the bias alone. Rows stay as they
+    are; a column that `out` names already is replaced."""
+    others = others_of(docs, text_col, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,3 +40,28 @@ def test_stages(spark):
 
 def test_run_equals_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "bucket", "boundary", "batch", "slot"]
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    """Nulls in any column, empty texts, repeated rows, and columns named as stages name theirs: only the rules decide."""
+    text = "plain words about rivers and bridges near the old town hall"
+    rows = [(1, text, None, "s"), (2, text, "en", None), (2, text, "en", None), (3, None, None, None), (4, "", "en", "s"), (None, "a null id", "en", "s"), (5, 'token = "aB3dE6gH9jK2mN5p"', "en", "s")]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 0.1, "x", ["y"], 7, None, "z") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _score double, spans string, base array<string>, fp long, _text string, Component_ID string")
+    columns = docs.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), name)
+        kept[name] = docs.collect()
+        assert name == "packing" or docs.columns == columns
+    assert len(kept["toxicity"]) == 7
+    assert sorted(str(r.doc_id) for r in kept["simhash"]) == ["1", "3", "5", "None"]  # 3 and 4 both have no words
+    by_id = {r.doc_id: r for r in kept["secrets"]}
+    assert by_id[5].text == '[SECRET]"' and by_id[5].n_chars == 9 and by_id[3].text is None and by_id[5].spans == "x"
+    assert len(kept["packing"]) == 4
+
+
+def test_stages_without_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), name)
+        assert docs.count() == 0
