@@ -12,8 +12,8 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 80
 #: A term discloses an identifier if it carries this share of the identifier's information.
 DISCLOSURE = 0.9
-#: Documents in which a term and an identifier must have met for their co-occurrence to count as evidence.
-SUPPORT = 3
+#: Least log-likelihood ratio (G squared, one degree of freedom) of a meeting that is not chance: p < 0.001.
+SIGNIFICANCE = 10.83
 
 #: Each pattern finds the base matches leftmost and non-overlapping, without groups that loop (those overflow Java's
 #: stack on long runs): U+0001 stands for a separator between two characters of one match, see _prepared().
@@ -70,12 +70,24 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.transform(F.coalesce(found[k], none), of_kind(i)) for i, k in enumerate(KINDS)))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, context: int = CONTEXT) -> DataFrame:
+def _digest() -> Column:
+    """Equal for copies of a text."""
+    return F.unhex(F.md5("_text"))
+
+
+def _likelihood_ratio(n: Column) -> Column:
+    """G squared of the table of `both`, of_term and of_entity among n texts."""
+    both, t, e = F.col("both").cast("double"), F.col("of_term").cast("double"), F.col("of_entity").cast("double")
+    cells = [(both, t, e), (t - both, t, n - e), (e - both, n - t, e), (n - t - e + both, n - t, n - e)]
+    return 2 * sum((F.when(o > 0, o * F.log(o * n / (a * b))).otherwise(0.0) for o, a, b in cells), F.lit(0.0))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE, context: int = CONTEXT) -> DataFrame:
     """(id, base, terms) for each row: base as base_spans(), terms as array<struct<start, end>> of disclosing terms.
 
     Identifiers of the base formats are the protected entities. A term (four letters or more) near one, in the same
-    document, discloses it if log2(p(t, e) / (p(t) p(e))) >= disclosure * -log2 p(e), where p counts all documents, and
-    the two have met in at least `support` documents. Documents without identifiers keep all their terms.
+    document, discloses it if log2(p(t, e) / (p(t) p(e))) >= disclosure * -log2 p(e), where p counts distinct texts,
+    and the log-likelihood ratio of their meeting is `significance` at least, however rare both are. Documents without identifiers keep all their terms.
 
     Null and empty texts have no spans. Null and repeated ids are rows like any other. No rows, no rows.
     """
@@ -85,25 +97,26 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
         s["start"], s["end"], s["kind"], F.lower(s["value"]).alias("entity"), F.greatest(F.lit(0), s["start"] - context - 1).alias("off"),
         F.substring(F.col("_text"), F.greatest(F.lit(0), s["start"] - context - 1) + 1, s["end"] + context + 1 - F.greatest(F.lit(0), s["start"] - context - 1)).alias("near"), (s["end"] + context + 1 < F.length("_text")).alias("cut"),
     )
-    own = own.select(F.monotonically_increasing_id().alias("_row"), "_id", F.transform("base", window).alias("base"))
+    own = own.select(F.monotonically_increasing_id().alias("_row"), "_id", _digest().alias("_digest"), F.transform("base", window).alias("base"))
     own = materialise(own, "identifiers")
-    total = own.count()
-    each = own.where(F.size("base") > 0).select("_row", F.transform("base", lambda s: F.struct(s["start"], s["end"])).alias("taken"), F.explode("base").alias("s"))
-    near = each.select("_row", "taken", "s.entity", "s.off", "s.cut", F.length("s.near").alias("n"), F.explode(spans_of(F.col("s.near"), _TERM)).alias("t"))
+    total = own.select("_digest").distinct().count()
+    each = own.where(F.size("base") > 0).select("_row", "_digest", F.transform("base", lambda s: F.struct(s["start"], s["end"])).alias("taken"), F.explode("base").alias("s"))
+    near = each.select("_row", "_digest", "taken", "s.entity", "s.off", "s.cut", F.length("s.near").alias("n"), F.explode(spans_of(F.col("s.near"), _TERM)).alias("t"))
     whole = ((F.col("off") == 0) | (F.col("t.start") > 0)) & (~F.col("cut") | (F.col("t.end") < F.col("n")))
     start, end = F.col("off") + F.col("t.start"), F.col("off") + F.col("t.end")
-    terms = near.where(whole).select("_row", "taken", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"))
+    terms = near.where(whole).select("_row", "_digest", "taken", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"))
     terms = terms.where(~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("taken")
     terms = materialise(terms, "context_terms")
-    met = terms.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    met = terms.select("_digest", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
     met = materialise(met, "met")
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    texts = rows.select(_digest().alias("_digest"), F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_TERM), F.lit(0))).alias("words")).dropDuplicates(["_digest"])
+    words = texts.select(F.explode("words").alias("term"))
     of_term = words.groupBy("term").agg(F.count("*").alias("of_term"))
-    of_entity = own.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
+    of_entity = own.select("_digest", F.explode(F.transform("base", lambda s: s["entity"])).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     n = F.lit(float(total))
     told = F.log2(F.col("both") * n / (F.col("of_term").cast("double") * F.col("of_entity")))
     information = F.log2(n / F.col("of_entity"))
-    facts = met.join(of_term, "term").join(of_entity, "entity").where((information > 0) & (told >= disclosure * information))
+    facts = met.join(of_term, "term").join(of_entity, "entity").where((information > 0) & (told >= disclosure * information) & (_likelihood_ratio(n) >= significance))
     disclosing = materialise(facts.select("entity", "term"), "disclosing")
     found = terms.join(disclosing, ["entity", "term"], "left_semi").select("_row", F.struct("start", "end").alias("span")).distinct()
     by_row = found.groupBy("_row").agg(F.sort_array(F.collect_list("span")).alias("terms"))

@@ -216,6 +216,17 @@ def test_disclosing_terms(spark):
     assert shown[3] == "common words here, contact [TERM] at [EMAIL] please 3" and shown[101] == rows[6][1]
 
 
+def test_rare_identifiers_disclose(spark):
+    """An identifier in a single text is protected as any other; copies of a text are no evidence of their own."""
+    rows = [(0, "common words here, ask Zebulon at zeb@mail.example.com please")]
+    rows += [(i, "common words here, ask Marvolo at mar@mail.example.com please") for i in range(1, 9)]
+    rows += [(100 + i, f"common words here, ask nobody please {i}") for i in range(200)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    texts_of = dict(rows)
+    got = {r.doc_id: [texts_of[r.doc_id][s.start : s.end] for s in r.terms] for r in found.collect()}
+    assert got[0] == ["Zebulon"] and all(got[i] == ["Marvolo"] for i in range(1, 9)) and not any(got[100 + i] for i in range(200))
+
+
 # 6
 
 
