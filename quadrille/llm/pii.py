@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: Code points of context on either side of an identifier in which its terms are looked for.
-CONTEXT = 80
 #: A term discloses an identifier if it carries this share of the identifier's information.
 DISCLOSURE = 0.9
 #: Least log-likelihood ratio (G squared, one degree of freedom) of a meeting that is not chance: p < 0.001.
@@ -75,6 +73,26 @@ def _digest() -> Column:
     return F.unhex(F.md5("_text"))
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def _places(text: Column, told: Column, base: Column) -> Column:
+    """array<struct<start, end>> of the terms whose lower case is in `told`, clear of the spans of `base`."""
+    pieces, found = F.split(text, _TERM, -1), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"))
+    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>))")
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["piece"])
+        end = start + F.length(pair["match"])
+        hit = F.array_contains(told, F.lower(pair["match"])) & ~F.exists(base, lambda s: (s["start"] < end) & (start < s["end"]))
+        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+
+
 def _likelihood_ratio(n: Column) -> Column:
     """G squared of the table of `both`, of_term and of_entity among n texts."""
     both, t, e = F.col("both").cast("double"), F.col("of_term").cast("double"), F.col("of_entity").cast("double")
@@ -82,47 +100,43 @@ def _likelihood_ratio(n: Column) -> Column:
     return 2 * sum((F.when(o > 0, o * F.log(o * n / (a * b))).otherwise(0.0) for o, a, b in cells), F.lit(0.0))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE, context: int = CONTEXT) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
     """(id, base, terms) for each row: base as base_spans(), terms as array<struct<start, end>> of disclosing terms.
 
-    Identifiers of the base formats are the protected entities. A term (four letters or more) near one, in the same
-    document, discloses it if log2(p(t, e) / (p(t) p(e))) >= disclosure * -log2 p(e), where p counts distinct texts,
-    and the log-likelihood ratio of their meeting is `significance` at least, however rare both are. Documents without identifiers keep all their terms.
+    Identifiers of the base formats are the protected entities. A term (four letters or more) in a document that holds
+    one discloses it if log2(p(t, e) / (p(t) p(e))) >= disclosure * -log2 p(e), where p counts distinct texts, and the
+    log-likelihood ratio of their meeting is `significance` at least, however rare both are; every occurrence in such a
+    document is marked. Documents without identifiers keep all their terms.
 
     Null and empty texts have no spans. Null and repeated ids are rows like any other. No rows, no rows.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    own = rows.withColumn("base", base_spans(F.col("_text")))
-    window = lambda s: F.struct(
-        s["start"], s["end"], s["kind"], F.lower(s["value"]).alias("entity"), F.greatest(F.lit(0), s["start"] - context - 1).alias("off"),
-        F.substring(F.col("_text"), F.greatest(F.lit(0), s["start"] - context - 1) + 1, s["end"] + context + 1 - F.greatest(F.lit(0), s["start"] - context - 1)).alias("near"), (s["end"] + context + 1 < F.length("_text")).alias("cut"),
-    )
-    own = own.select(F.monotonically_increasing_id().alias("_row"), "_id", _digest().alias("_digest"), F.transform("base", window).alias("base"))
+    own = rows.withColumn("base", F.transform(base_spans(F.col("_text")), lambda s: F.struct(s["start"], s["end"], s["kind"], F.lower(s["value"]).alias("entity"))))
+    own = own.select(F.monotonically_increasing_id().alias("_row"), "_id", _digest().alias("_digest"), "base", F.when(F.size("base") > 0, F.col("_text")).alias("_text"))
     own = materialise(own, "identifiers")
     total = own.select("_digest").distinct().count()
-    each = own.where(F.size("base") > 0).select("_row", "_digest", F.transform("base", lambda s: F.struct(s["start"], s["end"])).alias("taken"), F.explode("base").alias("s"))
-    near = each.select("_row", "_digest", "taken", "s.entity", "s.off", "s.cut", F.length("s.near").alias("n"), F.explode(spans_of(F.col("s.near"), _TERM)).alias("t"))
-    whole = ((F.col("off") == 0) | (F.col("t.start") > 0)) & (~F.col("cut") | (F.col("t.end") < F.col("n")))
-    start, end = F.col("off") + F.col("t.start"), F.col("off") + F.col("t.end")
-    terms = near.where(whole).select("_row", "_digest", "taken", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"))
-    terms = terms.where(~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("taken")
-    terms = materialise(terms, "context_terms")
-    met = terms.select("_digest", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    met = materialise(met, "met")
-    texts = rows.select(_digest().alias("_digest"), F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_TERM), F.lit(0))).alias("words")).dropDuplicates(["_digest"])
-    words = texts.select(F.explode("words").alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("of_term"))
-    of_entity = own.select("_digest", F.explode(F.transform("base", lambda s: s["entity"])).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     n = F.lit(float(total))
-    told = F.log2(F.col("both") * n / (F.col("of_term").cast("double") * F.col("of_entity")))
+    holding = own.where(F.size("base") > 0)
+    entities = holding.select("_digest", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).distinct()
+    of_entity = materialise(entities.groupBy("entity").agg(F.count("*").alias("of_entity")), "of_entity")
+    texts = rows.select(_digest().alias("_digest"), _terms(F.col("_text")).alias("words")).dropDuplicates(["_digest"])
+    words = texts.select(F.explode("words").alias("term"))
+    of_term = materialise(words.groupBy("term").agg(F.count("*").alias("of_term")), "of_term")
+    once = holding.select("_digest", "_text", F.transform("base", lambda s: s["entity"]).alias("entities")).dropDuplicates(["_digest"])
+    terms = once.select("_digest", F.explode(_terms(F.col("_text"))).alias("term"))
+    told_by = lambda both: F.log2(both * n / (F.col("of_term").cast("double") * F.col("of_entity")))
     information = F.log2(n / F.col("of_entity"))
-    facts = met.join(of_term, "term").join(of_entity, "entity").where((information > 0) & (told >= disclosure * information) & (_likelihood_ratio(n) >= significance))
-    disclosing = materialise(facts.select("entity", "term"), "disclosing")
-    found = terms.join(disclosing, ["entity", "term"], "left_semi").select("_row", F.struct("start", "end").alias("span")).distinct()
-    by_row = found.groupBy("_row").agg(F.sort_array(F.collect_list("span")).alias("terms"))
+    # a term and an entity meet in as many texts as the entity has, at most: what that can't make disclosing is left out early
+    able = (information > 0) & (told_by(F.least("of_term", "of_entity")) >= disclosure * information)
+    pairs = terms.join(of_term, "term").join(entities.join(of_entity, "entity"), "_digest").where(able)
+    pairs = materialise(pairs.select("_digest", "entity", "term", "of_term", "of_entity"), "pairs")
+    met = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_term").alias("of_term"), F.first("of_entity").alias("of_entity"))
+    facts = met.where((told_by(F.col("both")) >= disclosure * information) & (_likelihood_ratio(n) >= significance)).select("entity", "term")
+    by_text = pairs.join(facts, ["entity", "term"], "left_semi").groupBy("_digest").agg(F.collect_set("term").alias("told"))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    marked = own.join(by_text, "_digest", "left")
     base = F.transform("base", lambda s: F.struct(s["start"], s["end"], s["entity"].alias("value"), s["kind"]))
-    return own.join(by_row, "_row", "left").select(F.col("_id").alias(id_col), base.alias("base"), F.coalesce("terms", none).alias("terms"))
+    return marked.select(F.col("_id").alias(id_col), base.alias("base"), F.coalesce(F.when(F.size("told") > 0, _places(F.col("_text"), F.col("told"), F.col("base"))), none).alias("terms"))
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:

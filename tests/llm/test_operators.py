@@ -227,6 +227,15 @@ def test_rare_identifiers_disclose(spark):
     assert got[0] == ["Zebulon"] and all(got[i] == ["Marvolo"] for i in range(1, 9)) and not any(got[100 + i] for i in range(200))
 
 
+def test_disclosing_terms_far_from_the_identifier(spark):
+    far = "common words here " * 40
+    rows = [(i, f"Zebulon {far} zeb@mail.example.com {far} Zebulon {i}") for i in range(5)]
+    rows += [(100 + i, f"{far} {i}") for i in range(60)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.terms] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts_of = dict(rows)
+    assert all(got[i] == [m.span() for m in re.finditer("Zebulon", texts_of[i])] for i in range(5)) and not any(got[100 + i] for i in range(60))
+
+
 # 6
 
 
