@@ -20,9 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays. Documents without an id stay, as
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays. Documents without an id stay, as
     do rows that repeat the kept id: they are the same document."""
-    return docs.join(simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,10 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import components, map_batches, materialise, others_of, plus, texts_of
+from quadrille.llm.common import components, discard, map_batches, materialise, others_of, plus, texts_of
 
 RADIUS = 2
 BLOCKS = 4
+#: Words of a shingle and Jaccard similarity of near copies.
+WIDTH, SIMILARITY = 5, 0.8
+#: Texts from which common shingles are learned, and how many of those count, for the order of shingles only.
+ORDER_SAMPLE, ORDER_MOST = 4000, 200_000
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -158,6 +163,150 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
+def shingle_set(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles; a text of fewer words is one shingle, none if it has no words."""
+    words = text.lower().split() if text else []
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))] if words else [], dtype=np.uint64))
+
+
+def _needed(n: int, similarity: float) -> int:
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _node(x: np.ndarray) -> int:
+    """Equal for equal sets, a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 42)).astype(np.int64))
+
+
+def _nodes(*others: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [_node(shingle_set(t)) for t in texts_of(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(nodes, pa.int64())], names=[*others, "node"])
+
+    return run
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t in texts_of(batch, "_text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["h"])
+
+
+def _prefixes(common: np.ndarray, similarity: float):
+    """The shingles of which sets at the similarity share one at least: the first n - needed + 1, in an order that has
+    the common ones last. Any order that is the same for all sets gives every pair; this one gives few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for t in texts_of(batch, "_text"):
+                if (n := len(x := shingle_set(t))) and (node := _node(x)) not in seen:
+                    seen.add(node)
+                    x = x[np.argsort(np.isin(x, common), kind="stable")][: n - _needed(n, similarity) + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), node)), pa.array(np.full(len(x), n))], names=["h", "node", "n"])
+
+    return run
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The runs of an equal first column that have two rows or more; a run may go on in the next batch."""
+    rest = None
+    for batch in batches:
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        rows = rows if rest is None else np.concatenate((rest, rows))
+        cuts = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1))
+        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            yield rows[cuts[k] : cuts[k + 1]]
+        rest = rows[cuts[-1] :]
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, node, n), sorted by (h, n, node), without repeats and without those of a shingle that one set has."""
+    for part in _buckets(batches):
+        part = part[np.concatenate(([True], part[1:, 1] != part[:-1, 1]))]
+        if len(part) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, i])) for i in range(3)], names=["h", "node", "n"])
+
+
+def _pairs(similarity: float, every: bool):
+    """Rows sorted by (h, n, node) to pairs of nodes that share h and whose sizes allow the similarity: each with the
+    bucket's first and with its neighbour, or every pair of different roots."""
+
+    def bucket(node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not every:
+            for a, b in ((np.zeros(len(node) - 1, np.int64), np.arange(1, len(node))), (np.arange(len(node) - 1), np.arange(1, len(node)))):
+                fits = n[a] >= similarity * n[b] - 1e-9
+                yield node[a[fits]], node[b[fits]]
+            return
+        for i in range(len(node) - 1):
+            to = np.searchsorted(n, n[i] / similarity + 1e-6, "right")
+            others = node[i + 1 : to][root[i + 1 : to] != root[i]]
+            if len(others):
+                yield np.full(len(others), node[i]), others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _buckets(batches):
+            for a, b in bucket(part[:, 1], part[:, 2], part[:, 3]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(texts_of(batch, "ta"), texts_of(batch, "tb"), strict=True):
+                x, y = shingle_set(x), shingle_set(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) over links of five-word shingle sets whose Jaccard similarity is `similarity` or more.
+
+    64-bit prints of such pairs differ in a dozen bits and more, where no choice of blocks is selective; so candidates
+    share a shingle of their prefixes, which all such pairs do, and every one is checked on the whole sets. Groups are
+    first linked through each bucket's first and neighbours; then all pairs that are still apart are tried. Texts
+    without words are alike. Null ids as in near_duplicates().
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    sets = materialise(map_batches(rows, _nodes("_id"), plus(rows.select("_id"), "node long")), "sets")
+    share = min(1.0, ORDER_SAMPLE / max(1, sets.count()))  # for the order alone: it decides costs, not results
+    sampled = map_batches(rows.select("_text").sample(share, 42), _hashes, "h long").groupBy("h").count().where("count > 2")
+    common = np.sort(np.array([r.h for r in sampled.orderBy(F.desc("count"), "h").limit(ORDER_MOST).collect()], dtype=np.int64).view(np.uint64))
+    prefixes = map_batches(rows.select("_text"), _prefixes(common, similarity), "h long, node long, n long")
+    buckets = materialise(prefixes.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_shared, "h long, node long, n long"), "shared_shingles")
+
+    def verified(rooted: DataFrame, every: bool) -> DataFrame:
+        dealt = rooted.select("h", "node", "n", "root").repartition("h").sortWithinPartitions("h", "n", "node")
+        pairs = materialise(dealt.mapInArrow(_pairs(similarity, every), "a long, b long").distinct(), "pairs")
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        found = map_batches(rows.select("_text"), _nodes("_text"), "_text string, node long").join(needed, "node", "left_semi")
+        texts = materialise(found.groupBy("node").agg(F.first("_text").alias("_text")), "texts")
+        text = lambda x: texts.select(F.col("node").alias(x), F.col("_text").alias(f"t{x}"))
+        out = materialise(map_batches(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb"), _alike(similarity), "a long, b long"), "alike")
+        discard(texts, pairs)
+        return out
+
+    links = verified(buckets.withColumn("root", F.col("node")), every=False)
+    roots = materialise(components(links), "set_roots")
+    more = verified(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), every=True)
+    roots = materialise(components(links.union(more)), "set_roots")
+    rooted = sets.groupBy("node").agg(F.min("_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_node = materialise(rooted.join(least, "root").select("node", "component_id"), "set_components")
+    return sets.join(of_node, "node").select(F.col("_id").alias(id_col), "component_id")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -330,6 +330,32 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_copies_are_those_of_brute_force(spark):
+    """Edits that move a print by more than op8's 2 bits, at either side of 0.8."""
+    rnd = random.Random(5)
+    base = [[f"w{rnd.randrange(5000)}" for _ in range(n)] for n in (30, 60, 100, 200, 400)]
+    made = [None, "", "one two", "one two", "one  TWO"]
+    for words_ in base:
+        made.append(" ".join(words_))
+        for share in (0.0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05):
+            made.append(" ".join("changed" if rnd.random() < share else w for w in words_))
+    made += [" ".join(["the line that all have in this table", *(f"v{rnd.randrange(5000)}" for _ in range(20))]) for _ in range(30)]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in made]
+    low = list(range(len(made)))
+    for _ in made:
+        low = [min(low[j] for j, y in enumerate(sets) if x == y or x & y and len(x & y) >= 0.8 * len(x | y)) for x in sets]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert got == dict(enumerate(low))
+    assert any(low[i] != i and (brute_print(made[i]) ^ brute_print(made[low[i]])).bit_count() > 2 for i in range(len(made)))
+    assert simhash.near_copies(df.where("false")).count() == 0
+
+
 def test_links_within_the_radius(spark):
     rnd = random.Random(8)
     values = [rnd.getrandbits(64) for _ in range(30)]
