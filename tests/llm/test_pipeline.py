@@ -65,3 +65,11 @@ def test_stages_without_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_each_rows_own_text_decides_contamination(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first().text
+    clean = "plain words about rivers and bridges near the old town hall"
+    docs = spark.createDataFrame([(None, item), (None, clean), (7, item), (7, clean), (8, None)], "doc_id long, text string")
+    got = corpus_pipeline.decontaminate_stage(spark, docs, SF).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(None, clean), (7, clean), (8, None)], "doc_id long, text string").collect()))
