@@ -273,7 +273,7 @@ def _alike(similarity: float):
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id) over links of five-word shingle sets whose Jaccard similarity is `similarity` or more.
 
-    64-bit prints of such pairs differ in a dozen bits and more, where no choice of blocks is selective; so candidates
+    Prints of such pairs differ in 11 bits and maybe more, where no choice of blocks is selective; so candidates
     share a shingle of their prefixes, which all such pairs do, and every one is checked on the whole sets. Groups are
     first linked through each bucket's first and neighbours; then all pairs that are still apart are tried. Texts
     without words are alike. Null ids as in near_duplicates().
