@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import components, discard, map_batches, materialise, others_of, plus, texts_of
+from quadrille.llm.common import components, map_batches, materialise, others_of, plus, texts_of
 
 RADIUS = 2
-BLOCKS = 4
-#: Words of a shingle and Jaccard similarity of near copies.
-WIDTH, SIMILARITY = 5, 0.8
-#: Texts from which common shingles are learned, and how many of those count, for the order of shingles only.
-ORDER_SAMPLE, ORDER_MOST = 4000, 200_000
+#: Fingerprints of a BK-tree: how many are aimed at, and how many it may have.
+SHARD_PRINTS, MOST_PRINTS = 256, 2048
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -52,100 +48,148 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp") -> Da
     return map_batches(docs.select(*others, text_col), run, plus(docs.select(*others), f"`{out}` long"))
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
 class BKTree:
-    """A node is a fingerprint; its children are keyed by their integer Hamming distance to it. Iterative throughout."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        at, new = 0, len(self.values)
-        self.values.append(value)
-        self.children.append({})
-        while new:
-            d = (self.values[at] ^ value).bit_count()
-            if (below := self.children[at].get(d)) is None:
-                self.children[at][d] = new
-                return
-            at = below
-
-    def near(self, value: int, radius: int) -> list[int]:
-        """Positions of the values within the radius: only edges from d - radius to d + radius are followed."""
-        found, todo = [], [0] if self.values else []
-        while todo:
-            at = todo.pop()
-            d = (self.values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            if kids := self.children[at]:
-                todo += [kids[k] for k in range(d - radius, d + radius + 1) if k in kids] if len(kids) > 2 * radius else [i for k, i in kids.items() if abs(k - d) <= radius]
-        return found
+    """A node is a fingerprint; its children are keyed by their integer Hamming distance to it.
 
+    The tree is the one that inserting the distinct values in their order gives; it is built and searched a level at a
+    time, for all values or queries at once. `visited` counts the nodes that searches have looked at.
+    """
 
-def _tree_links(radius: int):
-    def links(fps: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Links of a shard's distinct fingerprints, as a spanning forest."""
-        values = fps.view(np.uint64).tolist()
-        if len(values) == 2:
-            if (values[0] ^ values[1]).bit_count() <= radius:
-                yield int(fps[0]), int(fps[1])
-            return
-        tree, parent = BKTree(), list(range(len(values)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, value in enumerate(values):
-            for j in tree.near(value, radius):
-                if (a := root(i)) != (b := root(j)):
-                    parent[a] = b
-                    yield int(fps[i]), int(fps[j])
-            tree.add(value)
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, self.visited = values, 0
+        self.child = np.full((len(values), 65), -1, np.int32)
+        waiting = np.arange(1, len(values))
+        parent = np.zeros(len(waiting), np.int64)
+        while len(waiting):
+            edge = parent * 65 + bits_apart(values[waiting], values[parent])
+            _, first, which = np.unique(edge, return_index=True, return_inverse=True)
+            self.child.reshape(-1)[edge[first]] = waiting[first]
+            rest = np.ones(len(waiting), np.bool_)
+            rest[first] = False
+            parent, waiting = waiting[first][which][rest], waiting[rest]
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of (query, value) within the radius: from each node only the edges from d - radius to d + radius of the
+        query's distance d to it are followed."""
+        asked, found = [], []
+        query = np.arange(len(queries) if len(self.values) else 0)
+        at = np.zeros(len(query), np.int64)
+        while len(query):
+            self.visited += len(query)
+            d = bits_apart(queries[query], self.values[at])
+            hit = d <= radius
+            asked.append(query[hit])
+            found.append(at[hit])
+            edge = np.clip(d[:, None] + np.arange(-radius, radius + 1), 0, 64)  # no value is at 0 from another
+            kids = self.child[at[:, None], edge]
+            kids[:, 1:][edge[:, 1:] == edge[:, :-1]] = -1
+            row, _ = np.nonzero(kids >= 0)
+            query, at = query[row], kids[kids >= 0].astype(np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *asked]), np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def shard_links(prints: np.ndarray, radius: int, chunk: int = 512) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a shard's distinct prints (int64), found by its BK-tree."""
+    tree = BKTree(prints.view(np.uint64))
+    group = np.arange(len(prints))
+    out = []
+    for begin in range(0, len(prints), chunk):
+        a, b = tree.near(tree.values[begin : begin + chunk], radius)
+        a += begin
+        for i, j in zip(a[b < a].tolist(), b[b < a].tolist(), strict=True):
+            if (x := group[i]) != (y := group[j]):
+                group[group == max(x, y)] = min(x, y)
+                out.append((int(prints[i]), int(prints[j])))
+    return out
 
+
+def _tree_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (combo, key, fp): a shard is a run of equal (combo, key), and may go on in the next batch."""
-        rest = None
+        parts: list[np.ndarray] = []
+        shard = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            prints = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            if found := shard_links(prints, radius) if len(prints) > 1 else []:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            if rest is not None:
-                rows = np.concatenate((rest, rows))
-            same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-            starts = np.concatenate(([0], np.flatnonzero(~same) + 1))
-            yield from emit(rows[: starts[-1]], starts[:-1])
-            rest = rows[starts[-1] :]
-        if rest is not None:
-            yield from emit(rest, np.zeros(1, np.int64))
-
-    def emit(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = np.append(starts[1:], len(rows)) if len(starts) else starts
-        found = [link for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1 for link in links(np.ascontiguousarray(rows[a:b, 2]))]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+            combo, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.concatenate(([0], np.flatnonzero((combo[1:] != combo[:-1]) | (key[1:] != key[:-1])) + 1, [len(fp)]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if i == j:
+                    continue
+                if shard != (combo[i], key[i]):
+                    yield from links()
+                    parts, shard = [], (combo[i], key[i])
+                parts.append(fp[i:j])
+        yield from links()
 
     return run
 
 
-def hamming_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _split(free: int, parts: int) -> list[int]:
+    """The set bits of `free` in masks of near equal size."""
+    bits = [b for b in range(64) if free >> b & 1]
+    return [sum(1 << b for b in bits[len(bits) * k // parts : len(bits) * (k + 1) // parts]) for k in range(parts)]
+
+
+def refinements(masks: dict[int, int], radius: int) -> dict[int, list[tuple[int, int]]]:
+    """For each mask of bits on which a shard's prints agree, with the bits on which linked prints have to agree there: the
+    (mask, bits to agree on) of finer shards that have the same links. First the bits that linked prints share, then every
+    choice of one block of radius + 1 of the others: at most radius of them can differ."""
+    every = (1 << 64) - 1
+    return {m: [(due, due)] if due != m else [(m | part, m | part) for part in _split(every & ~m, radius + 1)] for m, due in masks.items()}
+
+
+def hamming_links(prints: DataFrame, radius: int = RADIUS, shard_prints: int = SHARD_PRINTS, most: int = MOST_PRINTS) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints `fp` within the radius of each other.
 
-    64 bits fall into `blocks` blocks; two prints that differ in at most `radius` bits agree on blocks - radius of them
-    at least. Every choice of that many blocks deals the prints into shards by their bits there; each shard has a
-    BK-tree of its own, so no tree grows with the corpus and none is broadcast. Only a spanning forest of a shard's
-    links is emitted: its size is bounded by the shard's, however dense the links are.
+    64 bits fall into radius + 1 blocks, of which two prints that differ in at most `radius` bits agree on one. So for
+    each block the prints are dealt into shards of about `shard_prints` by as many of its bits as that takes; each shard
+    has a BK-tree, which all its prints search, following only edges within the radius. A shard of more than `most`
+    prints, as near copies in great number make, is dealt again by the rest of its block's bits and then by blocks of the
+    other bits, until all are within the bound: no task holds more, and no shard's work grows with its square.
+    Only a spanning forest of a shard's links is emitted, however dense they are. Shards are dealt by a shuffle and not
+    broadcast: together they are all fingerprints, which must not go through the driver.
     """
-    if not 0 <= radius < blocks:
-        raise ValueError("radius must be below blocks")
-    width = 64 // blocks
-    masks = [0xFFFFFFFFFFFFFFFF if k == blocks - 1 else (1 << width * (k + 1)) - 1 for k in range(blocks)]
-    masks = [m ^ ((1 << width * k) - 1) & m for k, m in enumerate(masks)]
-    chosen = [sum(m) for m in combinations(masks, blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    dealt = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))).alias("s")).select("s.combo", "s.key", "fp")
-    return dealt.repartition("combo", "key").sortWithinPartitions("combo", "key", "fp").mapInArrow(_tree_links(radius), "a long, b long")
+    if not 0 <= radius <= 15:
+        raise ValueError("radius must be from 0 to 15")
+    wanted = max(0, math.ceil(math.log2(max(1, prints.count()) / shard_prints)))
+    masks = {0: 0}  # few enough for one shard
+    if wanted:
+        blocks = _split((1 << 64) - 1, radius + 1)
+        masks = {sum(1 << b for b in [b for b in range(64) if block >> b & 1][-wanted:]): block for block in blocks}
+    to = lambda pairs: F.explode(F.array(*(F.struct(F.lit(_signed(m)).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in pairs)))
+    dealt = prints.select("fp", to(masks).alias("s")).select("s.combo", "s.key", "fp")
+    ready: DataFrame | None = None
+    while True:
+        crowded = dealt.groupBy("combo", "key").count().where(F.col("count") > most).select("combo", "key")
+        free = min(64 - m.bit_count() for m in masks)
+        if 2**free <= most or crowded.isEmpty():
+            ready = dealt if ready is None else ready.unionByName(dealt)
+            break
+        crowded = materialise(crowded, "crowded")
+        fits = dealt.join(crowded, ["combo", "key"], "left_anti").select("combo", "key", "fp")
+        ready = fits if ready is None else ready.unionByName(fits)
+        finer = refinements(masks, radius)
+        of = lambda pairs: F.array(*(F.struct(F.lit(_signed(m)).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m, _ in pairs))
+        cases = None
+        for m, pairs in finer.items():
+            cases = F.when(F.col("combo") == _signed(m), of(pairs)) if cases is None else cases.when(F.col("combo") == _signed(m), of(pairs))
+        again = dealt.join(crowded, ["combo", "key"], "left_semi").select("fp", F.explode(cases).alias("s")).select("s.combo", "s.key", "fp")
+        dealt = materialise(again.distinct(), "finer_shards")
+        masks = {m: due for pairs in finer.values() for m, due in pairs}
+    return ready.repartition("combo", "key").sortWithinPartitions("combo", "key", "fp").mapInArrow(_tree_links(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -163,150 +207,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
-def shingle_set(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
-    """Sorted distinct XXH64 of the word shingles; a text of fewer words is one shingle, none if it has no words."""
-    words = text.lower().split() if text else []
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))] if words else [], dtype=np.uint64))
-
-
-def _needed(n: int, similarity: float) -> int:
-    return math.ceil(similarity * n - 1e-9)
-
-
-def _node(x: np.ndarray) -> int:
-    """Equal for equal sets, a signed long."""
-    return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 42)).astype(np.int64))
-
-
-def _nodes(*others: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = [_node(shingle_set(t)) for t in texts_of(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(nodes, pa.int64())], names=[*others, "node"])
-
-    return run
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for t in texts_of(batch, "_text"):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["h"])
-
-
-def _prefixes(common: np.ndarray, similarity: float):
-    """The shingles of which sets at the similarity share one at least: the first n - needed + 1, in an order that has
-    the common ones last. Any order that is the same for all sets gives every pair; this one gives few others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            for t in texts_of(batch, "_text"):
-                if (n := len(x := shingle_set(t))) and (node := _node(x)) not in seen:
-                    seen.add(node)
-                    x = x[np.argsort(np.isin(x, common), kind="stable")][: n - _needed(n, similarity) + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), node)), pa.array(np.full(len(x), n))], names=["h", "node", "n"])
-
-    return run
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The runs of an equal first column that have two rows or more; a run may go on in the next batch."""
-    rest = None
-    for batch in batches:
-        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        rows = rows if rest is None else np.concatenate((rest, rows))
-        cuts = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1))
-        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
-            yield rows[cuts[k] : cuts[k + 1]]
-        rest = rows[cuts[-1] :]
-    if rest is not None and len(rest) > 1:
-        yield rest
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, node, n), sorted by (h, n, node), without repeats and without those of a shingle that one set has."""
-    for part in _buckets(batches):
-        part = part[np.concatenate(([True], part[1:, 1] != part[:-1, 1]))]
-        if len(part) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, i])) for i in range(3)], names=["h", "node", "n"])
-
-
-def _pairs(similarity: float, every: bool):
-    """Rows sorted by (h, n, node) to pairs of nodes that share h and whose sizes allow the similarity: each with the
-    bucket's first and with its neighbour, or every pair of different roots."""
-
-    def bucket(node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not every:
-            for a, b in ((np.zeros(len(node) - 1, np.int64), np.arange(1, len(node))), (np.arange(len(node) - 1), np.arange(1, len(node)))):
-                fits = n[a] >= similarity * n[b] - 1e-9
-                yield node[a[fits]], node[b[fits]]
-            return
-        for i in range(len(node) - 1):
-            to = np.searchsorted(n, n[i] / similarity + 1e-6, "right")
-            others = node[i + 1 : to][root[i + 1 : to] != root[i]]
-            if len(others):
-                yield np.full(len(others), node[i]), others
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _buckets(batches):
-            for a, b in bucket(part[:, 1], part[:, 2], part[:, 3]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return run
-
-
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(texts_of(batch, "ta"), texts_of(batch, "tb"), strict=True):
-                x, y = shingle_set(x), shingle_set(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) over links of five-word shingle sets whose Jaccard similarity is `similarity` or more.
-
-    Prints of such pairs differ in 11 bits and maybe more, where no choice of blocks is selective; so candidates
-    share a shingle of their prefixes, which all such pairs do, and every one is checked on the whole sets. Groups are
-    first linked through each bucket's first and neighbours; then all pairs that are still apart are tried. Texts
-    without words are alike. Null ids as in near_duplicates().
-    """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sets = materialise(map_batches(rows, _nodes("_id"), plus(rows.select("_id"), "node long")), "sets")
-    share = min(1.0, ORDER_SAMPLE / max(1, sets.count()))  # for the order alone: it decides costs, not results
-    sampled = map_batches(rows.select("_text").sample(share, 42), _hashes, "h long").groupBy("h").count().where("count > 2")
-    common = np.sort(np.array([r.h for r in sampled.orderBy(F.desc("count"), "h").limit(ORDER_MOST).collect()], dtype=np.int64).view(np.uint64))
-    prefixes = map_batches(rows.select("_text"), _prefixes(common, similarity), "h long, node long, n long")
-    buckets = materialise(prefixes.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_shared, "h long, node long, n long"), "shared_shingles")
-
-    def verified(rooted: DataFrame, every: bool) -> DataFrame:
-        dealt = rooted.select("h", "node", "n", "root").repartition("h").sortWithinPartitions("h", "n", "node")
-        pairs = materialise(dealt.mapInArrow(_pairs(similarity, every), "a long, b long").distinct(), "pairs")
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        found = map_batches(rows.select("_text"), _nodes("_text"), "_text string, node long").join(needed, "node", "left_semi")
-        texts = materialise(found.groupBy("node").agg(F.first("_text").alias("_text")), "texts")
-        text = lambda x: texts.select(F.col("node").alias(x), F.col("_text").alias(f"t{x}"))
-        out = materialise(map_batches(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb"), _alike(similarity), "a long, b long"), "alike")
-        discard(texts, pairs)
-        return out
-
-    links = verified(buckets.withColumn("root", F.col("node")), every=False)
-    roots = materialise(components(links), "set_roots")
-    more = verified(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), every=True)
-    roots = materialise(components(links.union(more)), "set_roots")
-    rooted = sets.groupBy("node").agg(F.min("_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = materialise(rooted.join(least, "root").select("node", "component_id"), "set_components")
-    return sets.join(of_node, "node").select(F.col("_id").alias(id_col), "component_id")
-
-
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontaminate, htmltext, packing, pii, secrets, sharding, simhash, tokenfiles, toxicity, vecdedup
+from quadrille.llm import decontaminate, htmltext, nearcopies, packing, pii, secrets, sharding, shingles, simhash, tokenfiles, toxicity, vecdedup
 from quadrille.llm.common import components, materialise, numbered
 
 WORDS = "alpha beta gamma delta épsilon zeta eta theta".split()
@@ -350,13 +350,18 @@ def test_near_copies_are_those_of_brute_force(spark):
     for _ in made:
         low = [min(low[j] for j, y in enumerate(sets) if x == y or x & y and len(x & y) >= 0.8 * len(x | y)) for x in sets]
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()}
     assert got == dict(enumerate(low))
+    rows_ = nearcopies.near_copies(df.union(spark.createDataFrame([(None, made[5]), (2, made[8]), (2, made[2])], "doc_id long, text string"))).collect()
+    firsts = [r for r in rows_ if r["first"]]
+    assert {r.component_id for r in firsts} == set(low) - {5} and len(firsts) == len(set(low)) + 1  # (2, "one two") twice is one document
+    assert not any(r["first"] for r in rows_ if r.doc_id is None)
     assert any(low[i] != i and (brute_print(made[i]) ^ brute_print(made[low[i]])).bit_count() > 2 for i in range(len(made)))
-    assert simhash.near_copies(df.where("false")).count() == 0
+    assert nearcopies.near_copies(df.where("false")).count() == 0
 
 
-def test_links_within_the_radius(spark):
+@pytest.mark.parametrize(("shard_prints", "most"), [(256, 2048), (16, 64), (64, 8), (10_000, 4)])
+def test_links_within_the_radius(spark, shard_prints, most):
     rnd = random.Random(8)
     values = [rnd.getrandbits(64) for _ in range(30)]
     for v in list(values):
@@ -368,7 +373,7 @@ def test_links_within_the_radius(spark):
     values = sorted(set(values))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(v),) for v in values], "fp long").repartition(5)
-    found = {r.node: r.root for r in components(simhash.hamming_links(df)).collect()}
+    found = {r.node: r.root for r in components(simhash.hamming_links(df, shard_prints=shard_prints, most=most)).collect()}
     groups = {v: v for v in values}
 
     def root(x):
@@ -384,6 +389,31 @@ def test_links_within_the_radius(spark):
     assert same(root) == same(lambda v: found.get(signed(v), signed(v)))
 
 
+def test_trees_follow_only_edges_within_the_radius():
+    rnd = np.random.default_rng(14)
+    values = rnd.integers(0, 1 << 63, 600, dtype=np.uint64)
+    values = np.unique(np.concatenate([values, values ^ np.uint64(5), values ^ np.uint64(1 << 40), values ^ np.uint64(7)]))
+    rnd.shuffle(values)
+    tree = simhash.BKTree(values)
+    for radius in (0, 1, 2, 3):
+        tree.visited = 0
+        a, b = tree.near(values, radius)
+        want = np.nonzero(np.bitwise_count(values[:, None] ^ values[None]) <= radius)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == list(zip(*(x.tolist() for x in want), strict=True))
+        assert len(values) < tree.visited < 0.1 * len(values) ** 2
+    assert len(simhash.BKTree(values[:0]).near(values, 2)[0]) == 0
+
+
+def test_most_prints_of_a_table_meet_others_in_a_tree(spark, monkeypatch):
+    """On a real table the trees do the work: shards hold many prints."""
+    prints = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).select("fp").distinct()
+    rows = [(r.fp,) for r in prints.collect()]
+    monkeypatch.setattr(simhash, "_tree_links", lambda radius: lambda batches: (b.select([0, 1]).rename_columns(["a", "b"]) for b in batches))
+    dealt = simhash.hamming_links(spark.createDataFrame(rows, "fp long"))
+    shards = dealt.groupBy("a", "b").count().collect()  # combo and key
+    assert sum(r["count"] for r in shards) >= 3 * len(rows) and max(r["count"] for r in shards) > 100
+
+
 # 9
 
 
