@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontaminate, packing, secrets, simhash, toxicity
+from quadrille.llm import decontaminate, nearcopies, packing, secrets, toxicity
 from quadrille.llm.common import fresh, materialise
 
 MASK = "[SECRET]"
@@ -20,9 +20,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays. Documents without an id stay, as
-    do rows that repeat the kept id: they are the same document."""
-    return docs.join(simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays.
+    Each row's own text decides, whatever its id; documents without an id come last in their group, and rows that repeat
+    the kept id and text are the same document."""
+    own, other = fresh(docs, "_key"), fresh(docs, "_id")
+    gone = nearcopies.near_copies(docs).where("NOT first").select(F.col("doc_id").alias(other), F.col("text_key").alias(f"{own}_gone")).distinct()
+    rows = docs.withColumn(own, nearcopies.text_key(F.col("text")))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(own) == F.col(f"{own}_gone")), "left_anti").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
