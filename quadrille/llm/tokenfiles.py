@@ -8,7 +8,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,8 @@ class Encoder:
 
     A blank with no white space beside it always starts a token of the byte-level pre-tokenizer, whose tokens never
     look back, so a text's ids are those of its units (each with its leading blank) one after the other. Units beside
-    longer white space are joined to one.
+    longer white space are joined to one. A text that holds an added token of the file, such as an end marker, goes to the
+    library whole, which gives the token's id there, as encode(text, add_special_tokens=False) does by itself.
     """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
@@ -74,6 +75,8 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.normalizer or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError("a byte-level tokenizer without normalizer and prefix blank is needed")
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         pre, model, form = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize, f"<{'H' if self.kind.itemsize == 2 else 'I'}"
@@ -99,6 +102,8 @@ class Encoder:
         """The ids of the text and the end id, as little-endian bytes. A null counts as empty."""
         if not text:
             return self.end
+        if any(a in text for a in self.added):
+            return self.whole(text) + self.end
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text):
             return b"".join(map(self.unit, self.joined(text))) + self.end
         first, *rest = text.split(" ")
@@ -133,7 +138,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
     part-N.bin holds the ids, flat; part-N.idx the 64-bit offsets of its documents in it, one more than there are
     documents; part-N.ids the documents' ids, 64 bits. base is the number of ids in all parts before: prefix sums over
     the manifest, which has a row for each part only. A part is written under a name of its attempt and then renamed,
-    so a task that runs again leaves a whole file. Null ids come first and are marked as -2**63; texts order ties.
+    so a task that runs again leaves a whole file. Null ids come first and are marked as -2**63; texts order ties, and rows
+    of one id can fall on several parts.
     """
     spark = docs.sparkSession
     spark.range(1).write.mode("ignore").parquet(f"{folder}/_made")  # the folder, by Spark's own file system
@@ -164,7 +170,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
             store.move(f"{top}/attempt-{attempt}.{name}", f"{top}/part-{part:06d}.{name}")
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(sizes)]), pa.array([sum(sizes)])], names=["part", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     parts = sorted(ordered.mapInArrow(run, "part long, n_docs long, n_tokens long").collect())
     bases = np.concatenate(([0], np.cumsum([r.n_tokens for r in parts]))).tolist()
     rows = [(r.part, r.n_docs, r.n_tokens, b) for r, b in zip(parts, bases, strict=False)]
@@ -179,25 +185,27 @@ def read(manifest: DataFrame, folder: str, itemsize: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
 
-        def mapped(name: str, dtype) -> np.ndarray:
+        def opened(name: str, dtype: np.dtype) -> Callable[[int, int], np.ndarray]:
+            """What gives the values from one place to another of a file, without reading the others."""
             if isinstance(store, fs.LocalFileSystem):
-                return np.memmap(f"{top}/{name}", dtype, "r")
-            with store.open_input_file(f"{top}/{name}") as f:
-                return np.frombuffer(f.read(), dtype)
+                values = np.memmap(f"{top}/{name}", dtype, "r")
+                return lambda a, b: values[a:b]
+            file = store.open_input_file(f"{top}/{name}")
+            return lambda a, b: np.frombuffer(file.read_at((b - a) * dtype.itemsize, a * dtype.itemsize), dtype)
 
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, at, docs = (mapped(f"part-{part:06d}.{n}", d) for n, d in (("bin", kind), ("idx", "<i8"), ("ids", "<i8")))
-                for i in range(0, len(docs), 10_000):
-                    ends = at[i : i + 10_001].tolist()
-                    sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
-                    names = docs[i : i + 10_000]
+            for part, base, n_docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, at, docs = (opened(f"part-{part:06d}.{n}", np.dtype(d)) for n, d in (("bin", kind), ("idx", "<i8"), ("ids", "<i8")))
+                for i in range(0, n_docs, 1000):
+                    to = min(n_docs, i + 1000)
+                    ends, names = at(i, to + 1), docs(i, to)
+                    sums = [zlib.crc32(ids(a, b).astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, mask=names == -(2**63)), pa.array(at[i : i + len(names)] + base), pa.array(np.diff(at[i : i + 10_001])), pa.array(sums, pa.int64())],
+                        [pa.array(names, mask=names == -(2**63)), pa.array(ends[:-1] + base), pa.array(np.diff(ends)), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return manifest.select("part", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("part", "base", "n_docs").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_tokens(spark, sf_dir: str) -> DataFrame:
