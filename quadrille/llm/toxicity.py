@@ -93,8 +93,8 @@ def fit(rows: list[tuple[bytes | None, int]], alpha: float = 1.0, beta: float =
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = ROWS_PER_LABEL) -> Model:
     """Fits a model on at most rows_per_label documents of each label outside the held-out fifth.
 
-    Labels of a repeated id agree on their largest; null ids and labels teach nothing. The chosen ids, a bounded
-    number, are broadcast; only their texts come to the driver.
+    Labels of a repeated id agree on their largest, and its texts on their smallest, so at most rows_per_label texts of
+    each label come to the driver. Null ids and labels teach nothing. The chosen ids, a bounded number, are broadcast.
     """
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
@@ -103,8 +103,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not chosen:
         return fit([])
     ids = spark.createDataFrame(chosen, known.schema)
-    found = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(F.col(text_col).cast("binary"), "_label", id_col)
-    rows = sorted(((r[2], r[0] or b"", r[1]) for r in found.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))[: 2 * rows_per_label]
+    found = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).groupBy(id_col, "_label").agg(F.min(text_col).cast("binary"))
+    rows = sorted(((r[0], r[2] or b"", r[1]) for r in found.toLocalIterator()), key=lambda r: str(r[0]))
     return fit([(t, y) for _, t, y in rows])
 
 
