@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log, log2, sqrt
 
 import numpy as np
@@ -18,10 +20,11 @@ from quadrille.llm.common import map_batches, others_of, plus
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
-#: Candidates are whole runs of these, of at least MIN_RUN.
+#: Candidates are whole runs of these.
 _RUN_BYTES = np.zeros(256, np.bool_)
 _RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-MIN_RUN = 16
+#: Symbols of the shortest base match that is looked for in runs, an access key.
+LEAST_BASE = 16
 END = ""
 
 
@@ -142,6 +145,8 @@ class Grammar:
     alphabet: int
     bits_a_symbol: float = 1.0
     bits: float = 24.0
+    #: Symbols of the shortest candidate: four fifths of the shortest labelled credential, as credentials get cut off.
+    shortest: int = 1
 
     def best(self, text: str) -> tuple[str, float] | None:
         """The kind whose format likelihood exceeds every background's most, and by how many bits, if by enough."""
@@ -160,7 +165,8 @@ def learn(labelled: list[tuple[str, str]], background: str = "plain") -> Grammar
         by.setdefault(kind, []).append(value)
     made = {kind: infer(values) for kind, values in by.items()}
     alphabet = len({c for _, value in labelled for c in value}) or 1
-    return Grammar({k: a for k, a in made.items() if not k.startswith(background)}, [a for k, a in made.items() if k.startswith(background)], alphabet)
+    shortest = min((len(value) for kind, value in labelled if not kind.startswith(background)), default=1) * 4 // 5
+    return Grammar({k: a for k, a in made.items() if not k.startswith(background)}, [a for k, a in made.items() if k.startswith(background)], alphabet, shortest=max(1, shortest))
 
 
 def base_spans(text: str, runs: list[tuple[int, int]], assigns: bool) -> list[tuple[int, int, str]]:
@@ -178,11 +184,14 @@ def find(text: str, runs: list[tuple[int, int]], assigns: bool, grammar: Grammar
     """(base spans, all spans): a run that meets no base span and that a format explains better than the background adds
     `format` spans."""
     base = base_spans(text, runs, assigns)
-    added = [(a, b, "format") for a, b in runs if not any(x < b and a < y for x, y, _ in base) and grammar.best(text[a:b])]
+    # of the base spans that begin before a run ends, the one that ends last tells whether any meets the run
+    starts, ends = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
+    clear = lambda a, b: not (k := bisect_left(starts, b)) or ends[k - 1] <= a
+    added = [(a, b, "format") for a, b in runs if b - a >= grammar.shortest and clear(a, b) and grammar.best(text[a:b])]
     return base, sorted(base + added, key=lambda x: (x[0], (*KINDS, "format").index(x[2])))
 
 
-def _candidates(column: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, int]], bool]]:
+def _candidates(column: pa.Array, shortest: int) -> Iterator[tuple[int, str, list[tuple[int, int]], bool]]:
     """(row, text, runs in code points, whether it may hold an assignment) for the rows where anything can be found.
     Runs come from one pass over the batch's UTF-8 bytes."""
     column = column.cast(pa.large_binary())
@@ -199,7 +208,7 @@ def _candidates(column: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, in
         cut = [(max(a, at[r]), min(b, at[r + 1])) for a, b in zip(starts[crossing].tolist(), ends[crossing].tolist(), strict=True) for r in range(int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, b - 1, side="right")))]
         starts = np.concatenate((starts[~crossing], [a for a, _ in cut]))
         ends = np.concatenate((ends[~crossing], [b for _, b in cut]))
-    long = ends - starts >= MIN_RUN
+    long = ends - starts >= shortest
     starts, ends = starts[long], ends[long]
     by = np.argsort(starts, kind="stable")
     starts, ends = starts[by], ends[by]
@@ -233,7 +242,7 @@ def scan(docs: DataFrame, grammar: Grammar, text_col: str = "text", mask: str |
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             base, spans, masked = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)], {}
-            for r, text, runs, assigns in _candidates(texts):
+            for r, text, runs, assigns in _candidates(texts, min(LEAST_BASE, shared.value.shortest)):
                 base[r], spans[r] = find(text, runs, assigns, shared.value)
                 if mask is not None and spans[r]:
                     parts, at = [], 0
