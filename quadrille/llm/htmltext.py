@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -16,7 +18,9 @@ from quadrille.llm.common import map_batches, others_of, plus
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Hidden inside svg and math, whose other text is visible.
+HIDDEN_FOREIGN = frozenset("desc metadata defs symbol clippath annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption ul".split())
 #: Blocks with an empty line before and after them.
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
@@ -36,17 +40,22 @@ IMPLIED = {
     "tfoot": ({"td", "th", "tr", "caption", "thead", "tbody", "tfoot", "colgroup"}, {"table"}),
     "body": ({"head"}, {"body"}),
 }
-_TOKEN = re.compile(r"<!--(?:(?=>|->)|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_STYLE_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: An attribute; a quote opens a quoted value right after the equals sign only.
+_VALUE = r"(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+"
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+){_VALUE}")
+_TOKEN = re.compile(rf"<!--(?:(?=>|->)|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE.pattern.replace('(', '(?:').replace('(?:?:', '(?:')})*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_DECLARATION = re.compile(r"(?:^|;)\s*+(display|visibility)\s*+:\s*+([A-Za-z-]+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "number", "tag")
+    """`hidden` takes the whole element away; `visible` (None: as the parent) only the text that is not made visible again.
+    `number` is a list's start or an item's value, `span` a cell's columns and rows (0 rows: to the end)."""
 
-    def __init__(self, tag: str, hidden: bool = False, number: int | None = None) -> None:
-        self.tag, self.hidden, self.number, self.children = tag, hidden, number, []
+    __slots__ = ("children", "hidden", "number", "span", "tag", "visible")
+
+    def __init__(self, tag: str, hidden: bool = False, number: int | None = None, visible: bool | None = None, span: tuple[int, int] = (1, 1)) -> None:
+        self.tag, self.hidden, self.number, self.visible, self.span, self.children = tag, hidden, number, visible, span, []
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -56,8 +65,13 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _hidden(tag: str, attributes: dict[str, str]) -> bool:
-    return tag in HIDDEN or "hidden" in attributes or bool(_STYLE_HIDDEN.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in attributes)
+def _style(attributes: dict[str, str]) -> dict[str, str]:
+    """Display and visibility as the inline style has them last."""
+    return {m[1].lower(): m[2].lower() for m in _DECLARATION.finditer(attributes["style"].lower())} if "style" in attributes else {}
+
+
+def _hidden(tag: str, attributes: dict[str, str], style: dict[str, str], foreign: bool) -> bool:
+    return tag in HIDDEN or (foreign and tag in HIDDEN_FOREIGN) or "hidden" in attributes or style.get("display") == "none" or (tag == "input" and attributes.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in attributes)
 
 
 def _number(attributes: dict[str, str], name: str) -> int | None:
@@ -65,27 +79,62 @@ def _number(attributes: dict[str, str], name: str) -> int | None:
     return int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else None
 
 
+def _spans(attributes: dict[str, str]) -> tuple[int, int]:
+    """Columns and rows of a cell, within HTML's own bounds."""
+    columns, rows = _number(attributes, "colspan"), _number(attributes, "rowspan")
+    return min(1000, columns) if columns and columns > 0 else 1, min(65534, rows) if rows is not None and rows >= 0 else 1
+
+
+class _Open:
+    """The open elements, and at which depths each tag is open, so that no search walks them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close_to(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.at[self.nodes.pop().tag].pop()
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost of these; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def find(self, tags: frozenset[str] | set[str], until: frozenset[str] | set[str]) -> int:
+        """The depth of the innermost of `tags` that no element of `until` is within; 0 if there is none."""
+        return depth if (depth := self.deepest(tags)) and depth > self.deepest(until - tags) else 0
+
+    def outermost(self, tags: Iterable[str], until: Iterable[str]) -> int:
+        """The depth of the outermost of `tags` within the innermost of `until`; 0 if there is none."""
+        beyond = self.deepest(until)
+        found = [d[k] for t in tags if (d := self.at.get(t)) and (k := bisect_right(d, beyond)) < len(d)]
+        return min(found, default=0)
+
+
 def parse(html: str) -> Node:
     """The tree: end tags that HTML lets authors omit are implied, those that match nothing open are ignored, and what is
-    open at the end ends there. Table parts without their parents get them."""
+    open at the end ends there. Table parts without their parents get them; text ends the head. Time follows the page's
+    length, whatever its depth."""
     root = Node("#root")
-    stack = [root]
+    opened = _Open(root)
+    stack, close_to, find = opened.nodes, opened.close_to, opened.find
     at = 0
 
-    def close_to(depth: int) -> None:
-        del stack[depth:]
-
-    def find(tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                return depth
-            if stack[depth].tag in until:
-                break
-        return 0
+    def add_text(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip():
+            close_to(len(stack) - 1)
+        stack[-1].children.append(text)
 
     def open_(tag: str, attributes: dict[str, str]) -> Node:
         number = _number(attributes, "start") if tag == "ol" else _number(attributes, "value") if tag == "li" else None
-        node = Node(tag, _hidden(tag, attributes), number)
+        style = _style(attributes)
+        visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""))
+        foreign = bool(opened.at.get("svg") or opened.at.get("math"))
+        node = Node(tag, _hidden(tag, attributes, style, foreign), number, visible, _spans(attributes) if tag in ("td", "th") else (1, 1))
         stack[-1].children.append(node)
         return node
 
@@ -93,10 +142,10 @@ def parse(html: str) -> Node:
     while at < len(html):
         m = _TOKEN.search(html, at)
         if not m:
-            stack[-1].children.append(unescape(html[at:]))
+            add_text(unescape(html[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
+            add_text(unescape(html[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
@@ -114,19 +163,12 @@ def parse(html: str) -> Node:
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1].tag):
             close_to(len(stack) - 1)
         if tag in IMPLIED:
-            ends, until = IMPLIED[tag]
-            depth = 0
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d].tag in until:
-                    break
-                if stack[d].tag in ends:
-                    depth = d
-            if depth:
+            if depth := opened.outermost(*IMPLIED[tag]):
                 close_to(depth)
         elif tag not in ("head", "html", "meta", "link", "base", "title", "script", "style", "noscript", "template") and stack[-1].tag == "head":
             close_to(len(stack) - 1)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            stack.append(open_("tr", {}))
+            opened.push(open_("tr", {}))
         node = open_(tag, _attributes(m[3]) if m[3] else {})
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(html, at)
@@ -137,7 +179,7 @@ def parse(html: str) -> Node:
             node.children.append(html[at:])
             at = len(html)
         elif tag not in VOID:
-            stack.append(node)
+            opened.push(node)
     return root
 
 
@@ -204,15 +246,42 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
-    """Cells (lists of lines) in aligned columns, a bar between them; a cell's further lines go below its first."""
-    columns = max(map(len, rows), default=0)
-    widths = [max((_width(line) for row in rows if k < len(row) for line in row[k]), default=0) for k in range(columns)]
+def _table(rows: list[list[tuple[list[str], tuple[int, int]]]]) -> list[str]:
+    """Cells (their lines, and how many columns and rows they span) in aligned columns, a bar between them; a cell's further
+    lines go below its first, and where it spans rows the cells of those stand beside it. Columns in which no cell begins
+    are none."""
+    taken: list[tuple[int, int, int]] = []  # first column, the one after the last, and the row that they are free again from
+    placed = []
+    for y, row in enumerate(rows):
+        x, k, line, tall = 0, 0, [], []
+        for lines, (columns, height) in row:
+            while k < len(taken) and taken[k][0] <= x:
+                x, k = max(x, taken[k][1]), k + 1
+            line.append((x, x + columns, lines))
+            if height != 1:
+                tall.append((x, x + columns, y + height if height else len(rows)))
+            x += columns
+        placed.append(line)
+        if taken or tall:
+            taken = sorted([t for t in taken if t[2] > y + 1] + tall)
+    begins = sorted({x for line in placed for x, _, _ in line})
+    narrow = {x: k for k, x in enumerate(begins)}
+    placed = [[(narrow[a], bisect_left(begins, b), lines) for a, b, lines in line] for line in placed]
+    widths = [0] * len(begins)
+    for wide in (False, True):
+        for a, b, lines in (cell for line in placed for cell in line if (cell[1] - cell[0] > 1) == wide):
+            room = sum(widths[a:b]) + 3 * (b - a - 1)
+            widths[b - 1] += max(0, max(map(_width, lines), default=0) - room)
     out = []
-    for row in rows:
-        for i in range(max(map(len, row), default=0)):
-            cells = [row[k][i] if k < len(row) and i < len(row[k]) else "" for k in range(len(row))]
-            out.append(" | ".join(c + " " * (widths[k] - _width(c)) for k, c in enumerate(cells)).rstrip())
+    for line in placed:
+        for i in range(max((len(lines) for _, _, lines in line), default=0)):
+            cells, at = [], 0
+            for a, b, lines in line:
+                cells += [" " * w for w in widths[at:a]]
+                text = lines[i] if i < len(lines) else ""
+                cells.append(text + " " * (sum(widths[a:b]) + 3 * (b - a - 1) - _width(text)))
+                at = b
+            out.append(" | ".join(cells).rstrip())
     return out
 
 
@@ -221,7 +290,8 @@ def render(root: Node) -> str:
     indented by depth, table cells aligned. Iterative, so that depth is no limit."""
     out = _Out()
     outs = [out]
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[tuple[list[str], tuple[int, int]]]]] = []
+    shown = [True]
     counters: list[int | None] = []
     pre = 0
     todo: list[tuple[object, bool]] = [(root, False)]
@@ -229,7 +299,8 @@ def render(root: Node) -> str:
         node, leaving = todo.pop()
         out = outs[-1]
         if isinstance(node, str):
-            out.text(node, pre > 0)
+            if shown[-1]:
+                out.text(node, pre > 0)
             continue
         tag = node.tag
         if not leaving:
@@ -241,9 +312,12 @@ def render(root: Node) -> str:
             if tag in BLOCK:
                 out.block(0 if (tag in ("ul", "ol") and counters) else int(tag in SPACED))
             if tag == "hr":
-                out.text("---", False)
+                if shown[-1] if node.visible is None else node.visible:
+                    out.text("---", False)
                 out.block(1)
                 continue
+            if node.visible is not None:
+                shown.append(node.visible)
             if tag in ("ul", "ol", "menu", "dir"):
                 counters.append(None if tag != "ol" else node.number if node.number is not None else 1)
             elif tag == "li":
@@ -272,21 +346,23 @@ def render(root: Node) -> str:
             if counters and counters[-1] is not None:
                 number = node.number if node.number is not None else counters[-1]
                 counters[-1], mark = number + 1, f"{number}. "
-            for i, line in enumerate(lines or [""]):
+            for i, line in enumerate(lines or [""] * shown[-1]):
                 out._flush((mark if not i else " " * len(mark) if line else "") + line)
         elif tag in ("td", "th"):
             if tables:
-                tables[-1][-1].append(outs.pop().done())
+                tables[-1][-1].append((outs.pop().done(), node.span))
             else:
                 out.text(" ", False)
         elif tag == "table":
             out.block(1)
-            for line in _table([row for row in tables.pop() if any(row)]):
+            for line in _table([row for row in tables.pop() if any(lines for lines, _ in row)]):
                 out._flush(line)
         elif tag in ("pre", "textarea", "xmp", "plaintext", "listing"):
             pre -= 1
         if tag in BLOCK:
             outs[-1].block(0 if (tag in ("ul", "ol") and counters) else int(tag in SPACED))
+        if node.visible is not None:
+            shown.pop()
     return "\n".join(outs[0].done())
 
 
