@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -113,6 +115,28 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs.drop("spans"), grammar).count() == docs.count()
 
 
+def test_base_secrets_equal_plain_patterns(spark):
+    rnd = random.Random(15)
+    parts = ["password", "Secret", "api_key", "apikey", "token", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAAKIA", "Q7Z2" * 3, "deadbeef" * 3, "0f" * 9, "abc", "x", "é", "😀", "-", ".", "\n", "9"]
+    made = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    patterns = [("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2), ("access", "AKIA[A-Z0-9]+", 16, 0), ("hex", "[0-9a-f]+", 32, 0)]
+    found = secrets.scan(rows, secrets.learn(secrets.labelled_credentials())).collect()
+    assert len(found) == len(made)
+    for r in found:
+        want = [(m.start(), k, m.end()) for k, (_, p, least, group) in enumerate(patterns) for m in re.finditer(p, made[r.doc_id]) if len(m[group]) >= least]
+        assert [(s.start, secrets.KINDS.index(s.kind), s.end) for s in r.base] == sorted(want)
+        assert {(s.start, s.end, s.kind) for s in r.base} <= {(s.start, s.end, s.kind) for s in r.spans}
+        assert not any(s.kind == "format" and any(b.start < s.end and s.start < b.end for b in r.base) for s in r.spans)
+
+
+def test_secrets_in_a_text_with_many(spark):
+    text = " ".join(f"token = {'ab12Cd' * 4}{i} and ghp_{'aB3dE6gH9j' * 3}{i:06d}" for i in range(20_000))
+    began = time.monotonic()
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), secrets.learn(secrets.labelled_credentials())).first()
+    assert len(r.base) == 20_000 and len(r.spans) > 39_000 and time.monotonic() - began < 60
+
+
 def test_grammar_inference():
     a = secrets.infer(["ab" * n for n in range(1, 9)] * 20)
     assert a.log2_likelihood("abababababab", 3) > a.log2_likelihood("aabbaabbaabb", 3) + 20
@@ -216,6 +240,65 @@ def test_disclosing_terms(spark):
     assert shown[3] == "common words here, contact [TERM] at [EMAIL] please 3" and shown[101] == rows[6][1]
 
 
+def brute_disclosing(texts_):
+    """{text: the terms that disclose one of its identifiers} by the definition, over distinct texts."""
+    from math import log, log2
+
+    texts_ = list(dict.fromkeys(texts_))
+    terms = {t: {m[0].lower() for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]{4,}", t)} for t in texts_}
+    value = lambda t, k, a, b: re.sub("[^0-9]", "", t[a:b]) if k == "card" else t[a:b].lower()
+    held = {t: {value(t, *x) for x in brute_pii(t)} for t in texts_}
+    n = len(texts_)
+    has = lambda sets, x: {t for t in texts_ if x in sets[t]}
+    out = {t: set() for t in texts_}
+    for e in set().union(*held.values()):
+        de = has(held, e)
+        for w in set().union(*(terms[t] for t in de)):
+            dw = has(terms, w)
+            k, a, b = len(de & dw), len(dw), len(de)
+            cells = [(k, a, b), (a - k, a, n - b), (b - k, n - a, b), (n - a - b + k, n - a, n - b)]
+            g2 = 2 * sum(o * log(o * n / (x * y)) for o, x, y in cells if o)
+            if n > b and log2(k * n / (a * b)) >= 0.9 * log2(n / b) and g2 >= 10.83:
+                for t in de & dw:
+                    out[t].add(w)
+    return out
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rnd = random.Random(17)
+    names = ["zebulon", "marvolo", "quintus", "ottoline", "perpetua"]
+    made = []
+    for i in range(400):
+        t = rnd.choices("common words here about rivers bridges towns market water stone".split(), k=12)
+        if i % 5 == 0:
+            k = rnd.randrange(len(names))
+            t += [names[k].title(), f"{names[k]}@mail.example.com", *(["10.0.0.%d" % k] if rnd.random() < 0.5 else [])]
+            if rnd.random() < 0.3:
+                t += [names[(k + 1) % 5], f"x{i}unique", f"only{i}@a.example.org", "4111 1111 1111 1111"]
+            rnd.shuffle(t)
+        made.append(" ".join(t))
+    made += made[:40]
+    want = brute_disclosing(made)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    found = 0
+    for r in pii.find(df).collect():
+        t = made[r.doc_id]
+        base = brute_pii(t)
+        spans = [m.span() for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]{4,}", t) if m[0].lower() in want[t] and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        assert [(s.start, s.end) for s in r.terms] == spans
+        found += len(spans)
+    assert found > 50
+
+
+def test_pii_of_a_text_with_very_many_identifiers(spark):
+    long = " ".join(f"näme word{i} user{i}x@mail{i}.example.com Únique{'abcdefghij'[i % 10] * (4 + i // 10 % 40)}" for i in range(20_000))
+    df = spark.createDataFrame([(1, long), *((i, f"plain text of the town {i}") for i in range(2, 400))], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert len(got[1].base) == 20_000 and [(s.start, s.end) for s in got[1].base] == [m.span() for m in re.finditer(r"user\S+com", long)]
+    assert len(got[1].terms) >= 20_000 and not got[2].terms and time.monotonic() - began < 120
+
+
 def test_rare_identifiers_disclose(spark):
     """An identifier in a single text is protected as any other; copies of a text are no evidence of their own."""
     rows = [(0, "common words here, ask Zebulon at zeb@mail.example.com please")]
@@ -252,6 +335,17 @@ def test_disclosing_terms_far_from_the_identifier(spark):
         ("<td>loose</td></nothing><p></p>x</p>", "loose \n\nx"),
         ("", ""),
         ("<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>", "a        | b\n\nin | ner"),
+        ("<a title=it's>hello</a> world, it's <b>fine</b>", "hello world, it's fine"),
+        ('<p class=a">hello</p><p id="b">two</p>', "hello\n\ntwo"),
+        ("<a href='x>y' b=c/d>t</a><a b = \"q'>\">u</a><a =x>v</a>", "tuv"),
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>B</b>c</div>d", "B\nd"),
+        ("<ul><li style='visibility:hidden'>x<li>y</ul>", "- y"),
+        ("<table><tr><td colspan=2>AB<td>C<tr><td>a<td>b<td>c</table>", "AB    | C\na | b | c"),
+        ("<table><tr><td rowspan=2>tall<td>x<tr><td>y<tr><td>z<td>w</table>", "tall | x\n     | y\nz    | w"),
+        ("<table><tr><td rowspan=0>r<td>x<td rowspan=2>s<tr><td>y<tr><td>z<td>t</table>", "r | x | s\n  | y |\n  | z | t"),
+        ("<table><tr><td colspan=1000>wide cell here<td>e<tr><td>a</table>", "wide cell here | e\na"),
+        ("<svg><title>no</title><text>label</text><desc>no</desc></svg> <math><mi>x</mi><annotation>no</annotation></math>", "label x"),
+        ("<head><title>t</title>text here<p>x", "text here\n\nx"),
     ],
 )
 def test_html(html, text):
@@ -259,6 +353,65 @@ def test_html(html, text):
     assert [x.rstrip(" |") for x in got.splitlines()] == [x.rstrip(" |") for x in text.splitlines()]
 
 
+class PlainRenderer(HTMLParser):
+    """The visible words in order, by the standard library's tokeniser: for trees whose tags are all closed."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in htmltext.VOID:
+            style = dict(attrs).get("style") or ""
+            self.open.append((tag, tag in htmltext.HIDDEN or "hidden" in dict(attrs) or "none" in style))
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        if not any(hidden for _, hidden in self.open):
+            self.words += data.split()
+
+
+def test_html_words_equal_an_independent_renderer():
+    rnd = random.Random(31)
+
+    def tree(depth):
+        out = []
+        for _ in range(rnd.randint(1, 4)):
+            tag = rnd.choice(["div", "span", "b", "section", "em", "blockquote", "template", "article", "h2", "ul", "table"])
+            attrs = rnd.choice(["", " hidden", " style='display:none'", ' title="a > b"', " data-x=it's", " class=a b"])
+            inner = f"w{rnd.randrange(1000)} &amp;{rnd.randrange(9)}" if depth > 4 or rnd.random() < 0.3 else tree(depth + 1)
+            if tag == "h2":
+                inner = f"head{rnd.randrange(100)}"
+            if tag == "ul":
+                inner = "".join(f"<li>{x}</li>" for x in (inner, "item"))
+            if tag == "table":
+                inner = f"<tr><td>{rnd.randrange(100)}</td><td>cell{rnd.randrange(100)}</td></tr>"
+            out.append(f"<{tag}{attrs}>{inner}</{tag}><!-- {rnd.randrange(9)} > -->\n")
+        return "".join(out)
+
+    for _ in range(400):
+        page = tree(0)
+        plain = PlainRenderer()
+        plain.feed(page)
+        plain.close()
+        assert [w for w in htmltext.visible_text(page).split() if w not in ("-", "|")] == plain.words
+
+
+def test_html_takes_time_by_length_and_not_by_depth():
+    began = time.monotonic()
+    for page in ("<div>" * 200_000 + "x", "<p><object>" + "<div>" * 200_000 + "x", "<li><i>" * 30_000, "<td colspan=1000>x" * 3000, "<b>" * 50_000 + "</i>" * 50_000, "<a b='" * 100_000, "<a" + " =" * 200_000):
+        htmltext.visible_text(page)
+    assert time.monotonic() - began < 60
+
+
+def test_html_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", "x"), (1, "<p>a</p>", "x"), (None, "<p>b", None)], "page_id long, html string, Text string")
+    assert sorted((r.page_id or 0, r.text) for r in htmltext.extract(pages).collect()) == [(0, "b"), (1, "a"), (1, "a")]
+    assert htmltext.extract(pages.where("false")).count() == 0
+
+
 def test_html_survives_anything(spark):
     rnd = random.Random(4)
     parts = ["<p", ">", "</", "<!--", "-->", "<table>", "<td>", "<li>", "</ul>", "<ul>", "x", " ", '"', "&", "<script>", "</script>", "<br>", "\n", "<select><option>", "</table>", "<pre>", "<tr>"]
@@ -300,6 +453,24 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, packing.byte_tokens()).count() == 0
 
 
+def test_boundaries_by_halving_equal_the_plain_programme():
+    rnd = random.Random(16)
+    for _ in range(30):
+        lengths = sorted(rnd.sample(range(1, 5000), rnd.randint(20, 150)))
+        steps = [(x, n := rnd.choice((1, 1, 5, 300)), x * n) for x in lengths]
+        best = {0: 0}
+        for _ in range(6):  # the least padding of the steps before j in one bucket more
+            best = {j: min(p + sum(n * (lengths[j - 1] - x) for x, n, _ in steps[i:j]) for i, p in best.items() if i < j or i == j == 0) if j else 0 for j in range(len(steps) + 1)} if len(best) == 1 else {j: min([best[j]] + [best[i] + sum(n * (lengths[j - 1] - x) for x, n, _ in steps[i:j]) for i in range(j)]) for j in best}
+        bounds = packing.best_boundaries(steps, 6)
+        assert len(bounds) <= 6 and sum(n * (min(b for b in bounds if b >= x) - x) for x, n, _ in steps) == best[len(steps)]
+
+
+def test_no_boundary_exceeds_the_longest_row(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([3, 5, 1500, 40_001, 40_003, 999_999])], "doc_id long, n long")
+    got = packing.pack(df, F.col("n"), buckets=3).collect()
+    assert max(r.boundary for r in got) == 999_999 and all(r.n_tokens <= r.boundary for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 1000, 1023, 1024, 1025, 5000, 122_698, 2**33 + 1])
 def test_steps(spark, n):
     step = spark.range(1).select(F.expr(packing.step_of(f"{n}L"))).first()[0]
@@ -441,6 +612,37 @@ def test_toxicity(spark):
     assert len(blank.features) == 0
 
 
+def test_ftrl_equals_a_scalar_version():
+    rnd = random.Random(19)
+    rows = [(" ".join(rnd.choices(WORDS, k=6) + (["bad"] if i % 3 == 0 else [])).encode(), int(i % 3 == 0)) for i in range(40)]
+    alpha, beta, l2, epochs, seed = 1.0, 1.0, 0.5, 3, 7
+    l1 = 0.02 * len(rows) ** 0.5
+    hasher = toxicity.Hasher(12)
+    z, n, bias, bias_n = {}, {}, np.log((sum(y for _, y in rows) + 0.5) / (sum(1 - y for _, y in rows) + 0.5)), 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            at, y = sorted(set(hasher(rows[k][0]).tolist())), rows[k][1]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y
+            for i in at:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= 0.05 * g / (1 + bias_n**0.5)
+    model = toxicity.fit(rows, l1=0.02, epochs=epochs, bits=12)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want, rel=1e-4) and model.bias == pytest.approx(bias)
+
+
+def test_repeated_ids_and_a_clashing_score(spark):
+    docs = spark.createDataFrame([(1, "vile scum", 9.0), (1, "vile scum", 9.0), (1, "other", 9.0), (2, "nice", 9.0), (None, "x", 9.0)], "doc_id long, text string, score double")
+    model = toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int"), rows_per_label=1)
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+
+
 # 10
 
 
@@ -450,7 +652,7 @@ def test_token_files(spark, docs, none, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(77, "one <|endoftext|> two"), (77, "one"), (78, "<|endoftext|>")], "doc_id long, text string"))
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     got = tokenfiles.read(tokenfiles.write(docs, str(tmp_path / "t"), path), str(tmp_path / "t")).orderBy("start").collect()
     at = 0
@@ -467,7 +669,6 @@ def test_encoder_equals_the_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), tokenfiles.Encoder(path)
-    t.encode_special_tokens = True
     rnd = random.Random(12)
     parts = [" ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "​", "﻿", "a", "b'll", "'s", "12", "é", "中文", "...", "!", "<|endoftext|>", "\r\n", "²", "🙂", "\x00", "foo", "bar.", "x,\ny", "a_b"]
     for _ in range(5000):
