@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 #: Rows that a Python worker is handed at a time.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 #: Lower-cases A-Z; ASCII that is neither a letter nor a digit becomes a blank; bytes from 0x80 stay.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -48,11 +50,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows, as whole texts at the session's default of 10,000 rows fill
-    Python workers and Arrow buffers. A limit that the session sets below that stays."""
+    """mapInArrow in batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, as whole texts at the session's default of
+    10,000 rows fill Python workers and Arrow buffers. These are settings of the session, read when the plan runs, so they
+    are lowered there for good; limits that the session sets below them stay."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(-?\d+)b?", conf.get(f"spark.sql.execution.arrow.{name}"), re.IGNORECASE)
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
     return df.mapInArrow(f, schema)
 
 
@@ -73,17 +78,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _path(df, path)[0].deleteOnExit(_path(df, path)[1])  # if the job ends before discard()
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def _path(df: DataFrame, at: str) -> tuple:
+    """Hadoop's file system and path."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of materialise() that nothing will read again."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        store, path = _path(df, df.written_to)
+        store.delete(path, True)
 
 
 def numbered(df: DataFrame, key: list[str], order: list[Column], salt: Column, rows: int, out: str, per_bucket: int = 1000, most: int = 4096) -> DataFrame:

@@ -46,8 +46,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingles.shingle_sets(texts_of(batch, "_text"), WIDTH)
         sketches = [shingles.sketch(x) for x in sets]
         prints = [np.packbits(2 * shingles.bit_counts(x) > len(x), bitorder="little").view("<i8")[0] for x in sets]
-        made = [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints, pa.int64()), pa.array([shingles.folded(x, shingles.LEAST_BITS // 64).tobytes() for x in sketches], pa.binary()), pa.array([x.tobytes() for x in sketches], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_key", "node", "n", "fp", "low", "sketch"])
+        made = [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints, pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_key", "node", "n", "fp", "sketch"])
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,33 +111,61 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
         yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
+class _Sketches:
+    """The sketches of a group, each folded to any smaller size once."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.words = [np.frombuffer(x, "<u8") for x in raw]
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.folds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the sketches of this size or more as rows, at which row each stands)."""
+        if size not in self.folds:
+            able = self.sizes >= size
+            self.folds[size] = np.stack([shingles.folded(self.words[i], size) for i in np.flatnonzero(able).tolist()]), np.cumsum(able) - 1
+        return self.folds[size]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the pairs differ, by the largest sketches that both have."""
+        out, common = np.zeros(len(x), np.int64), np.minimum(self.sizes[x], self.sizes[y])
+        for size in np.unique(common).tolist():
+            rows, at = self.folded(size)
+            pairs = np.flatnonzero(common == size)
+            for i in range(0, len(pairs), step := max(1, (1 << 18) // size)):
+                some = pairs[i : i + step]
+                out[some] = np.bitwise_count(rows[at[x[some]]] ^ rows[at[y[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _candidates(similarity: float, nearest: bool):
-    """Rows (h, p, q, side, node, root, n, low) sorted by (h, p, q) to pairs of sets of different roots that may be similar by
-    their sizes and sketches: all (a, b), or for each set its nearest (a, b, apart)."""
+    """Rows (h, p, q, side, node, root, n, sketch) sorted by (h, p, q) to pairs of sets of different roots that may be
+    similar by their sizes and sketches: all (a, b), or for each set its nearest (a, b, apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, side, node, root, n, low in _groups(batches, 3):
-            words = np.frombuffer(b"".join(low), "<u8").reshape(len(low), -1)
+        for _, _, _, side, node, root, n, raw in _groups(batches, 3):
+            sketches = _Sketches(raw)
+            coarse, _ = sketches.folded(int(sketches.sizes.min()))
             left, right = (np.flatnonzero(side != s) for s in (1, 0))
             for i in range(0, len(left), 64):
                 rows = left[i : i + 64]
-                sizes = n[rows][:, None], n[right][None]
-                apart = np.bitwise_count(words[rows][:, None] ^ words[right][None]).sum(axis=2, dtype=np.int64)
-                fits = (apart <= shingles.most_apart(sizes[0] + sizes[1], similarity)) & (root[rows][:, None] != root[right][None])
-                fits &= np.minimum(*sizes) >= similarity * np.maximum(*sizes) - 1e-9
+                total = n[rows][:, None] + n[right][None]
+                fits = (root[rows][:, None] != root[right][None]) & (np.minimum(n[rows][:, None], n[right][None]) >= similarity * np.maximum(n[rows][:, None], n[right][None]) - 1e-9)
+                fits &= np.bitwise_count(coarse[rows][:, None] ^ coarse[right][None]).sum(axis=2, dtype=np.int64) <= shingles.most_apart(total, similarity)
+                x, y = np.nonzero(fits)
+                apart = sketches.apart(rows[x], right[y])
+                close = apart <= shingles.most_apart(total[x, y], similarity)
+                x, y, share = x[close], y[close], apart[close] / total[x[close], y[close]]
+                if not len(x):
+                    continue
                 if nearest:
-                    share = np.where(fits, apart / (sizes[0] + sizes[1]), np.inf)
-                    best = share.argmin(axis=1)
-                    some = fits.any(axis=1)
-                    out = [node[rows][some], node[right][best][some], share[np.arange(len(rows)), best][some]]
+                    order = np.lexsort((node[right[y]], share, x))
+                    first = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))]
+                    out = [node[rows[x[first]]], node[right[y[first]]], share[first]]
                 else:
-                    x, y = np.nonzero(fits)
-                    x, y = node[rows][x], node[right][y]
-                    out = [np.minimum(x, y), np.maximum(x, y)]
-                    if len(x):
-                        out = list(np.unique(np.stack(out), axis=1))
-                if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in out], names=["a", "b", "apart"][: len(out)])
+                    ends = node[rows[x]], node[right[y]]
+                    out = list(np.unique(np.stack((np.minimum(*ends), np.maximum(*ends))), axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=["a", "b", "apart"][: len(out)])
 
     return run
 
@@ -158,13 +186,17 @@ def _near_enough(similarity: float):
     return run
 
 
-def _alike(similarity: float):
+def _alike(similarity: float, rows: int = 64):
+    """Pairs whose sets are similar; the texts of a few pairs at a time are hashed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            texts = dict(zip(batch.column(0).to_pylist(), texts_of(batch, "ta"), strict=True)) | dict(zip(batch.column(1).to_pylist(), texts_of(batch, "tb"), strict=True))
-            sets = dict(zip(texts, shingles.shingle_sets(list(texts.values()), WIDTH), strict=True))
-            yield batch.select(["a", "b"]).filter(pa.array([shingles.jaccard(sets[a], sets[b]) >= similarity - 1e-12 for a, b in pairs], pa.bool_()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                batch = whole.slice(i, rows)
+                pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                texts = dict(zip(batch.column(0).to_pylist(), texts_of(batch, "ta"), strict=True)) | dict(zip(batch.column(1).to_pylist(), texts_of(batch, "tb"), strict=True))
+                sets = dict(zip(texts, shingles.shingle_sets(list(texts.values()), WIDTH), strict=True))
+                yield batch.select(["a", "b"]).filter(pa.array([shingles.jaccard(sets[a], sets[b]) >= similarity - 1e-12 for a, b in pairs], pa.bool_()))
 
     return run
 
@@ -184,15 +216,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from quadrille.llm.simhash import hamming_links
 
     rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
-    sets = materialise(map_batches(rows, _facts, plus(rows.select("_id", "_key"), "node long, n long, fp long, low binary, sketch binary")), "sets")
-    facts = materialise(sets.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("_key").alias("_key"), F.min("low").alias("low"), F.min("sketch").alias("sketch")), "facts")
+    sets = materialise(map_batches(rows, _facts, plus(rows.select("_id", "_key"), "node long, n long, fp long, sketch binary")), "sets")
+    facts = materialise(sets.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("_key").alias("_key"), F.min("sketch").alias("sketch")), "facts")
     share = min(1.0, ORDER_SAMPLE / max(1, sets.count()))  # for the order alone: it decides costs, not results
     sampled = map_batches(rows.select("_text").sample(share, 42), _hashes, "h long").groupBy("h").count().where("count > 2")
     common = np.sort(np.array([r.h for r in sampled.orderBy(F.desc("count"), "h").limit(ORDER_MOST).collect()], dtype=np.int64).view(np.uint64))
     prefixes = map_batches(rows.select("_text"), _prefixes(common, similarity), "h long, node long, hot boolean")
     # rows of a shingle meet in one task to see whether it is shared; of hot ones that is known, and they are dealt by set
     dealt = prefixes.repartition(F.when(F.col("hot"), F.xxhash64("h", "node")).otherwise(F.col("h"))).sortWithinPartitions("h", "node")
-    buckets = materialise(dealt.mapInArrow(_shared, "h long, node long"), "shared_shingles")
+    shared = materialise(dealt.mapInArrow(_shared, "h long, node long"), "shared_shingles")
+    # texts that share a passage share many shingles: of those that the same sets have, one gives all the pairs
+    owners = shared.groupBy("h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    one = owners.groupBy("c", "x", "y").agg(F.min("h").alias("h")).select("h")
+    buckets = materialise(shared.join(one, "h", "left_semi"), "buckets")
+    discard(shared)
     tried: list[DataFrame] = []
     links: list[DataFrame] = []
 
@@ -228,8 +265,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             WHEN root = top THEN transform(sequence(0, k - 1), p -> struct(p AS p, own AS q, 1 AS side))
             ELSE concat(transform(sequence(0, g - 1), q -> struct(own AS p, q AS q, 0 AS side)),
               transform(sequence(0, k - 1), j -> struct(least(own, j) AS p, -1 - greatest(own, j) AS q, if(j = own, 2, if(own < j, 0, 1)) AS side))) END""")
-        spread = found.select("h", "node", "root", F.explode(groups).alias("s")).select("h", "s.*", "node", "root").join(facts.select("node", "n", "low"), "node")
-        return spread.select("h", "p", "q", "side", "node", "root", "n", "low").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+        spread = found.select("h", "node", "root", F.explode(groups).alias("s")).select("h", "s.*", "node", "root").join(facts.select("node", "n", "sketch"), "node")
+        return spread.select("h", "p", "q", "side", "node", "root", "n", "sketch").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
 
     of_print = materialise(facts.groupBy("fp").agg(F.min("node").alias("lo")), "by_print")
     found = hamming_links(of_print.select("fp"))

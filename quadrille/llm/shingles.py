@@ -8,7 +8,7 @@ import math
 import numpy as np
 
 #: Bytes whose powers are kept; a batch is hashed in pieces of about this size that end between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _GAP = np.zeros(256, np.bool_)
 _GAP[[9, 10, 11, 12, 13, 32]] = True

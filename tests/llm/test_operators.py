@@ -531,6 +531,53 @@ def test_near_copies_are_those_of_brute_force(spark):
     assert nearcopies.near_copies(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_a_large_group_of_near_copies(spark, monkeypatch, block):
+    """Every set shares shingles with every other; with small blocks the group is dealt in many."""
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    rnd = random.Random(21)
+    made = []
+    for size, many in ((150, 160), (900, 40)):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(size)]
+        for i in range(many):
+            words_ = list(base)
+            for _ in range(size // 150 if i % 3 else size // 60):
+                words_[rnd.randrange(len(words_))] = f"c{rnd.randrange(10**6)}"
+            made.append(" ".join(words_))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, made)]
+    low = list(range(len(made)))
+    near = [[j for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)] for x in sets]
+    for _ in range(len(made)):
+        new = [min(low[j] for j in js) for js in near]
+        if new == low:
+            break
+        low = new
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()} == dict(enumerate(low))
+    assert 2 < len(set(low)) < len(made) // 2
+
+
+def test_shingles_of_batches():
+    rnd = random.Random(22)
+    made = ["".join(rnd.choices(["a", "B", "é", " ", "\t", "\n", "word", "\x1c", "\u2003", "x" * 30], k=rnd.randint(0, 60))).encode() for _ in range(300)]
+    made += [None, b"", b" ", b"z" * 1_000_000, b"long words here " * 100_000]
+    sets = shingles.shingle_sets(made, 5)
+    names = {}
+    for text, found in zip(made, sets, strict=True):
+        w = (text or b"").lower().split()
+        plain = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(plain) == len(found) and (found[1:] > found[:-1]).all()
+        alone = {int(shingles.shingle_sets([b"\n".join(one) + b" "], 5)[0][0]) for one in plain}  # as a text of its own
+        assert alone == set(found.tolist())
+        for one, h in zip(sorted(plain), (int(shingles.shingle_sets([b" ".join(x)], 5)[0][0]) for x in sorted(plain)), strict=True):
+            assert names.setdefault(h, one) == one
+    for x in sets[:60]:
+        for y in sets[:60]:
+            size = min(len(shingles.sketch(x)), len(shingles.sketch(y)))
+            bits = int(np.bitwise_count(shingles.folded(shingles.sketch(x), size) ^ shingles.folded(shingles.sketch(y), size)).sum())
+            assert bits <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.parametrize(("shard_prints", "most"), [(256, 2048), (16, 64), (64, 8), (10_000, 4)])
 def test_links_within_the_radius(spark, shard_prints, most):
     rnd = random.Random(8)
