@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quadrille.operators.reshape import col
 
@@ -61,6 +63,46 @@ class Catalog:
         return dims.join(self.hierarchy.select(F.col("child").alias("node_id")), "node_id", "left_anti").join(self.nodes.where("is_time OR is_geo").select("node_id"), "node_id", "left_anti").select("table_id", "node_id")
 
 
+def prompt_nodes(nodes: DataFrame, hierarchy: DataFrame, scores: DataFrame, most: int = 500) -> DataFrame:
+    """(table_id, position, node_id, kind, score): the order in which a prompt names a table's nodes, the first `most`.
+
+    nodes: (table_id, node_id, kind), kind `measure`, `dimension` for a group or `code`; scores: (table_id, node_id, score).
+    Measures come first, then each group with its codes below it, groups by the best score among themselves and their
+    codes, then codes without a group; within each, scored ones first and best first, then by node_id.
+    """
+    scored = nodes.join(scores, ["table_id", "node_id"], "left")
+    parents = hierarchy.select(F.col("child").alias("node_id"), "parent")
+    groups = nodes.where("kind = 'dimension'").select("table_id", F.col("node_id").alias("parent"), F.lit(True).alias("_known"))
+    owned = scored.join(parents, "node_id", "left").join(groups, ["table_id", "parent"], "left")
+    group = F.when(F.col("kind") == "dimension", F.col("node_id")).when((F.col("kind") == "code") & F.col("_known"), F.col("parent"))
+    best = F.max("score").over(Window.partitionBy("table_id", "_group"))
+    part = F.when(F.col("kind") == "measure", 0).when(F.col("_group").isNotNull(), 1).otherwise(2)
+    placed = owned.withColumn("_group", group).withColumn("_part", part).withColumn("_best", F.when(F.col("_part") == 1, best))
+    order = Window.partitionBy("table_id").orderBy("_part", F.desc_nulls_last("_best"), F.asc_nulls_first("_group"), (F.col("kind") != "dimension").cast("int") * F.col("_group").isNotNull().cast("int"), F.desc_nulls_last("score"), "node_id")
+    return placed.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= most).select("table_id", "position", "node_id", "kind", "score")
+
+
+def enriched_bodies(tables: DataFrame, nodes: DataFrame, labels: DataFrame, enrich: bool = True) -> DataFrame:
+    """(table_id, body): a table's texts (table_id, text; several rows each), each ending in a full stop, and, if enrich, the
+    labels and other labels of its measures and dimensions' codes that are neither time nor geography."""
+    sentence = F.when(F.trim("text").endswith("."), F.trim("text")).otherwise(F.concat(F.trim("text"), F.lit(".")))
+    base = tables.where("trim(text) <> ''").groupBy("table_id").agg(F.array_join(F.array_sort(F.collect_list(sentence)), " ").alias("body"))
+    if not enrich:
+        return base
+    telling = nodes.where("NOT is_time AND NOT is_geo").select("table_id", "node_id").distinct().join(labels, ["table_id", "node_id"])
+    words = telling.select("table_id", F.explode(F.array_compact(F.array("label", "alt_label"))).alias("l")).groupBy("table_id").agg(F.array_join(F.array_sort(F.collect_set("l")), " ").alias("_labels"))
+    return base.join(words, "table_id", "left").select("table_id", F.concat_ws(" ", "body", "_labels").alias("body"))
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() gives, kept as Parquet at `path`: read from there if it was written to the end, else built and written."""
+    sc = spark.sparkContext
+    done = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def time_coverage(rows: DataFrame, table: str, label: Column) -> DataFrame:
     """(table, coverage): first and last year of the labels with a dash between, or the one year."""
     years = rows.groupBy(table).agg(F.min(label).alias("a"), F.max(label).alias("b")).select(table, F.substring("a", 1, 4).alias("a"), F.substring("b", 1, 4).alias("b"))

@@ -50,11 +50,38 @@ def records(df: DataFrame, precision: int = 5) -> DataFrame:
     return df.select(F.to_json(F.array_sort(F.filter(row, lambda x: x.isNotNull() & (x != "NaN")))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
 
 
+def _turned(truth: DataFrame, precision: int, most: int) -> DataFrame:
+    """(cell, n): the columns of a table as records() has its rows; only columns of at most `most` cells that aren't null,
+    as others equal no row of so many columns."""
+    numbers = _numeric(truth)
+    shown = [F.struct(F.lit(i).alias("column"), (F.round(col(c).cast("double"), precision).cast("string") if c in numbers else col(c).cast("string")).alias("cell")) for i, c in enumerate(truth.columns)]
+    every = truth.select(F.explode(F.array(*shown)).alias("s")).select("s.*").where("cell IS NOT NULL AND cell <> 'NaN'")
+    short = every.groupBy("column").count().where(F.col("count") <= most).select("column")
+    rows = every.join(short, "column").groupBy("column").agg(F.to_json(F.array_sort(F.collect_list("cell"))).alias("cell"))
+    return rows.groupBy("cell").agg(F.count("*").alias("n"))
+
+
 def record_accuracy(truth: DataFrame, predicted: DataFrame, precision: int = 5) -> DataFrame:
-    """One row `score`: the share of the truth's rows that the prediction has, of the larger of both counts."""
-    o = multiset_overlap(records(truth, precision), records(predicted, precision))
-    most = F.greatest("n_truth", "n_predicted")
-    return o.select(F.when(most == 0, F.lit(1.0)).otherwise(F.col("common") / most).alias("score"))
+    """One row `score`: the share of the truth's rows that the prediction has, as multisets of cells; further rows of the
+    prediction do no harm. If the truth isn't square, its columns may stand for its rows, should that score better. Two
+    empty tables agree, one is like nothing."""
+    found = records(predicted, precision)
+    o = multiset_overlap(records(truth, precision), found)
+    width = len(truth.columns)
+    if width:
+        turned = multiset_overlap(_turned(truth, precision, len(predicted.columns)), found).select(F.col("common").alias("turned"))
+    else:
+        turned = o.select(F.lit(0).alias("turned"))
+    both = o.crossJoin(F.broadcast(turned))  # one row each
+    share = F.col("common") / F.col("n_truth")
+    best = F.when(F.col("n_truth") == width, share).otherwise(F.greatest(share, F.col("turned") / max(1, width)))
+    none = F.col("n_predicted") == 0
+    return both.select(F.when(F.col("n_truth") == 0, none.cast("double")).when(none, F.lit(0.0)).otherwise(best).alias("score"))
+
+
+def small(df: DataFrame, most: int = 1000) -> bool:
+    """Whether an answer is small enough to be compared as a frame; reads no more rows than that tells."""
+    return df.limit(most).count() < most
 
 
 def frames_equal(a: DataFrame, b: DataFrame, precision: int = 5) -> DataFrame:

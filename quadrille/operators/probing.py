@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.functions.text import is_period_code, partial_ratio
+from quadrille.functions.text import camel_words, grounded, is_period_code, partial_ratio
 from quadrille.operators.reshape import col
 
 
@@ -34,8 +34,39 @@ def pruned(wanted: DataFrame, probed: DataFrame) -> DataFrame:
     return found.withColumn("_keep", keep).withColumn("_any", any_kept).where("_keep OR _any = 0").drop("_there", "_keep", "_any")
 
 
-def ranked_codes(questions: DataFrame, codes: DataFrame, question: Column, label: Column, k: int = 1, threshold: float = 80.0) -> DataFrame:
-    """(.., score, rank): the codes whose labels fit a stated question best, per question and dimension."""
-    pairs = codes.crossJoin(questions).withColumn("score", partial_ratio(F.lower(label), F.lower(question))).where(F.col("score") >= threshold)
+def ranked_codes(questions: DataFrame, codes: DataFrame, question: Column, label: Column, k: int = 1, threshold: float = 80.0, gate: bool = False) -> DataFrame:
+    """(.., score, rank): the codes whose labels fit a stated question best, per question and dimension. With the gate, a
+    label of meaningful words has to have one of them in the question; the test is cheap and comes before the matching."""
+    pairs = codes.crossJoin(questions)  # a stated set of questions against all codes
+    if gate:
+        pairs = pairs.where(grounded(F.regexp_extract_all(F.lower(label), F.lit(r"(\b[a-z]{4,}\b)"), F.lit(1)), question))
+    scored = pairs.withColumn("score", partial_ratio(F.lower(label), F.lower(question))).where(F.col("score") >= threshold)
     w = Window.partitionBy("question_id", "dimension").orderBy(F.desc("score"), "code")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def resolved_codes(questions: DataFrame, codes: DataFrame, question: Column, label: Column, threshold: float = 80.0) -> DataFrame:
+    """(question_id, dimension, code, label): the best code of each dimension that a question names."""
+    return ranked_codes(questions, codes.withColumn("_label", label), question, F.col("_label"), 1, threshold, gate=True).select("question_id", "dimension", "code", F.col("_label").alias("label"))
+
+
+def schema_dimension_labels(dimensions: DataFrame, labels: DataFrame) -> DataFrame:
+    """(table_id, node_id, label) of dimensions (table_id, node_id); one without a label has its name's words."""
+    found = dimensions.join(labels.select("table_id", "node_id", "label"), ["table_id", "node_id"], "left")
+    return found.select("table_id", "node_id", F.coalesce(F.nullif(F.nullif("label", F.lit("None")), F.lit("")), camel_words(F.col("node_id"))).alias("label"))
+
+
+def hints(named: DataFrame, ranked: DataFrame, tables: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """(question_id, dimension, codes): for each question the likely codes of the dimensions of its tables, best first.
+
+    named: (question_id, table_id, dimension, code, label) by resolved_codes() on all of a question's tables, of which those
+    not `present` (table_id, dimension, code) in the data are left out and the best table (lowest rank in `tables`:
+    question_id, table_id, rank) decides; ranked: (question_id, dimension, code, label, rank) of probed codes, which replace
+    them.
+    """
+    if present is not None:
+        named = named.join(present.select("table_id", "dimension", "code").distinct(), ["table_id", "dimension", "code"], "left_semi")
+    placed = named.join(tables.select("question_id", "table_id", "rank"), ["question_id", "table_id"])
+    floor = placed.groupBy("question_id", "dimension").agg(F.min_by(F.array(F.struct("code", "label")), F.struct("rank", "code")).alias("_floor"))
+    probed = ranked.groupBy("question_id", "dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code", "label"))), lambda x: F.struct(x["code"], x["label"])).alias("_probed"))
+    return floor.join(probed, ["question_id", "dimension"], "full").select("question_id", "dimension", F.coalesce("_probed", "_floor").alias("codes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from itertools import product
@@ -72,11 +73,43 @@ def without_empty_columns(df: DataFrame) -> DataFrame:
 
 def without_repeated_columns(columns: list[str]) -> list[str]:
     """Names without those that repeat another with a number of up to two digits after `_`."""
-    import re
-
     return [c for c in columns if not ((m := re.fullmatch(r"(.*)_(\d{0,2})", c)) and m[1] in columns)]
 
 
+def presented(df: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """An answer as it is shown: without columns that hold nothing, without repeated columns of a join, the key
+    `Dimension_Measure` as `Measure`, columns named by their labels, in order of their names."""
+    df = without_empty_columns(df)
+    df = df.select(*map(col, without_repeated_columns(df.columns)))
+    names = {c: "Measure" if c == "Dimension_Measure" else (labels or {}).get(c, c) for c in df.columns}
+    return sorted_columns(df.select(*(col(c).alias(n) for c, n in names.items())))
+
+
+def indexed(df: DataFrame, selectors: list[str]) -> DataFrame:
+    """The selectors' columns first. A selector that is no column is a measure: only its rows stay, and Measure (and Unit, if
+    there is one) come first; if it has no rows either, the answer stays as it is."""
+    missing = [s for s in selectors if s not in df.columns]
+    if not missing:
+        return df.select(*map(col, selectors), *(col(c) for c in df.columns if c not in selectors))
+    rows = df.where(col("Measure") == missing[0]) if "Measure" in df.columns else df.limit(0)
+    if rows.isEmpty():
+        return df
+    first = [c for c in ("Measure", "Unit") if c in df.columns]
+    return rows.select(*map(col, first), *(col(c) for c in df.columns if c not in first))
+
+
+def code_levels(columns: list[str]) -> list[tuple[str, ...]]:
+    """The codes in pivoted column names: `_` separates them where three characters or more follow."""
+    return [tuple(re.split(r"_(?=[^_]{3,})", c)) for c in columns]
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """The first `most` rows as a table in Markdown; for answers."""
+    shown = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *([shown(v) for v in r] for r in df.limit(most).collect())]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
 def transpose(df: DataFrame, key: str) -> DataFrame:
     """Columns become rows (`column`), key values columns; for answers, whose size is bounded by members()."""
     others = [c for c in df.columns if c != key]

@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 
 from quadrille import catalog, training, units
 from quadrille.functions import stemming, text
-from quadrille.metrics import answers, selection
+from quadrille.metrics import answers, evaluation, selection
 from quadrille.operators import probing, reshape
+from quadrille.plans import sqltext
 from quadrille.plans.compiler import CubeContext, code_filter, compile, long_form
 from quadrille.plans.expressions import Value
 from quadrille.retrieval import ranking
@@ -277,6 +278,112 @@ def schema_dimensions(spark, d):
     return _catalog(spark, d).schema_dimensions()
 
 
+def _with_measures(spark: SparkSession, d: str) -> catalog.Catalog:
+    """The catalog with customers' segments as measures of T1, some of them with units."""
+    c = _catalog(spark, d)
+    segment = table(spark, d, "customer").select("c_mktsegment").distinct()
+    no = F.lit(False)
+    nodes = c.nodes.union(segment.select(F.lit("T1"), "c_mktsegment", F.lit("measure"), no, no, no))
+    facts = spark.createDataFrame([("BUILDING", "EUR", "", 1.0, None, False), ("BUILDING", "COUNT", "", 1.0, None, False), ("MACHINERY", None, "", 1.0, None, False), ("ASIA", "COUNT", "", 1.0, None, False)], c.units.schema)
+    return catalog.Catalog(c.tables, nodes, c.labels, c.hierarchy, facts)
+
+
+@query("measures_and_dimensions", "SELECT 'T1' AS table_id, node_id, kind FROM (SELECT r_name AS node_id, 'dimension' AS kind FROM region UNION ALL SELECT DISTINCT c_mktsegment, 'measure' FROM customer)")
+def measures_and_dimensions(spark, d):
+    return _with_measures(spark, d).measures_and_dimensions(table(spark, d, "region").select(F.col("r_name").alias("node_id")))
+
+
+@query("measure_units", "SELECT DISTINCT c_mktsegment AS node_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'COUNT,EUR' ELSE '' END AS units FROM customer")
+def measure_units(spark, d):
+    return _with_measures(spark, d).measure_units("T1").select("node_id", F.array_join("units", ",").alias("units"))
+
+
+@query("dimension_labels", "SELECT p_brand AS node_id, CASE WHEN p_brand < 'Brand#3' THEN min(p_type) ELSE trim(regexp_replace(regexp_replace(p_brand || 'InTheShop', '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')) END AS label FROM part GROUP BY p_brand")
+def dimension_labels(spark, d):
+    part = table(spark, d, "part")
+    name = F.concat("p_brand", F.lit("InTheShop"))
+    dims = part.select(F.lit("P").alias("table_id"), name.alias("node_id")).distinct()
+    labels = part.groupBy("p_brand").agg(F.min("p_type").alias("t")).select(F.lit("P").alias("table_id"), name.alias("node_id"), F.when(F.col("p_brand") < "Brand#3", F.col("t")).when(F.col("p_brand") < "Brand#4", "None").otherwise("").alias("label"))
+    return probing.schema_dimension_labels(dims, labels).select(F.regexp_replace("node_id", "InTheShop$", "").alias("node_id"), "label")
+
+
+_ASKED = "(SELECT n_nationkey AS question_id, lower('how many people live in ' || n_name || ' of ' || r_name) AS q FROM nation JOIN region ON n_regionkey = r_regionkey)"
+_NAMED = f"(SELECT question_id, 'nation' AS dimension, min(CAST(n_nationkey AS VARCHAR)) AS code FROM {_ASKED} JOIN nation ON contains(q, lower(n_name)) GROUP BY question_id UNION ALL SELECT question_id, 'region', min(CAST(r_regionkey AS VARCHAR)) FROM {_ASKED} JOIN region ON contains(q, lower(r_name)) GROUP BY question_id)"
+
+
+def _asked(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("n_nationkey").alias("question_id"), F.concat(F.lit("how many people live in "), "n_name", F.lit(" of "), "r_name").alias("q"))
+
+
+def _named_codes(spark, d):
+    codes = table(spark, d, "nation").select(F.lit("nation").alias("dimension"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
+    codes = codes.union(table(spark, d, "region").select(F.lit("region"), F.col("r_regionkey").cast("string"), "r_name"))
+    return probing.resolved_codes(_asked(spark, d), codes, F.col("q"), F.col("name"))
+
+
+@query("resolved_codes", f"SELECT question_id, dimension, code FROM {_NAMED}")
+def resolved_codes(spark, d):
+    return _named_codes(spark, d).select("question_id", "dimension", "code")
+
+
+@query("code_hints", f"SELECT question_id, dimension, CASE WHEN dimension = 'region' AND question_id % 2 = 0 THEN '9:probed' ELSE code || ':' || label END AS codes FROM (SELECT question_id, dimension, code, CASE dimension WHEN 'nation' THEN (SELECT n_name FROM nation WHERE CAST(n_nationkey AS VARCHAR) = code) ELSE (SELECT r_name FROM region WHERE CAST(r_regionkey AS VARCHAR) = code) END AS label FROM {_NAMED} WHERE dimension = 'region' OR CAST(code AS INT) < 20) UNION ALL SELECT n_nationkey, 'extra', '9:probed' FROM nation WHERE n_nationkey = 3")
+def code_hints(spark, d):
+    named = _named_codes(spark, d).withColumn("table_id", F.lit("T1"))
+    other = named.withColumn("table_id", F.lit("T2")).withColumn("code", F.lit("none"))  # of a worse table
+    tables = table(spark, d, "nation").select(F.col("n_nationkey").alias("question_id"), F.explode(F.expr("array(struct('T2' AS table_id, 2 AS rank), struct('T1' AS table_id, 1 AS rank))")).alias("t")).select("question_id", "t.*")
+    codes = table(spark, d, "nation").where("n_nationkey < 20").select(F.lit("nation").alias("dimension"), F.col("n_nationkey").cast("string").alias("code")).union(table(spark, d, "region").select(F.lit("region"), F.col("r_regionkey").cast("string")))
+    present = codes.select(F.explode(F.array(F.lit("T1"), F.lit("T2"))).alias("table_id"), "dimension", "code")
+    probed = table(spark, d, "nation").select(F.col("n_nationkey").alias("question_id"), F.when(F.col("n_nationkey") % 2 == 0, "region").when(F.col("n_nationkey") == 3, "extra").alias("dimension"), F.lit("9").alias("code"), F.lit("probed").alias("label"), F.lit(1).alias("rank")).where("dimension IS NOT NULL")
+    found = probing.hints(named.unionByName(other), probed, tables, present)
+    return found.select("question_id", "dimension", F.array_join(F.transform("codes", lambda c: F.concat_ws(":", c["code"], c["label"])), ",").alias("codes"))
+
+
+@query("prompt_nodes", """WITH k AS (SELECT n_name AS node_id, r_name AS parent, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey / 10.0 END AS score FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0),
+  r AS (SELECT r_name AS node_id, r_name AS parent, NULL AS score FROM region), m AS (SELECT DISTINCT c_mktsegment AS node_id, NULL AS parent, length(c_mktsegment) * 1.0 AS score FROM customer),
+  e AS (SELECT node_id, 'measure' AS kind, score, parent, 0 AS part, 0 AS low FROM m UNION ALL SELECT node_id, 'dimension', score, parent, 1, 0 FROM r UNION ALL SELECT node_id, 'code', score, parent, 1, 1 FROM k),
+  b AS (SELECT *, CASE WHEN part = 1 THEN max(score) OVER (PARTITION BY parent) END AS best FROM e)
+  SELECT row_number() OVER (ORDER BY part, best DESC NULLS LAST, parent NULLS FIRST, low, score DESC NULLS LAST, node_id) AS position, node_id, kind FROM b""")
+def prompt_nodes(spark, d):
+    c = _with_measures(spark, d)
+    scores = table(spark, d, "nation").where("n_nationkey % 3 <> 0").select(F.lit("T1").alias("table_id"), F.col("n_name").alias("node_id"), (F.col("n_nationkey") / 10.0).alias("score"))
+    scores = scores.union(c.nodes.where("kind = 'measure'").select("table_id", "node_id", F.length("node_id").cast("double")))
+    return catalog.prompt_nodes(c.nodes.where("table_id = 'T1'").select("table_id", "node_id", "kind"), c.hierarchy, scores).select("position", "node_id", "kind")
+
+
+_BODIES = "(SELECT r_name AS table_id, concat_ws(' ', r_name || '. Table of ' || lower(r_name) || '.', string_agg(DISTINCT n_name || ' ' || lower(n_name), ' ' ORDER BY n_name || ' ' || lower(n_name))) AS body FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 5 <> 4 GROUP BY r_name)"
+
+
+def _bodies(spark, d):
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    texts = region.select(F.col("r_name").alias("table_id"), F.explode(F.array(F.concat(F.lit("Table of "), F.lower("r_name"), F.lit(". ")), F.col("r_name"), F.lit(" "))).alias("text"))
+    of = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    nodes = of.select(F.col("r_name").alias("table_id"), F.col("n_name").alias("node_id"), (F.col("n_nationkey") % 5 == 4).alias("is_time"), F.lit(False).alias("is_geo"))
+    labels = of.select(F.col("r_name").alias("table_id"), F.col("n_name").alias("node_id"), F.concat_ws(" ", "n_name", F.lower("n_name")).alias("label"), F.lit(None).cast("string").alias("alt_label"))
+    return catalog.enriched_bodies(texts, nodes, labels)
+
+
+@query("enriched_bodies", f"SELECT table_id, body FROM {_BODIES}")
+def enriched_bodies(spark, d):
+    return _bodies(spark, d)
+
+
+@query("bm25_enriched", f"""WITH tok AS (SELECT table_id, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+')) AS term FROM {_BODIES}), dl AS (SELECT table_id, count(*) AS dl FROM tok GROUP BY table_id), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+  tf AS (SELECT table_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT DISTINCT s_suppkey, unnest(['table', 'nation_' || s_nationkey]) AS term FROM supplier)
+  SELECT s_suppkey, table_id, round(sum(ln((n + 1.0) / df) * tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf)), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (table_id), st GROUP BY s_suppkey, table_id""")
+def bm25_enriched(spark, d):
+    asked = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Table NATION_"), "s_nationkey").alias("q"))
+    found = ranking.bm25(_bodies(spark, d), asked, "table_id", "s_suppkey", text.tokens(F.col("body"), "[a-z0-9_]+"), text.tokens(F.col("q"), "[a-z0-9_]+"), None, constant=False)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("label_tokens", "SELECT r_name, string_agg(DISTINCT t, ',' ORDER BY t) AS tokens FROM (SELECT r_name, unnest(regexp_extract_all(lower(CASE WHEN n_nationkey % 4 = 0 THEN 'body ' || n_nationkey ELSE n_name END), '[a-z0-9]+')) AS t FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY r_name")
+def label_tokens(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    label = F.when(F.col("n_nationkey") % 8 == 0, "").when(F.col("n_nationkey") % 4 != 0, F.col("n_name"))
+    return ranking.label_tokens(rows, "r_name", label, F.concat(F.lit("body "), "n_nationkey"), "[a-z0-9]+").select("r_name", F.array_join("tokens", ",").alias("tokens"))
+
+
 # Probing
 @query("distinct_probe", "SELECT DISTINCT l_shipmode AS code FROM (SELECT p_type AS l_shipmode FROM part) ORDER BY 1 LIMIT 20")
 def distinct_probe(spark, d):
@@ -337,10 +444,9 @@ def prompt_lines(spark, d):
     return rows.select("r_name", F.concat(F.lit("Members of "), F.col("r_name"), F.lit("\n"), F.array_join(F.transform("names", lambda n: F.concat(F.lit("- "), n)), "\n")).alias("prompt"))
 
 
-@query("table_id_extract", "SELECT o_orderkey, 'T' || o_custkey AS ids FROM orders WHERE o_orderkey % 10 = 0")
+@query("table_id_extract", "SELECT o_orderkey, 'T' || o_custkey AS ids FROM orders")
 def table_id_extract(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 10 = 0")
-    return rows.select("o_orderkey", F.array_join(text.table_ids(F.concat(F.lit("(SUM () (VALUE T"), F.col("o_custkey"), F.lit(" (MSR (a))))"))), ",").alias("ids"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(text.table_ids(F.concat(F.lit("(SUM () (VALUE T"), F.col("o_custkey"), F.lit(" (MSR (a))))"))), ",").alias("ids"))
 
 
 @query("json_response_parse", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
@@ -365,6 +471,125 @@ def fuzzy_best_code(spark, d):
     return probing.ranked_codes(asked, codes, F.col("q"), F.col("label"), k=3, threshold=30.0).select("question_id", "dimension", "code", F.round("score", 4).alias("score"), "rank")
 
 
+@query("processed_text", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM conversations")
+def processed_text(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.processed(F.col("text")).alias("plain"))
+
+
+@query("stop_words", f"SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_name || ' total value of'), '[a-z]+'), lambda w: w NOT IN ('{"', '".join(text.GENERIC_WORDS)}', 'of')), ' ') AS words FROM part")
+def stop_words(spark, d):
+    words = text.tokens(F.concat("p_name", F.lit(" total value of")), "[a-z]+")
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.without_words(words, [*text.GENERIC_WORDS, "of"]), " ").alias("words"))
+
+
+@query("grounded", f"SELECT p_partkey, len(m) = 0 OR len(list_filter(m, lambda w: contains(lower(p_type), w))) > 0 AS ok FROM (SELECT p_partkey, p_type, list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: length(w) >= 4 AND w NOT IN ('{"', '".join(text.UNGROUNDED_WORDS)}')) AS m FROM part)")
+def grounded(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.grounded(text.tokens(F.col("p_name"), "[a-z]+"), F.col("p_type")).alias("ok"))
+
+
+@query("time_dimension", f"SELECT o_orderstatus, bool_and(regexp_matches(c, '^\\d{{4}}(JJ|KW|MM)\\d{{2}}$')) AS by_codes, o_orderstatus = 'P' AS by_name FROM (SELECT o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE '' END || period AS c FROM {_O}) GROUP BY o_orderstatus")
+def time_dimension(spark, d):
+    codes = context(spark, d).cube("O").groupBy("o_orderstatus").agg(F.array_sort(F.collect_set(F.concat(F.when(F.col("o_orderstatus") == "F", "x").otherwise(""), "period"))).alias("codes"))
+    name = F.when(F.col("o_orderstatus") == "P", "Perioden").otherwise("other")
+    return codes.select("o_orderstatus", text.is_time_dimension(F.lit("other"), F.col("codes")).alias("by_codes"), text.is_time_dimension(name, F.array().cast("array<string>")).alias("by_name"))
+
+
+@query("shortened", "SELECT doc_id, split_part(text, '.', 1) AS first, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS cut, CASE WHEN doc_id % 2 = 0 THEN lang || ' (' || source || '; b)' ELSE lang END AS label FROM documents")
+def shortened(spark, d):
+    alternatives = F.when(F.col("doc_id") % 2 == 0, F.array("source", F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("first"), text.truncated(F.col("text"), 120).alias("cut"), text.expanded_label(F.col("lang"), alternatives).alias("label"))
+
+
+@query("positives", "SELECT o_orderkey AS question, c_name AS pid FROM orders JOIN customer ON o_custkey = c_custkey")
+def positives(spark, d):
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("question"), F.concat(F.lit("(SUM () (VALUE C"), "o_custkey", F.lit(" (MSR (a))))")).alias("sexp"))
+    return training.positives(asked, table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("pid")))
+
+
+# SQL texts
+def _shown(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+_QUERIES = [
+    "SELECT SUM(a) AS s FROM 't.parquet' WHERE d IN ('u', 'v') AND c > 3 GROUP BY b ORDER BY s LIMIT 1",
+    "SELECT sum(a) AS s from 't.parquet' WHERE c > 4 AND d IN ('u') GROUP BY b",
+    "SELECT 100*a/b FROM t",
+    "(SUM () (JOIN (g) x y))",
+    "SELECT a, ROW_NUMBER() OVER (ORDER BY b) FROM t",
+]
+
+
+@query("question_types", "SELECT * FROM (VALUES (0, 'SUM'), (1, 'SUM'), (2, 'PROP'), (3, 'AGGJOIN'), (4, 'VALUE')) v(q, type)")
+def question_types(spark, d):
+    return _shown(spark, [(i, sqltext.question_type(q)) for i, q in enumerate(_QUERIES)], "q int, type string")
+
+
+@query("filter_columns", "SELECT * FROM (VALUES (0, 'd', 'u,v'), (1, 'd', 'u')) v(q, \"column\", codes)")
+def filter_columns(spark, d):
+    return _shown(spark, [(i, c, ",".join(codes)) for i, q in enumerate(_QUERIES) for c, codes in sqltext.in_lists(q).items()], "q int, column string, codes string")
+
+
+@query("text_match", "SELECT * FROM (VALUES ('case', true), ('space', true), ('literal', false)) v(kind, same)")
+def text_match(spark, d):
+    pairs = [("case", "select a from t", "SELECT a FROM t"), ("space", "SELECT  a\nFROM t ;", "SELECT a FROM t;"), ("literal", "SELECT 'A' FROM t", "SELECT 'a' FROM t")]
+    return _shown(spark, [(k, sqltext.same_text(a, b)) for k, a, b in pairs], "kind string, same boolean")
+
+
+_FREE = [
+    ("argmin", "SELECT p_brand, p_size FROM (SELECT p_brand, p_size, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rn FROM '{}/part.parquet') x WHERE rn = 1"),
+    ("least", "SELECT n_name, n_nationkey FROM '{}/nation.parquet' ORDER BY n_nationkey DESC LIMIT 1"),
+]
+
+
+@query("free_sql_argmin", "SELECT p_brand, p_size FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rn FROM part) WHERE rn = 1")
+def free_sql_argmin(spark, d):
+    return sqltext.run(spark, _FREE[0][1].format(d))
+
+
+@query("free_sql_limit", "SELECT n_name, n_nationkey FROM nation ORDER BY n_nationkey DESC LIMIT 1")
+def free_sql_limit(spark, d):
+    return sqltext.run(spark, _FREE[1][1].format(d))
+
+
+@query("query_outcomes", "SELECT * FROM (VALUES ('rows', ''), ('none', 'no results'), ('syntax', 'syntax'), ('missing', 'missing'), ('column', 'syntax')) v(kind, outcome)")
+def query_outcomes(spark, d):
+    asked = {"rows": f"SELECT * FROM '{d}/region.parquet'", "none": f"SELECT * FROM '{d}/region.parquet' WHERE r_regionkey < 0", "syntax": "SELEC 1", "missing": f"SELECT * FROM '{d}/nowhere.parquet'", "column": f"SELECT nothing FROM '{d}/region.parquet'"}
+    return _shown(spark, [(k, (sqltext.outcome(spark, q) or "").split(":")[0]) for k, q in asked.items()], "kind string, outcome string")
+
+
+# Answers as they are shown
+@query("presented", "SELECT r_regionkey AS \"Key\", r_name AS \"Measure\", CAST(r_regionkey * 2 AS BIGINT) AS b FROM region")
+def presented(spark, d):
+    df = table(spark, d, "region").select((F.col("r_regionkey") * 2).cast("long").alias("b"), F.col("r_name").alias("Dimension_Measure"), F.lit(None).cast("string").alias("empty"), F.lit(1).alias("b_1"), "r_regionkey")
+    return reshape.presented(df, {"r_regionkey": "Key"})
+
+
+@query("indexed_answer", "SELECT 'l_quantity' AS \"Measure\", round(sum(l_quantity), 2) AS \"Value\", l_returnflag FROM lineitem GROUP BY l_returnflag")
+def indexed_answer(spark, d):
+    long = compile(_VALUE, context(spark, d), "long").groupBy("l_returnflag", "Measure").agg(F.sum("Value").alias("Value"))
+    return rounded(reshape.indexed(long, ["l_quantity"]))
+
+
+_MIXED = [("l_quantity", "COUNT", "number", 1.0, None, False), ("l_extendedprice", "COUNT", "x 1 000", 1000.0, None, False)]
+expression("max_native_unit", "native", f"(MAX () {_VALUE})", f"SELECT l_returnflag, l_linestatus, 'l_extendedprice' AS label, 'x 1 000' AS \"Unit\", round(max(l_extendedprice) * 1000, 2) AS \"Value\" FROM {_L} GROUP BY l_returnflag, l_linestatus", 2, _MIXED)
+
+
+@query("unit_checks", "SELECT * FROM (VALUES ('same', ''), ('dimensionless', 'dimensionless'), ('different', 'different unit'), ('scaled', ''), ('multiplier', 'multipliers'), ('unknown', '')) v(kind, error)")
+def unit_checks(spark, d):
+    facts = spark.createDataFrame([("a", "EUR", "", 1.0, None, False), ("b", "EUR", "", 1000.0, None, False), ("c", "PERCENT", "", 1.0, None, True), ("e", "TONNE", "", 1.0, None, False), ("f", "KiloEUR", "", 1.0, "EUR", False)], "node_id string, unit string, unit_string string, multiplier double, scaling_of string, is_dimensionless boolean")
+    cases = [("same", "ab", True), ("dimensionless", "ac", True), ("different", "ae", True), ("scaled", "af", True), ("multiplier", "ab", False), ("unknown", "x", True)]
+
+    def error(measures: str, scaling: bool) -> str:
+        try:
+            units.check(facts, measures, scaling)
+        except units.UnitCompatibilityError as e:
+            return next((w for w in ("dimensionless", "different unit", "multipliers") if w in str(e)), str(e))
+        return ""
+
+    return _shown(spark, [(k, error(m, scaling)) for k, m, scaling in cases], "kind string, error string")
+
+
 # Retrieval
 _WORDS = r"[a-z]+"
 _BM = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) * 1.0 / (SELECT count(*) FROM documents) AS avgdl), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), sc AS (SELECT item_id, doc_id, round(sum(ln((n + 1.0) / df) * tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf)), 9) AS s FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY item_id, doc_id), base AS (SELECT item_id, sum(ln((n + 1.0) / df)) AS b FROM q JOIN df USING (term), st GROUP BY item_id)"
@@ -379,12 +604,12 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).withColumn("score", F.round("score", 6))
 
 
-_NODES = "(SELECT item_id, CASE WHEN doc_id % 3 = 0 THEN 't' || (doc_id % 7) ELSE 't' || (doc_id % 7) || '#' || doc_id END AS item, s AS score FROM (SELECT * FROM sc WHERE doc_id < 60))"
+_NODES = "(SELECT item_id, CASE WHEN doc_id % 3 = 0 THEN 't' || (doc_id % 7) ELSE 't' || (doc_id % 7) || '#' || doc_id END AS item, s AS score FROM sc)"
 
 
 @query("bm25_grouped", f"WITH {_BM} SELECT item_id, split_part(item, '#', 1) AS table_id, round(coalesce(max(CASE WHEN item NOT LIKE '%#%' THEN score END), 0) + 0.8 * coalesce(avg(CASE WHEN item LIKE '%#%' AND score >= 0.01 THEN score END), 0), 6) AS score FROM {_NODES} GROUP BY item_id, split_part(item, '#', 1)")
 def bm25_grouped(spark, d):
-    scores = _bm25(spark, d, None, constant=False).where("doc_id < 60")
+    scores = _bm25(spark, d, None, constant=False)
     name = F.concat(F.lit("t"), F.col("doc_id") % 7)
     nodes = scores.select("item_id", F.when(F.col("doc_id") % 3 == 0, name).otherwise(F.concat(name, F.lit("#"), F.col("doc_id"))).alias("item"), "score")
     return ranking.combine_nodes(nodes, "item_id").select("item_id", "table_id", F.round("score", 6).alias("score"))
@@ -403,30 +628,47 @@ def inverted_index(spark, d):
     return _index(spark, d).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("escape_candidates", f"SELECT item_id, doc_id, count(*) AS n FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) JOIN {_INDEX} USING (token) WHERE length(token) >= 4 AND token NOT IN ({_STOP}) AND doc_id % 5 <> 0 GROUP BY item_id, doc_id HAVING count(*) >= 2")
+_TOP = f"{_BM}, top AS (SELECT item_id, doc_id, s AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM sc)"
+_SHARED = f"(SELECT item_id, doc_id, count(*) AS n FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) JOIN {_INDEX} USING (token) WHERE length(token) >= 4 AND token NOT IN ({_STOP}) GROUP BY item_id, doc_id)"
+
+
+@query("escape_candidates", f"WITH {_TOP} SELECT item_id, doc_id, n FROM {_SHARED} WHERE n >= 2 AND (item_id, doc_id) NOT IN (SELECT item_id, doc_id FROM top WHERE rank <= 20)")
 def escape_candidates(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    pool = items.crossJoin(table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id")).select("item_id", "doc_id")  # a stand-in for a first stage's result
-    return ranking.escapes(_index(spark, d), items, pool, "item_id", "doc_id", text.tokens(F.col("q"), _WORDS))
+    return ranking.escapes(_index(spark, d), items, _bm25(spark, d, 20, constant=False), "item_id", "doc_id", text.tokens(F.col("q"), _WORDS))
 
 
-_TOP = f"{_BM}, top AS (SELECT item_id, doc_id, s AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM sc)"
-_OV = "CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z]+')), list_distinct(regexp_extract_all(lower(left(d.text, 400)), '[a-z]+')))) AS DOUBLE) / greatest(len(list_distinct(regexp_extract_all(lower(b.text), '[a-z]+'))), 1)"
+_OV = "CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z]+')))) AS DOUBLE) / greatest(len(list_distinct(regexp_extract_all(lower(b.text), '[a-z]+'))), 1)"
 
 
-def _overlaps(spark, d, alpha, normalise):
-    pool = _bm25(spark, d, 20, constant=False).join(table(spark, d, "documents").select("doc_id", text.tokens(F.substring("text", 1, 400), _WORDS).alias("label")), "doc_id").join(table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text"), _WORDS).alias("asked")), "item_id")
-    return ranking.rerank_by_overlap(pool, F.col("asked"), F.col("label"), "item_id", "doc_id", alpha, normalise).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+def _overlaps(spark, d, pool, alpha, normalise):
+    """A document's labels are all its tokens; only the pool's are read again."""
+    labelled = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text"), _WORDS).alias("label"))
+    asked = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text"), _WORDS).alias("asked"))
+    both = labelled.join(F.broadcast(pool), "doc_id").join(asked, "item_id")  # 20 rows for each stated question
+    return ranking.rerank_by_overlap(both, F.col("asked"), F.col("label"), "item_id", "doc_id", alpha, normalise).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("kg_overlap_rerank", f"WITH {_TOP} SELECT t.item_id, t.doc_id, round(score + 25 * {_OV}, 6) AS score FROM top t JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = t.item_id WHERE rank <= 20")
 def kg_overlap_rerank(spark, d):
-    return _overlaps(spark, d, 25.0, False)
+    return _overlaps(spark, d, _bm25(spark, d, 20, constant=False), 25.0, False)
 
 
-@query("rrf_normalised", f"WITH {_TOP} SELECT t.item_id, t.doc_id, round(score / max(score) OVER (PARTITION BY t.item_id) + 0.5 * {_OV}, 6) AS score FROM top t JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = t.item_id WHERE rank <= 20")
+@query("rrf_normalised", f"WITH {_TOP}, named AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM {_SHARED}), rrf AS (SELECT item_id, doc_id, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS score FROM (SELECT item_id, doc_id, rank FROM top WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM named WHERE rank <= 20) GROUP BY item_id, doc_id) SELECT t.item_id, t.doc_id, round(score / max(score) OVER (PARTITION BY t.item_id) + 0.5 * {_OV}, 6) AS score FROM rrf t JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = t.item_id")
 def rrf_normalised(spark, d):
-    return _overlaps(spark, d, 0.5, True)
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    asked = items.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("q"), _WORDS))).alias("token"))
+    named = ranking.ranked(asked.join(_index(spark, d), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("score")), ["item_id"], "doc_id", k=20)
+    return _overlaps(spark, d, ranking.fuse([_bm25(spark, d, 20, constant=False), named], "item_id", "doc_id", 20), 0.5, True)
+
+
+_BM_KIND = "tok AS (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), st AS (SELECT d.lang, count(*) AS n, sum(coalesce(dl, 0)) * 1.0 / count(*) AS avgdl FROM documents d LEFT JOIN dl USING (doc_id) GROUP BY d.lang), tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM tok GROUP BY lang, doc_id, term), df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY lang, term), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), sc AS (SELECT lang, item_id, doc_id, round(sum(ln((n + 1.0) / df) * tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf)), 9) AS s FROM q JOIN tf USING (term) JOIN df USING (lang, term) JOIN dl USING (doc_id) JOIN st USING (lang) GROUP BY lang, item_id, doc_id)"
+
+
+@query("bm25_by_kind", f"WITH {_BM_KIND} SELECT lang, item_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, item_id ORDER BY s DESC, doc_id) AS rank FROM sc) WHERE rank <= 5")
+def bm25_by_kind(spark, d):
+    docs, items = table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    return ranking.bm25_by_kind(docs, items, "lang", "doc_id", "item_id", text.tokens(F.col("text"), _WORDS), text.tokens(F.col("q"), _WORDS), 5).withColumn("score", F.round("score", 6))
 
 
 _RANKS = "(SELECT c_nationkey AS q, c_custkey AS item, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal {}, c_custkey) AS rank FROM customer)"
@@ -455,6 +697,15 @@ def rerank_parse_pad(spark, d):
     return ranking.parse_and_pad(pool, raw, "q", "item", "answer", 5).select("q", "item", "rank")
 
 
+@query("rerank_variants", f"WITH f AS (SELECT q, item, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS s FROM (SELECT * FROM {_RANKS.format('DESC')} WHERE rank <= 6 UNION ALL SELECT * FROM {_RANKS.format('ASC')} WHERE rank <= 6) GROUP BY q, item), top AS (SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, item) AS rank FROM f) SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN rank <= 4 THEN -rank ELSE rank END) AS rank FROM top QUALIFY row_number() OVER (PARTITION BY q ORDER BY CASE WHEN rank <= 4 THEN -rank ELSE rank END) <= 4")
+def rerank_variants(spark, d):
+    """Two first stages fused, questions rewritten (here: left as they are), and a scorer that turns the pool around."""
+    lists = [x.where("rank <= 6") for x in _lists(spark, d)]
+    stages = [lambda asked, x=x: x.join(asked.select("q"), "q", "left_semi") for x in lists]
+    turned = lambda prompts: prompts.select("q", F.array_join(F.reverse(F.transform(F.split("prompt", "\n"), lambda line: F.split(line, " ")[1])), "\n").alias("answer"))
+    return ranking.retrieved(lists[0].select("q").distinct(), "q", "item", stages, 4, pool=6, rewrite=lambda asked: asked, describe=F.lit("a table"), scorer=turned).select("q", "item", "rank")
+
+
 @query("escape_append", f"WITH top AS (SELECT q, item, rank, CAST(1 AS DOUBLE) / rank AS score FROM {_RANKS.format('DESC')} WHERE rank <= 3), e AS (SELECT q, item, 0.99 / 3 - (row_number() OVER (PARTITION BY q ORDER BY item) - 1) * 1e-6 AS score FROM {_RANKS.format('DESC')} WHERE rank BETWEEN 4 AND 6) SELECT q, item, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, item) AS r FROM (SELECT q, item, score FROM top UNION ALL SELECT * FROM e)) WHERE r <= 5")
 def escape_append(spark, d):
     one = _lists(spark, d)[0].withColumn("score", 1.0 / F.col("rank"))
@@ -472,11 +723,11 @@ def dense_topk(spark, d):
     return ranking.dense(v, asked, "vec_id", "query").withColumn("score", F.round("score", 6))
 
 
-@query("maxsim_topk", "WITH t AS (SELECT vec_id, vec_id // 5 AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.doc AS query, d.doc AS doc, q.vec_id, max(list_dot_product(q.e, d.e)) AS m FROM t q JOIN t d ON q.doc % 20 = 0 GROUP BY q.doc, d.doc, q.vec_id) SELECT query, doc, round(score, 4) AS score, rank FROM (SELECT query, doc, sum(m) AS score, row_number() OVER (PARTITION BY query ORDER BY sum(m) DESC, doc) AS rank FROM s GROUP BY query, doc) WHERE rank <= 5")
+@query("maxsim_topk", "WITH t AS (SELECT vec_id, vec_id // 5 AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.doc AS query, d.doc AS doc, q.vec_id, max(list_dot_product(q.e, d.e)) AS m FROM t q JOIN t d ON q.doc % 50 = 0 GROUP BY q.doc, d.doc, q.vec_id) SELECT query, doc, round(score, 4) AS score, rank FROM (SELECT query, doc, sum(m) AS score, row_number() OVER (PARTITION BY query ORDER BY sum(m) DESC, doc) AS rank FROM s GROUP BY query, doc) WHERE rank <= 5")
 def maxsim_topk(spark, d):
     tokens = table(spark, d, "embeddings").select(F.expr("vec_id div 5").alias("doc"), F.col("embedding").alias("e"))
     docs = tokens.groupBy("doc").agg(F.collect_list("e").alias("doc_tokens"))
-    asked = docs.where("doc % 20 = 0").select(F.col("doc").alias("query"), F.col("doc_tokens").alias("query_tokens"))
+    asked = docs.where("doc % 50 = 0").select(F.col("doc").alias("query"), F.col("doc_tokens").alias("query_tokens"))
     return ranking.max_sim(docs, asked, "doc", "query", 5).withColumn("score", F.round("score", 4))
 
 
@@ -484,15 +735,25 @@ def maxsim_topk(spark, d):
 @query("cosine_negatives", f"WITH s AS (SELECT b.vec_id AS query, a.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.label <> b.label), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS hi, row_number() OVER (PARTITION BY query ORDER BY score, vec_id) AS lo FROM s) SELECT query, vec_id, kind FROM (SELECT query, vec_id, 'near' AS kind FROM r WHERE hi <= 3 UNION ALL SELECT query, vec_id, 'far' FROM r WHERE lo <= 2)")
 def cosine_negatives(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"))
-    return training.cosine_negatives(v, asked, "query", "vec_id", F.col("label") != F.col("query_label"), 5).select("query", "vec_id", "kind")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("vector").alias("query_vector"), "label")
+    return training.cosine_negatives(v, asked, "query", "vec_id", "label", 5).select("query", "vec_id", "kind")
 
 
 @query("hard_negatives", f"WITH {_TOP} SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS r FROM top WHERE doc_id % 4 <> item_id % 4) WHERE r <= 5")
 def hard_negatives(spark, d):
     pool = _bm25(spark, d, None, constant=False)
     positives = pool.where("doc_id % 4 = item_id % 4").select("item_id", "doc_id")
-    return training.hard_negatives(ranking.ranked(pool, ["item_id"], "doc_id"), positives, "item_id", "doc_id", 5).select("item_id", "doc_id")
+    return training.hard_negatives(pool, positives, "item_id", "doc_id", 5).select("item_id", "doc_id")
+
+
+@query("hard_negatives_padded", f"WITH {_TOP}, f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS r FROM top WHERE rank <= 3) SELECT item_id, count(*) AS n, count(*) FILTER (r IS NOT NULL) AS ranked FROM (SELECT item_id, r FROM f UNION ALL SELECT item_id, NULL FROM benchmark, range(2)) GROUP BY item_id")
+def hard_negatives_padded(spark, d):
+    """Three ranked negatives, and two at random from documents that aren't among them."""
+    top = _bm25(spark, d, 3, constant=False)
+    items, docs = table(spark, d, "benchmark").select("item_id"), table(spark, d, "documents").select("doc_id")
+    none = top.select("item_id", "doc_id").limit(0)
+    found = training.hard_negatives(top, none, "item_id", "doc_id", 5, items.crossJoin(docs))  # a stated set of questions against all documents
+    return found.join(top.select("item_id", "doc_id", F.lit(1).alias("t")), ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("t").alias("ranked"))
 
 
 @query("missing_references", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -505,7 +766,7 @@ def doc_lengths(spark, d):
     return training.lengths(table(spark, d, "documents"), F.length("text"))
 
 
-@query("group_split")
+@query("group_split", "SELECT o_orderkey, o_custkey, CASE WHEN CAST('0x' || substr(md5(o_custkey || ':42'), 1, 8) AS BIGINT) % 100 < 10 THEN 'test' ELSE 'train' END AS part FROM orders")
 def group_split(spark, d):
     return training.split(table(spark, d, "orders"), "o_custkey").select("o_orderkey", "o_custkey", "part")
 
@@ -531,24 +792,50 @@ def numeric_recall(spark, d):
     return rounded(answers.numeric_recall(*_pair(spark, d)), 8)
 
 
-@query("record_accuracy", "SELECT round(CAST(count(*) FILTER (p_partkey % 7 <> 0 AND (p_partkey % 10 <> 0 OR p_size = 999)) AS DOUBLE) / count(*), 8) AS score FROM part")
+_SAME_ROWS = "count(*) FILTER (p_partkey % 7 <> 0 AND (p_partkey % 10 <> 0 OR p_size = 999))"
+
+
+@query("record_accuracy", f"SELECT round(CAST({_SAME_ROWS} AS DOUBLE) / count(*), 8) AS score, round(CAST({_SAME_ROWS} AS DOUBLE) / count(*) FILTER (p_partkey % 7 <> 0), 8) AS with_further, CAST(1 AS DOUBLE) AS further_rows, round((SELECT CAST(count(*) FILTER (r_regionkey <> 3) > 0 AS INT) / 2.0 FROM region), 8) AS turned FROM part")
 def record_accuracy(spark, d):
-    return rounded(answers.record_accuracy(*_pair(spark, d)), 8)
+    """With fewer rows than the truth, with more, with the truth and more, and with the truth turned but for a column."""
+    a, b = _pair(spark, d)
+    name = lambda df, c: answers.record_accuracy(*df).select(F.col("score").alias(c))
+    region = table(spark, d, "region")
+    truth = region.select("r_regionkey", (F.col("r_regionkey") * 10 + 7).alias("other"))
+    keys = [r[0] for r in region.orderBy("r_regionkey").collect()]
+    turned = spark.createDataFrame([keys, [k * 10 + (7 if k != 3 else 8) for k in keys]])
+    parts = [name((a, b), "score"), name((b, a), "with_further"), name((a, a.union(b)), "further_rows"), name((truth, turned), "turned")]
+    return rounded(reduce(lambda x, y: x.crossJoin(y), parts), 8)  # one row each
 
 
-@query("lenient_exec", "SELECT CAST(1 AS DOUBLE) AS same, CAST(0 AS DOUBLE) AS other")
+_SHOWN = "SELECT v, count(*) AS n FROM (SELECT CAST(round(CAST(p_partkey AS DOUBLE), 5) AS VARCHAR) AS v FROM {0} UNION ALL SELECT CAST(round(CAST(p_size AS DOUBLE), 5) AS VARCHAR) FROM {0} UNION ALL SELECT CAST(round(p_retailprice, 5) AS VARCHAR) FROM {0} UNION ALL SELECT p_brand FROM {0}) GROUP BY v"
+
+
+def _no_difference(a: str, b: str) -> str:
+    return f"(SELECT count(*) = 0 FROM (({a} EXCEPT {b}) UNION ALL ({b} EXCEPT {a})))"
+
+
+_ROWS = "SELECT p_partkey, p_size, p_retailprice, p_brand, count(*) AS n FROM {0} GROUP BY ALL"
+
+
+@query("lenient_exec", f"SELECT CAST({_no_difference(_SHOWN.format('part'), _SHOWN.format('part'))} AS DOUBLE) AS same, CAST({_no_difference(_SHOWN.format('part'), _SHOWN.format(_P2))} AS DOUBLE) AS other")
 def lenient_exec(spark, d):
     a, b = _pair(spark, d)
     same = answers.lenient_match(a, a.select(*reversed(a.columns)).orderBy("p_size")).select(F.col("score").alias("same"))
     return same.crossJoin(answers.lenient_match(a, b).select(F.col("score").alias("other")))  # one row each
 
 
-@query("frame_equal", "SELECT true AS same, false AS other")
+@query("frame_equal", f"SELECT {_no_difference(_ROWS.format('part'), _ROWS.format('part'))} AS same, {_no_difference(_ROWS.format('part'), _ROWS.format(_P2))} AS other")
 def frame_equal(spark, d):
     a, b = _pair(spark, d)
     return answers.frames_equal(a, a.select(*reversed(a.columns))).select(F.col("equal").alias("same")).crossJoin(answers.frames_equal(a, b).select(F.col("equal").alias("other")))  # one row each
 
 
+@query("answer_small", "SELECT 'nation' AS answer, (SELECT count(*) < 1000 FROM nation) AS small UNION ALL SELECT 'lineitem', (SELECT count(*) < 1000 FROM lineitem)")
+def answer_small(spark, d):
+    return spark.createDataFrame([(t, answers.small(table(spark, d, t))) for t in ("nation", "lineitem")], "answer string, small boolean")
+
+
 @query("set_f1", "SELECT c_nationkey, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 8) AS f1 FROM (SELECT c_nationkey, list(DISTINCT c_mktsegment) FILTER (c_custkey % 2 = 0) AS a, list(DISTINCT c_mktsegment) FILTER (c_custkey % 3 = 0) AS b FROM customer GROUP BY c_nationkey HAVING a IS NOT NULL AND b IS NOT NULL)")
 def set_f1(spark, d):
     sets = table(spark, d, "customer").groupBy("c_nationkey").agg(*(F.collect_set(F.when(F.col("c_custkey") % m == 0, F.col("c_mktsegment"))).alias(n) for m, n in ((2, "a"), (3, "b")))).where("size(a) > 0 AND size(b) > 0")
@@ -562,9 +849,92 @@ def acc_at_k_curve(spark, d):
 
 
 # Analyses
-@query("failure_label", "SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'near_duplicate' WHEN n_chars < 500 THEN 'vocab_gap' ELSE 'other' END AS label FROM documents")
+_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+_SHARE = "CAST(len(list_intersect({0}, {1})) AS DOUBLE) / greatest(len({0}), 1)"
+
+
+def _parts_by_key(spark, d):
+    """Parts as questions (their names) with a right title (their types) and a first result (the type of the next part)."""
+    found = lambda c: F.array_distinct(text.tokens(F.col(c), "[a-z0-9]+"))
+    part = table(spark, d, "part").select("p_partkey", found("p_name").alias("asked"), found("p_type").alias("gold"))
+    return part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("gold").alias("top")), "p_partkey")
+
+
+_PAIRS = f"(SELECT a.p_partkey, {_TOKENS.format('a.p_name')} AS asked, {_TOKENS.format('a.p_type')} AS gold, {_TOKENS.format('b.p_type')} AS top FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"
+
+
+@query("failure_label", f"SELECT p_partkey, CASE WHEN {_SHARE.format('gold', 'top')} > 0.6 THEN 'near_duplicate' WHEN {_SHARE.format('asked', 'gold')} < 0.15 THEN 'vocab_gap' ELSE 'other' END AS label FROM {_PAIRS}")
 def failure_label(spark, d):
-    return table(spark, d, "documents").select("doc_id", training.failure_label(F.col("n_chars") > 5000, F.col("n_chars") < 500).alias("label"))
+    return evaluation.retrieval_failures(_parts_by_key(spark, d), F.col("asked"), F.col("gold"), F.col("top")).select("p_partkey", "label")
+
+
+_GAPS = f"""WITH r AS (SELECT c_nationkey AS query, c_custkey AS item, rank, {_TOKENS.format("c_name || ' ' || c_mktsegment")} AS label FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer)),
+  t AS (SELECT query, min(item) AS item FROM r GROUP BY query),
+  q AS (SELECT DISTINCT query, ['customer', 'building', lower('x' || query)] AS asked FROM r),
+  o AS (SELECT r.query, r.item, r.rank, {_SHARE.format('q.asked', 'r.label')} AS overlap FROM r JOIN q USING (query)),
+  own AS (SELECT o.query, o.rank AS target_rank, o.overlap AS target_overlap FROM o JOIN t ON t.query = o.query AND t.item = o.item),
+  above AS (SELECT o.query, o.overlap - target_overlap AS gap FROM o JOIN own USING (query) WHERE rank <= 5 AND (target_rank > 10 OR rank < target_rank))
+  SELECT query, target_rank <= 10 AS hit, target_rank, round(target_overlap, 8) AS target_overlap, (SELECT count(*) FROM above a WHERE a.query = own.query) AS confounders, round((SELECT avg(gap) FROM above a WHERE a.query = own.query), 8) AS mean_gap FROM own"""
+
+
+@query("overlap_gaps", _GAPS)
+def overlap_gaps(spark, d):
+    words = F.array_distinct(text.tokens(F.concat_ws(" ", "c_name", "c_mktsegment"), "[a-z0-9]+"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("score"), words.alias("label"), F.array(F.lit("customer"), F.lit("building"), F.concat(F.lit("x"), F.col("c_nationkey"))).alias("asked"))
+    target = c.join(c.groupBy("query").agg(F.min("item").alias("item")), ["query", "item"]).select("query", "item", "asked", "label")
+    return rounded(evaluation.overlap_gaps(ranking.ranked(c, ["query"], "item"), target), 8)
+
+
+_RESULTS = """(SELECT o_orderkey, o_orderpriority AS gold_type, CASE o_orderkey % 11 WHEN 0 THEN 'syntax' WHEN 1 THEN 'units' WHEN 2 THEN 'no_table' WHEN 3 THEN 'format' ELSE 'ok' END AS outcome,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'SUM' ELSE o_orderpriority END AS type, o_orderkey % 4 = 0 AS other_table, o_orderkey % 2 = 0 AS gold_pivots, o_orderkey % 6 <> 0 AS pivots,
+  CAST(o_orderkey % 7 = 0 AS INT) AS exec, CAST(o_orderkey % 13 = 0 AS INT) AS record, CAST(o_orderkey % 17 = 0 AS INT) AS f1, o_orderkey % 3 AS extra, o_custkey % 2 AS missing FROM orders)"""
+
+
+def _results(spark, d):
+    """Orders as answered questions."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    is_ = lambda n: (k % n == 0).cast("int")
+    outcome = F.when(k % 11 == 0, "syntax").when(k % 11 == 1, "units").when(k % 11 == 2, "no_table").when(k % 11 == 3, "format").otherwise("ok")
+    return o.select(
+        "o_orderkey", F.col("o_orderpriority").alias("gold_type"), outcome.alias("outcome"), F.when(k % 5 == 0, None).when(k % 3 == 0, "SUM").otherwise(F.col("o_orderpriority")).alias("type"),
+        F.array(F.lit("T1"), F.lit("T2")).alias("gold_tables"), F.when(k % 4 == 0, F.array(F.lit("T1"))).otherwise(F.array(F.lit("T2"), F.lit("T1"), F.lit("T2"))).alias("tables"),
+        F.when(k % 2 == 0, "SELECT 1 PIVOT").otherwise("SELECT 1").alias("gold_query"), F.when(k % 6 != 0, "PIVOT x").otherwise("x").alias("query"),
+        is_(7).alias("exec"), is_(13).alias("record"), is_(17).alias("observation_f1"), (k % 3).alias("extra_measures"), (F.col("o_custkey") % 2).alias("missing_measures"), F.lit(0).alias("extra_dimensions"), (k % 3).alias("missing_dimensions"),
+    )
+
+
+@query("error_counts", f"""SELECT gold_type, count(*) AS questions, count(*) FILTER (outcome = 'syntax') AS syntax_error, count(*) FILTER (outcome = 'units') AS unit_error, count(*) FILTER (outcome = 'format') AS format_error,
+  count(*) FILTER (outcome <> 'syntax' AND other_table) AS table_mismatch, count(*) FILTER (outcome <> 'syntax' AND gold_pivots AND NOT pivots) AS missing_pivot,
+  count(*) FILTER (outcome <> 'syntax' AND exec <> 1 AND record <> 1 AND f1 <> 1 AND type IS NOT NULL AND type <> gold_type) AS wrong_function,
+  count(*) FILTER (extra > 0) AS extra_measures, count(*) FILTER (missing > 0) AS missing_measures, CAST(0 AS BIGINT) AS extra_dimensions, count(*) FILTER (extra > 0) AS missing_dimensions FROM {_RESULTS} GROUP BY gold_type""")
+def error_counts(spark, d):
+    return evaluation.error_counts(evaluation.outcomes(_results(spark, d)), "gold_type")
+
+
+@query("macro_average", f"SELECT gold_type, count(*) AS questions, round(avg(exec), 8) AS exec, round(avg(record), 8) AS record FROM (SELECT gold_type, exec, record FROM {_RESULTS} UNION ALL SELECT 'all', exec, record FROM {_RESULTS}) GROUP BY gold_type")
+def macro_average(spark, d):
+    return rounded(evaluation.averages(_results(spark, d), ["exec", "record"]), 8)
+
+
+@query("batch_answers", "SELECT c_custkey, coalesce(nullif(trim(q), ''), '-- NOT GENERATED') AS query FROM customer LEFT JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '  ' ELSE s_name END AS q FROM supplier) ON s_suppkey = c_custkey")
+def batch_answers(spark, d):
+    made = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.when(F.col("s_suppkey") % 3 == 0, "  ").otherwise(F.col("s_name")).alias("query"))
+    return evaluation.completed(table(spark, d, "customer").select("c_custkey"), made, "c_custkey")
+
+
+@query("code_errors", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'model_ignored' ELSE 'hint_gap' END WHEN s_suppkey % 3 = 0 THEN 'hinted_wrong' WHEN s_nationkey < 15 THEN 'real_but_wrong' ELSE 'invented' END AS cause FROM supplier")
+def code_errors(spark, d):
+    found = table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("question"), F.col("s_nationkey").cast("string").alias("code"), F.when(F.col("s_suppkey") % 2 == 0, "missing").otherwise("extra").alias("kind"))
+    hinted = found.where("s_suppkey % 3 = 0").select("question", "code").distinct()
+    real = table(spark, d, "nation").where("n_nationkey < 15").select(F.col("n_nationkey").cast("string").alias("code"))
+    return training.code_errors(found, hinted, real).select("s_suppkey", "cause")
+
+
+@query("projected_f1", "SELECT c_nationkey, threshold, round(2.0 * tp / nullif(2 * tp + extra * (1 - threshold / 100.0) + missing, 0), 8) AS f1 FROM (SELECT c_nationkey, count(*) FILTER (c_custkey % 2 = 0) AS tp, count(*) FILTER (c_custkey % 3 = 0) AS extra, count(*) FILTER (c_custkey % 5 = 0) AS missing FROM customer GROUP BY c_nationkey), (VALUES (40), (50), (60), (70)) v(threshold)")
+def projected_f1(spark, d):
+    of = lambda n, name: F.count_if(F.col("c_custkey") % n == 0).alias(name)
+    counts = table(spark, d, "customer").groupBy("c_nationkey").agg(of(2, "tp"), of(3, "extra"), of(5, "missing"))
+    return rounded(training.projected_f1(counts).select("c_nationkey", "threshold", "f1"), 8)
 
 
 @query("crosstab", "SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
@@ -582,16 +952,6 @@ def latency_percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"))
 
 
-@query("macro_average", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS score FROM orders GROUP BY o_orderpriority HAVING count(*) > 0")
-def macro_average(spark, d):
-    return rounded(table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("score")))
-
-
-@query("error_counts", "SELECT event_type, count(*) FILTER (value < 10) AS low, count(*) FILTER (value >= 90) AS high FROM events GROUP BY event_type")
-def error_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") < 10).alias("low"), F.count_if(F.col("value") >= 90).alias("high"))
-
-
 @query("resume_remaining", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
 def resume_remaining(spark, d):
     done = table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))

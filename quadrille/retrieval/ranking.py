@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from quadrille.functions.text import GENERIC_WORDS, cosine, listed_ids, overlap
+from quadrille.functions.text import GENERIC_WORDS, listed_ids, overlap
+from quadrille.functions.text import tokens as text_tokens
 
 RRF_K = 60
 
@@ -21,6 +25,12 @@ def ranked(scores: DataFrame, by: list[str], item: str, score: str = "score", k:
     return (df.where(F.col(out) <= k) if k else df).withColumn(out, F.col(out).cast("long"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if the scan has fewer partitions, as with a file of one row group; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """(doc, term, tf, dl): one row for each term of a document, aggregated before it is shuffled."""
     sized = docs.select(F.col(doc), tokens.alias("_t")).withColumn("dl", F.size("_t"))  # the length before the rows are multiplied
@@ -29,25 +39,41 @@ def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, doc_tokens: Column, query_tokens: Column, k: int | None = 10, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, constant: bool = True) -> DataFrame:
-    """(query, doc, score[, rank]): BM25+ with idf ln((N + 1) / df).
+    """(query, doc, score[, rank]): BM25+ with idf ln((N + 1) / df). doc may not repeat.
 
     Only documents that share a term with the query are scored; the delta of absent terms, the same for every document
-    of a query, is added afterwards (constant=False leaves it out). Statistics are two aggregations over all documents.
+    of a query, is added afterwards (constant=False leaves it out). One pass over the documents: tokens are joined with
+    the queries' terms as they are, so others are never shuffled, and an empty term that every document has carries
+    lengths and number; what follows reads the one exchange of matching terms. A null text is an empty one.
     """
-    sizes = docs.select(F.count("*").alias("n"), F.avg(F.size(doc_tokens)).alias("avgdl"))
-    index = postings(docs, doc, doc_tokens)
     asked = queries.select(F.col(query), F.explode(F.array_distinct(query_tokens)).alias("term"))
-    hit = index.join(asked, "term")
-    df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    stats = df.crossJoin(F.broadcast(sizes)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")  # sizes is one row
+    terms = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    sized = spread(docs).select(F.col(doc), F.coalesce(doc_tokens, F.array().cast("array<string>")).alias("_t")).select(doc, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    index = sized.join(terms, "term", "left_semi").groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
+    own = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_length"))
+    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    sizes = own.agg(of_all("df").alias("n"), (of_all("_length") / of_all("df")).alias("avgdl"))
+    stats = own.crossJoin(F.broadcast(sizes)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")  # sizes is one row
     weight = F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    scores = hit.join(stats, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("idf") * weight), 9).alias("score"))  # rounded, so that the order of addends breaks no tie
+    worth = asked.join(stats, "term")
+    scores = index.join(worth, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("idf") * weight), 9).alias("score"))  # rounded, so that the order of addends breaks no tie
     if constant and delta:
-        base = asked.join(stats, "term").groupBy(query).agg((F.sum("idf") * delta).alias("_base"))
+        base = worth.groupBy(query).agg((F.sum("idf") * delta).alias("_base"))
         scores = scores.join(base, query).withColumn("score", F.col("score") + F.col("_base")).drop("_base")
     return ranked(scores, [query], doc, k=k) if k else scores
 
 
+def bm25_by_kind(docs: DataFrame, queries: DataFrame, kind: str, doc: str, query: str, doc_tokens: Column, query_tokens: Column, k: int | None = None) -> DataFrame:
+    """(kind, query, doc, score[, rank]): an index for each kind of document (tables, dimensions, measures), with numbers
+    and lengths of its own; kinds are a few."""
+    kinds = [r[0] for r in docs.select(kind).where(F.col(kind).isNotNull()).distinct().orderBy(kind).collect()]
+    found = None
+    for name in kinds:
+        one = bm25(docs.where(F.col(kind) == name), queries, doc, query, doc_tokens, query_tokens, k, constant=False).withColumn(kind, F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def combine_nodes(scores: DataFrame, query: str, item: str = "item", alpha: float = 0.8, least: float = 0.01) -> DataFrame:
     """(query, table, score, nodes): an item is `table` or `table#node`; a table's score gains alpha times the mean of its
     nodes' scores of at least `least`."""
@@ -76,7 +102,19 @@ def rerank_by_overlap(scores: DataFrame, question_tokens: Column, label_tokens:
 
 def inverted_index(labels: DataFrame, item: str, tokens: Column, least: int = 4) -> DataFrame:
     """(token, item), distinct: tokens of at least four letters that tell tables apart."""
-    return labels.select(F.explode(tokens).alias("token"), F.col(item)).where((F.length("token") >= least) & ~F.col("token").isin(GENERIC_WORDS)).distinct()
+    telling = F.filter(F.array_distinct(tokens), lambda t: (F.length(t) >= least) & ~t.isin(GENERIC_WORDS))
+    return spread(labels).select(F.col(item), telling.alias("_t")).select(F.explode("_t").alias("token"), item).distinct()
+
+
+def label_tokens(labels: DataFrame, table: str, label: Column, body: Column, pattern: str = r"\w+") -> DataFrame:
+    """(table, tokens): the distinct tokens of the labels of a table's nodes; a node without a label counts by its body."""
+    words = labels.select(table, F.array_distinct(text_tokens(F.coalesce(F.nullif(label, F.lit("")), body), pattern)).alias("_t"))
+    return words.select(table, F.explode("_t").alias("_t")).groupBy(table).agg(F.array_sort(F.collect_set("_t")).alias("tokens"))
+
+
+def pool_size(k: int, mode: str, pool: int = 50, search_depth: int = 2500) -> int:
+    """How many first results a ranking of `mode` (nodes, all, rerank, tables) takes for k in the end."""
+    return search_depth if mode in ("nodes", "all") else max(k, pool) if mode == "rerank" else k
 
 
 def escapes(index: DataFrame, questions: DataFrame, pool: DataFrame, query: str, item: str, question_tokens: Column, matches: int = 2) -> DataFrame:
@@ -104,19 +142,102 @@ def parse_and_pad(pool: DataFrame, raw: DataFrame, query: str, item: str, answer
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(query, item, "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, item: str, query: str, k: int = 10) -> DataFrame:
-    """Exact top k by cosine. A stated set of query vectors meets all rows in one pass over them; Spark trims each
-    partition to k rows a query before the shuffle."""
-    pairs = vectors.crossJoin(queries).where(F.col(item) != F.col(query))
-    return ranked(pairs.select(query, item, cosine(F.col("vector"), F.col("query_vector")).alias("score")), [query], item, k=k)
+def _matrix(rows: list) -> np.ndarray:
+    """Arrays of numbers as rows of doubles; one that is null, or holds nulls, or has another length than most is NaN."""
+    width = max((len(r) for r in rows if r is not None), default=0)
+    blank = [np.nan] * width
+    return np.array([[np.nan if x is None else x for x in r] if r is not None and len(r) == width else blank for r in rows], np.float64).reshape(len(rows), width)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; NaN for those without direction."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+    """The rows of a stated query set, `size` at a time."""
+    rows: list = []
+    for row in queries.toLocalIterator(prefetchPartitions=False):
+        rows.append(row)
+        if len(rows) == size:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def _best(scores: np.ndarray, k: int, largest: bool = True) -> np.ndarray:
+    """Positions of each row's k best, and of all that tie with the last of them; NaN counts as worst."""
+    kept = np.where(np.isnan(scores), -np.inf, scores if largest else -scores)
+    if kept.shape[1] <= k:
+        return np.ones(kept.shape, np.bool_)
+    return kept >= np.partition(kept, kept.shape[1] - k, axis=1)[:, kept.shape[1] - k][:, None]
 
 
-def max_sim(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None = 10) -> DataFrame:
+def _against_blocks(rows: DataFrame, queries: DataFrame, columns: list[str], score: Callable, item: str, query: str, block: int) -> DataFrame | None:
+    """(query, item, score): each block of queries is broadcast and meets all rows in one pass; `score` gets the columns of a
+    batch and the block, and gives the positions of query and row with their scores that may be among the best."""
+    spark, found = rows.sparkSession, None
+    kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *queries.schema.fields]}
+    of_query = to_arrow_type(queries.schema[query].dataType)
+    for part in _blocks(queries, block):
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids = [r[0] for r in shared.value]
+            for batch in batches:
+                items = batch.column(0)
+                q, r, s = score([batch.column(c).to_pylist() for c in columns], shared.value, items.to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], of_query), items.take(pa.array(r)), pa.array(s, pa.float64(), from_pandas=True)], names=[query, item, "score"])
+
+        one = rows.select(item, *columns).mapInArrow(run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, score double")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def dense(vectors: DataFrame, queries: DataFrame, item: str, query: str, k: int = 10, block: int = 4096) -> DataFrame:
+    """Exact top k by cosine, in double precision, without the query itself. A stated set of query vectors meets all rows
+    in blocks: a matrix product for each batch of rows, of which only what may be among a query's first k goes on. Vectors
+    without a direction score null and come last."""
+
+    def score(columns: list[list], part: list, items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores = _cosines([r[1] for r in part], columns[0])
+        same = np.array([[i == r[0] for i in items] for r in part], np.bool_).reshape(scores.shape)
+        q, r = np.nonzero(_best(np.where(same, -np.inf, scores), k) & ~same)
+        return q, r, scores[q, r]
+
+    scores = _against_blocks(vectors.select(item, "vector"), queries.select(query, "query_vector"), ["vector"], score, item, query, block)
+    if scores is None:
+        scores = queries.select(query).crossJoin(vectors.select(item).limit(0)).withColumn("score", F.lit(None).cast("double"))  # no queries, no rows
+    return ranked(scores, [query], item, k=k)
+
+
+def _cosines(queries: list, rows: list) -> np.ndarray:
+    """Of every query with every row; NaN where one has no direction or the lengths differ."""
+    q, r = _unit(_matrix(queries)), _unit(_matrix(rows))
+    return q @ r.T if q.shape[1] == r.shape[1] else np.full((len(q), len(r)), np.nan)
+
+
+def max_sim(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None = 10, block: int = 512) -> DataFrame:
     """Late interaction: (query, doc, score), the sum over query tokens of the best dot product with a token of the
-    document. Token vectors are arrays of arrays; each document meets the stated queries in its own row, unshuffled."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = F.aggregate("query_tokens", F.lit(0.0), lambda s, q: s + F.array_max(F.transform("doc_tokens", lambda d: dot(q, d))))
-    scores = docs.crossJoin(queries).select(query, doc, score.alias("score"))
+    document. Token vectors are arrays of arrays; a block of queries at a time meets all documents in their own rows, a
+    matrix product for each document. Documents or queries without tokens score 0."""
+
+    def score(columns: list[list], part: list, items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tokens = [r[1] or [] for r in part]
+        asked = _matrix([t for q in tokens for t in q])
+        of = np.repeat(np.arange(len(part)), [len(q) for q in tokens])
+        scores = np.zeros((len(part), len(items)))
+        for j, d in enumerate(columns[0]):
+            if d and len(asked):
+                scores[:, j] = np.bincount(of, (asked @ _matrix(d).T).max(axis=1), len(part))
+        q, r = np.nonzero(_best(scores, k) if k else np.ones(scores.shape, np.bool_))
+        return q, r, scores[q, r]
+
+    scores = _against_blocks(docs.select(doc, "doc_tokens"), queries.select(query, "query_tokens"), ["doc_tokens"], score, doc, query, block)
+    if scores is None:
+        scores = queries.select(query).crossJoin(docs.select(doc).limit(0)).withColumn("score", F.lit(0.0))  # no queries, no rows
     return ranked(scores, [query], doc, k=k) if k else scores
 
 
@@ -128,6 +249,24 @@ def quantised(vector: Column, bits: int = 4, low: float = -1.0, high: float = 1.
     return F.transform(vector, lambda x: F.least(F.lit(top), F.greatest(F.lit(0), F.floor((x - low) / (high - low) * (top + 1)))).cast("int"))
 
 
+#: Rewrites questions before they are searched for: (query, question) to (query, question), such as by a text model.
+Rewrite = Callable[[DataFrame], DataFrame]
+
+
+def retrieved(questions: DataFrame, query: str, item: str, stages: list[Callable[[DataFrame], DataFrame]], k: int, pool: int = 50, rewrite: Rewrite | None = None, with_more: Callable[[DataFrame], DataFrame] | None = None, describe: Column | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query, item, rank, score): the retrieval variants as one composition. Each stage ranks items for (query, question);
+    several are fused by reciprocal ranks; `with_more` puts escapes below the pool; and with a scorer the pool's items,
+    described by `describe` (title alone, or enriched by nodes and labels), are re-ranked listwise, else the first k stay."""
+    asked = rewrite(questions) if rewrite else questions
+    lists = [stage(asked).select(query, item, "rank", "score") for stage in stages]
+    first = lists[0] if len(lists) == 1 else ranked(fuse(lists, query, item, pool), [query], item, k=pool)
+    if with_more is not None:
+        first = with_more(first)
+    if scorer is None:
+        return first.where(F.col("rank") <= k).select(query, item, "rank", "score")
+    return rerank(first, query, item, F.lit("") if describe is None else describe, scorer, k)
+
+
 def rerank(pool: DataFrame, query: str, item: str, describe: Column, scorer: Callable[[DataFrame], DataFrame] | None, k: int) -> DataFrame:
     """Listwise re-ranking by a pluggable scorer: it gets (query, prompt) and returns (query, answer). Without a scorer,
     or where it gives no answer, the first stage's order stays."""

@@ -98,3 +98,15 @@ def service(spark: SparkSession, base: str, table: str, measures: list[str], dim
     request = {"base": base, "table": table, "version": version, "measures": measures, "dims": dims, "trusted": trusted or [urlsplit(base).hostname], "retries": retries, "wait": wait, "timeout": timeout}
     spark.dataSource.register(StatisticsService)
     return spark.read.format(NAME).option("request", json.dumps(request)).load()
+
+
+def sparql(spark: SparkSession, endpoint: str, query: str, trusted: tuple[str, ...] | None = None, retries: int = 3, wait: float = 3.0, timeout: float = 60.0) -> DataFrame:
+    """The solutions of a SELECT at an endpoint that answers in JSON, as strings; an unbound variable is null. The answer
+    comes through the driver, so queries should be those of catalogs."""
+    from urllib.parse import urlencode
+
+    url = f"{endpoint}{'&' if '?' in endpoint else '?'}{urlencode({'query': query, 'format': 'json'})}"
+    found = fetch(url, list(trusted or [urlsplit(endpoint).hostname]), retries, wait, timeout) or {}
+    names = found.get("head", {}).get("vars", [])
+    rows = [tuple(b.get(n, {}).get("value") for n in names) for b in found.get("results", {}).get("bindings", [])]
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)) if names else spark.createDataFrame([], "solution string")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.functions.text import close_match, cosine
+from quadrille.functions.text import near_equal
+from quadrille.retrieval import ranking
 
 
 def enriched(docs: DataFrame, members: DataFrame, key: str, member: str, heading: str) -> DataFrame:
@@ -17,7 +19,8 @@ def enriched(docs: DataFrame, members: DataFrame, key: str, member: str, heading
 
 def split(df: DataFrame, group: str, test_share: int = 10, seed: int = 42) -> DataFrame:
     """Adds part, `train` or `test`: a hash of the group decides, so no group is in both."""
-    return df.withColumn("part", F.when(F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(100)) < test_share, "test").otherwise("train"))
+    place = F.conv(F.substring(F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") % 100
+    return df.withColumn("part", F.when(place < test_share, "test").otherwise("train"))
 
 
 def positives(questions: DataFrame, node_map: DataFrame, question: str = "question", ids: Column | None = None) -> DataFrame:
@@ -27,28 +30,40 @@ def positives(questions: DataFrame, node_map: DataFrame, question: str = "questi
     return questions.select(F.col(question), F.explode(ids if ids is not None else table_ids(F.col("sexp"))).alias("id")).join(node_map, "id").select(question, "pid")
 
 
-def cosine_negatives(vectors: DataFrame, queries: DataFrame, query: str, item: str, allowed: Column, n: int, body: tuple[Column, Column] | None = None) -> DataFrame:
-    """(query, item, kind): half (rounded up) of the n negatives are the most similar allowed items, half the least. The
-    stated queries meet all items in one pass; near-duplicate bodies are left out where bodies are given."""
-    pairs = vectors.crossJoin(queries).where(allowed)
-    if body:
-        pairs = pairs.where(~close_match(*body))
-    scored = pairs.select(query, item, cosine(F.col("vector"), F.col("query_vector")).alias("score"))
+def cosine_negatives(vectors: DataFrame, queries: DataFrame, query: str, item: str, group: str, n: int, body: str | None = None, block: int = 4096) -> DataFrame:
+    """(query, item, kind): half (rounded up) of the n negatives are the most similar items of another group, half the least.
+    vectors: (item, vector, group[, body]); queries: (query, query_vector, group[, body]). The stated queries meet all items
+    in blocks, and a batch passes on only what may be among a query's negatives; near-duplicate bodies are left out where
+    bodies are given."""
+    halves = {"near": -(-n // 2), "far": n // 2}
+    extra = [group, *([body] if body else [])]
+
+    def score(columns: list[list], part: list, items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores = ranking._cosines([r[1] for r in part], columns[0])
+        allowed = np.array([[g is not None and r[2] is not None and g != r[2] for g in columns[1]] for r in part], np.bool_).reshape(scores.shape)
+        if body:
+            allowed &= np.array([[not ok or not near_equal(x, r[3]) for x, ok in zip(columns[2], oks, strict=True)] for r, oks in zip(part, allowed.tolist(), strict=True)], np.bool_).reshape(scores.shape)
+        kept = np.where(allowed, scores, np.nan)
+        q, r = np.nonzero((ranking._best(kept, halves["near"]) | ranking._best(kept, halves["far"], largest=False)) & allowed)
+        return q, r, scores[q, r]
+
+    scored = ranking._against_blocks(vectors.select(item, "vector", *extra), queries.select(query, "query_vector", *extra), ["vector", *extra], score, item, query, block)
+    if scored is None:
+        return queries.select(query).crossJoin(vectors.select(item).limit(0)).withColumn("kind", F.lit("near"))  # no queries, no rows
     by = Window.partitionBy(query)
-    near = scored.withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), item))).where(F.col("r") <= -(-n // 2)).select(query, item, "score", F.lit("near").alias("kind"))
-    far = scored.withColumn("r", F.row_number().over(by.orderBy(F.asc("score"), item))).where(F.col("r") <= n // 2).select(query, item, "score", F.lit("far").alias("kind"))
-    return near.unionByName(far)
+    picked = [scored.withColumn("r", F.row_number().over(by.orderBy(order, item))).where(F.col("r") <= halves[kind]).select(query, item, F.lit(kind).alias("kind")) for kind, order in (("near", F.desc_nulls_last("score")), ("far", F.asc_nulls_last("score")))]
+    return picked[0].unionByName(picked[1])
 
 
-def hard_negatives(ranking: DataFrame, positives_: DataFrame, query: str, item: str, n: int, random_pool: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """The first n ranked items that are no positives; a query with fewer is padded from random_pool (query, item)."""
-    by = Window.partitionBy(query)
-    found = ranking.join(positives_, [query, item], "left_anti").withColumn("_r", F.row_number().over(by.orderBy("rank", item))).where(F.col("_r") <= n).select(query, item, "_r")
+def hard_negatives(scores: DataFrame, positives_: DataFrame, query: str, item: str, n: int, random_pool: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """(query, item, rank): the first n items by score that are no positives; a query with fewer is padded from random_pool
+    (query, item). Each partition keeps n items a query before they are shuffled."""
+    found = ranking.ranked(scores.join(positives_, [query, item], "left_anti"), [query], item, k=n).select(query, item, "rank")
     if random_pool is not None:
         rest = random_pool.join(positives_, [query, item], "left_anti").join(found, [query, item], "left_anti")
-        pad = rest.withColumn("_r", n + F.row_number().over(by.orderBy(F.xxhash64(query, item, F.lit(seed))))).select(query, item, "_r")
-        found = found.unionByName(pad).withColumn("_k", F.row_number().over(by.orderBy("_r"))).where(F.col("_k") <= n).drop("_k")
-    return found.withColumnRenamed("_r", "rank")
+        pad = ranking.ranked(rest.withColumn("score", F.xxhash64(query, item, F.lit(seed))), [query], item, k=n).select(query, item, (n + F.col("rank")).alias("rank"))
+        found = ranking.ranked(found.unionByName(pad).withColumn("score", -F.col("rank")).drop("rank"), [query], item, k=n).select(query, item, "rank")
+    return found
 
 
 def missing(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -67,10 +82,6 @@ def value_counts(df: DataFrame, column: str, places: int = 2) -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select(column, "n", F.round(F.col("n") * 100.0 / F.col("_all"), places).alias("pct"))  # one row
 
 
-def failure_label(near_duplicate: Column, vocabulary_gap: Column) -> Column:
-    return F.when(near_duplicate, "near_duplicate").when(vocabulary_gap, "vocab_gap").otherwise("other")
-
-
 def code_errors(errors: DataFrame, hinted: DataFrame, real: DataFrame) -> DataFrame:
     """Adds why a code is wrong: hint_gap (the right one was not hinted), model_ignored (it was), and whether a predicted
     code is real_but_wrong or invented."""
