@@ -541,7 +541,7 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, block):
         base = [f"w{rnd.randrange(5000)}" for _ in range(size)]
         for i in range(many):
             words_ = list(base)
-            for _ in range(size // 150 if i % 3 else size // 60):
+            for _ in range(size // 50 if i % 3 else size // 150):
                 words_[rnd.randrange(len(words_))] = f"c{rnd.randrange(10**6)}"
             made.append(" ".join(words_))
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, made)]
