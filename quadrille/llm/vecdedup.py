@@ -15,7 +15,9 @@ from quadrille.llm.common import components, materialise
 SAMPLE = 4096
 DIMENSIONS = 8
 LEAF = 256
-MOST_BLOCKS = 512
+#: Bytes of a block's vectors in double precision, and vectors; a task joins two blocks. Blocks for small tables, for the
+#: sake of parallel tasks.
+BLOCK_BYTES, BLOCK_VECTORS, LEAST_BLOCKS = 16 << 20, 32_768, 8
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -89,29 +91,51 @@ class Forest:
                 self.parent[max(x, y)] = min(x, y)
 
 
-def join(units: np.ndarray, weights: np.ndarray, split: int, grid: Grid, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(weighted links, root) of each vector. The first `split` vectors are one sequence interval and the rest another,
+class Boxes:
+    """Of intervals: the box that its points fill, and a cap, the direction of their mean with the largest angle to it."""
+
+    def __init__(self, points: np.ndarray, units: np.ndarray, threshold: float) -> None:
+        self.points, self.units, self.reach = points, units, float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+        self.epsilon = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+        self.known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, float]] = {}
+
+    def of(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        if (a, b) not in self.known:
+            part = self.points[a:b]
+            middle = self.units[a:b].mean(axis=0)
+            size = float(np.linalg.norm(middle))
+            middle = middle / size if size > 0 else middle
+            angle = float(np.arccos(np.clip((self.units[a:b] @ middle).min(), -1, 1))) if size > 0 else np.pi
+            self.known[a, b] = part.min(axis=0), part.max(axis=0), middle, angle
+        return self.known[a, b]
+
+    def apart(self, a: int, b: int, c: int, d: int) -> bool:
+        """Whether no point of one interval can be linked with one of the other."""
+        low, high, middle, angle = self.of(a, b)
+        low_, high_, middle_, angle_ = self.of(c, d)
+        if angle + angle_ < np.pi and np.arccos(np.clip(middle @ middle_, -1, 1)) - angle - angle_ > self.reach:
+            return True
+        return gap(low, high, low_, high_) > self.epsilon
+
+
+def join(units: np.ndarray, weights: np.ndarray, split: int, grid: Grid, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(weighted links, root) of each vector, and how many pairs were compared. The first `split` vectors are one sequence interval and the rest another,
     joined with each other; with nothing after the split, the interval is joined with itself.
 
-    Both are in grid order. Two intervals whose boxes are farther apart than epsilon are skipped; otherwise the longer
-    one is halved, down to leaves, which one matrix product compares in double precision.
+    Both are in grid order. Two intervals whose boxes are farther apart than epsilon, or whose caps than the angle of a
+    link, are skipped; otherwise the longer one is halved, down to leaves, which one matrix product compares in double
+    precision.
     """
-    points = grid.project(units)
-    boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def box(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        if (a, b) not in boxes:
-            boxes[a, b] = points[a:b].min(axis=0), points[a:b].max(axis=0)
-        return boxes[a, b]
-
+    boxes, compared = Boxes(grid.project(units), units, threshold), 0
     links, forest = np.zeros(len(units), np.int64), Forest(len(units))
     whole = (0, split)
     todo = [(*whole, *(whole if split == len(units) else (split, len(units))))]
     while todo:
         a, b, c, d = todo.pop()
-        if a >= b or c >= d or ((a, b) != (c, d) and gap(*box(a, b), *box(c, d)) > grid.epsilon):
+        if a >= b or c >= d or ((a, b) != (c, d) and boxes.apart(a, b, c, d)):
             continue
         if b - a <= LEAF and d - c <= LEAF:
+            compared += (b - a) * (d - c)
             near = units[a:b] @ units[c:d].T >= threshold
             if (a, b) == (c, d):
                 near = np.triu(near, 1)
@@ -127,7 +151,7 @@ def join(units: np.ndarray, weights: np.ndarray, split: int, grid: Grid, thresho
             todo += [(a, (a + b) // 2, c, d), ((a + b) // 2, b, c, d)]
         else:
             todo += [(a, b, c, (c + d) // 2), (a, b, (c + d) // 2, d)]
-    return links, forest.roots()
+    return links, forest.roots(), compared
 
 
 def _pairs_joined(shared, dim: int, threshold: float):
@@ -137,7 +161,7 @@ def _pairs_joined(shared, dim: int, threshold: float):
         points = grid.project(units)
         parts = [np.flatnonzero(side == k) for k in (0, 1)]
         at = np.concatenate([p[grid.order(points[p])] for p in parts])
-        links, root = join(units[at], weights[at], len(parts[0]), grid, threshold)
+        links, root, _ = join(units[at], weights[at], len(parts[0]), grid, threshold)
         hit = np.flatnonzero(links)
         if not len(hit):
             return None
@@ -173,8 +197,8 @@ def _links_of(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(a, links, b) over all pairs of blocks: rep a has so many weighted links there, and is connected with rep b."""
     spark = reps.sparkSession
     n = reps.count()
-    blocks = int(min(MOST_BLOCKS, max(1, np.ceil(np.sqrt(n) / 8))))
-    rows = reps.orderBy(F.xxhash64("vector"), "rep").limit(SAMPLE).select("vector").collect()
+    blocks = int(max(1, min(LEAST_BLOCKS, n // LEAF), np.ceil(n / min(BLOCK_VECTORS, max(LEAF, BLOCK_BYTES // (8 * dim))))))
+    rows = reps.orderBy(F.xxhash64("vector"), "rep").limit(max(SAMPLE, 4 * blocks)).select("vector").collect()
     grid = Grid(unit(np.array([r[0] for r in rows], np.float64)), threshold, blocks)
     shared = spark.sparkContext.broadcast(grid)
 
@@ -189,10 +213,18 @@ def _links_of(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
     k = grid.dimensions
     extent = placed.groupBy("block").agg(*(f(F.col("lead")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(k))).collect()
     boxes = {r["block"]: (np.array(r[1 : k + 1]), np.array(r[k + 1 :])) for r in extent}
-    pairs = [(x, y) for x in sorted(boxes) for y in sorted(boxes) if x <= y and (x == y or gap(*boxes[x], *boxes[y]) <= grid.epsilon)]
-    sides = spark.createDataFrame([(p, side, b) for p, (x, y) in enumerate(pairs) for side, b in enumerate((x, y) if x != y else (x,))], "pair long, side int, block int")
-    dealt = placed.join(F.broadcast(sides), "block").select("pair", "side", "rep", "weight", "vector")  # blocks**2 rows at most
-    return dealt.repartition(max(1, min(len(pairs), 2000)), "pair").sortWithinPartitions("pair").mapInArrow(_pairs_joined(shared, dim, threshold), "a long, links long, b long")
+    names = sorted(boxes)
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pair, side, block) of the blocks that may have links; pairs are numbered by their blocks."""
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                found = [(i * len(names) + j, side, b) for j in range(i, len(names)) if i == j or gap(*boxes[names[i]], *boxes[names[j]]) <= grid.epsilon for side, b in enumerate((names[i], names[j]) if i != j else (names[i],))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["pair", "side", "block"])
+
+    sides = materialise(spark.range(len(names)).mapInArrow(meeting, "pair long, side int, block int"), "block_pairs")
+    dealt = placed.join(sides, "block").select("pair", "side", "rep", "weight", "vector")
+    return dealt.repartition(max(1, min(len(names) * (len(names) + 1) // 2, 2000)), "pair").sortWithinPartitions("pair").mapInArrow(_pairs_joined(shared, dim, threshold), "a long, links long, b long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:

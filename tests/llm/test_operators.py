@@ -200,6 +200,34 @@ def test_vectors(spark):
     assert vecdedup.near_vectors(empty).count() == 0
 
 
+@pytest.mark.parametrize("tight", [True, False])
+def test_provably_distant_intervals_are_skipped(tight, monkeypatch):
+    """Clusters at right angles: few but vectors of one cluster are compared. Without clusters nothing is lost either."""
+    monkeypatch.setattr(vecdedup, "LEAF", 32)
+    rnd = np.random.default_rng(23)
+    centres = np.linalg.qr(rnd.normal(size=(32, 32)))[0][:8] if tight else rnd.normal(size=(4000, 32))
+    v = vecdedup.unit(np.repeat(centres, 4000 // len(centres), axis=0) + rnd.normal(size=(4000, 32)) * 0.02)
+    grid = vecdedup.Grid(v[::4], 0.9, 4)
+    v = v[grid.order(grid.project(v))]
+    links, root, compared = vecdedup.join(v, np.ones(len(v), np.int64), len(v), grid, 0.9)
+    near = v @ v.T >= 0.9
+    assert (links == near.sum(axis=1) - 1).all() and (root[np.nonzero(near)[0]] == root[np.nonzero(near)[1]]).all()
+    every = len(v) * (len(v) - 1) / 2
+    assert compared < 0.35 * every if tight else compared <= 1.2 * every
+
+
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "BLOCK_VECTORS", 60)
+    monkeypatch.setattr(vecdedup, "LEAF", 16)
+    rnd = np.random.default_rng(24)
+    v = vecdedup.unit(np.repeat(rnd.normal(size=(90, 12)), 8, axis=0) + rnd.normal(size=(720, 12)) * 0.12)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, v[3].tolist()), (5, v[9].tolist()), (5, None)]
+    got = vecdedup.near_vectors(spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, Kept string, n_links int").repartition(4)).collect()
+    every = np.array([r[1] for r in rows[:-1]])
+    near = every @ every.T >= 0.9
+    assert sorted(r.n_links for r in got if not (r.vec_id == 5 and r.n_links == 0)) == sorted((near.sum(axis=1) - 1).tolist()) and len(got) == len(rows)
+
+
 # 5
 
 
