@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -15,8 +16,8 @@ from quadrille.llm.common import map_batches, materialise, plus, texts_of, words
 WINDOW = 13
 #: Words of training text that one FM-index covers; a longer document is a shard of its own.
 SHARD_WORDS = 400_000
-#: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text whose windows are broadcast at once, some 80 MB of them; a larger benchmark is searched in blocks.
+BLOCK_BYTES = 8 << 20
 
 
 class Ranks:
@@ -141,24 +142,53 @@ class FMIndex:
         return out
 
 
-def windows_of(items: list[tuple[object, bytes | None]], width: int = WINDOW) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, list[tuple[str, ...]]]:
-    """(word -> symbol, distinct windows padded with 0, their lengths, the items of each). An item shorter than a window
-    is one window; an item without words has none."""
-    symbols: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [symbols.setdefault(w, len(symbols) + 1) for w in words_of(text)]
-        for i in range(max(1, len(ids) - width + 1) if ids else 0):
-            owners.setdefault(tuple(ids[i : i + width]), set()).add(str(item))
-    padded = np.zeros((len(owners), width), np.int64)
-    for i, w in enumerate(owners):
-        padded[i, : len(w)] = w
-    return symbols, padded, np.fromiter(map(len, owners), np.int64, len(owners)), [tuple(sorted(x)) for x in owners.values()]
+@dataclass(frozen=True)
+class Windows:
+    """Distinct windows as rows of word symbols, padded with 0, with their lengths; window w is in the items
+    names[owner[first[w] : first[w + 1]]]."""
+
+    symbols: dict[bytes, int]
+    rows: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    names: list[str]
 
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        found = [self.owner[self.first[w] : self.first[w + 1]] for w in windows.tolist()]
+        return sorted({self.names[i] for i in np.unique(np.concatenate(found)).tolist()}) if found else []
 
-def scan_shard(docs: list[list[bytes]], windows) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+
+def windows_of(items: list[tuple[object, bytes | None]], width: int = WINDOW) -> Windows:
+    """An item shorter than a window is one window; an item without words has none. Items of one id are one, those without
+    an id are one with an empty name."""
+    symbols: dict[bytes, int] = {}
+    names = sorted({"" if item is None else str(item) for item, _ in items})
+    place = {name: i for i, name in enumerate(names)}
+    rows, lengths, owner = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int8)], [np.zeros(0, np.int32)]
+    for item, text in items:
+        ids = np.array([symbols.setdefault(w, len(symbols) + 1) for w in words_of(text)], np.int32)
+        if not len(ids):
+            continue
+        if len(ids) < width:
+            found = np.zeros((1, width), np.int32)
+            found[0, : len(ids)] = ids
+        else:
+            found = np.lib.stride_tricks.sliding_window_view(ids, width)
+        rows.append(found)
+        lengths.append(np.full(len(found), min(width, len(ids)), np.int8))
+        owner.append(np.full(len(found), place["" if item is None else str(item)], np.int32))
+    every, of, size = np.concatenate(rows), np.concatenate(owner), np.concatenate(lengths)
+    order = np.lexsort((of, *every.T[::-1]))
+    every, of, size = every[order], of[order], size[order]
+    new = np.concatenate(([True], (every[1:] != every[:-1]).any(axis=1))) if len(every) else np.zeros(0, np.bool_)
+    first = np.append(np.flatnonzero(new), len(every))
+    return Windows(symbols, every[new], size[new].astype(np.int64), first, of, names)
+
+
+def scan_shard(docs: list[list[bytes]], windows: Windows) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """(n_hit, merged spans of word positions, sorted item ids) for each document of a shard, by its FM-index."""
-    symbols, patterns, lengths, owners = windows
+    symbols, patterns, lengths = windows.symbols, windows.rows, windows.lengths
     sizes = np.fromiter(map(len, docs), np.int64, len(docs)) + 1
     starts = np.concatenate(([0], np.cumsum(sizes)))
     text = np.zeros(starts[-1], np.int64)
@@ -184,18 +214,13 @@ def scan_shard(docs: list[list[bytes]], windows) -> list[tuple[int, list[tuple[i
     np.add.at(edge, at + lengths[which], -1)
     covered = np.cumsum(edge[:-1]) > 0
     doc = np.searchsorted(starts, at, side="right") - 1
-    for d in np.unique(doc).tolist():
+    pairs = np.unique(doc * len(patterns) + which)
+    owners_doc, owners_window = pairs // len(patterns), pairs % len(patterns)
+    for d, window in zip(*(np.split(x, np.flatnonzero(np.diff(owners_doc)) + 1) for x in (owners_doc, owners_window)), strict=True):
+        d = int(d[0])
         mine = np.flatnonzero(np.diff(np.concatenate(([False], covered[starts[d] : starts[d + 1]], [False]))))
         spans = list(zip(mine[::2].tolist(), mine[1::2].tolist(), strict=True))
-        items = sorted({x for w in np.unique(which[doc == d]).tolist() for x in owners[w]}) if len(doc) < 1000 else []
-        out[d] = (sum(b - a for a, b in spans), spans, items)
-    if len(doc) >= 1000:
-        pairs = np.unique(doc * len(owners) + which)
-        by_doc: dict[int, set[str]] = {}
-        for d, w in zip((pairs // len(owners)).tolist(), (pairs % len(owners)).tolist(), strict=True):
-            by_doc.setdefault(d, set()).update(owners[w])
-        for d, items in by_doc.items():
-            out[d] = (*out[d][:2], sorted(items))
+        out[d] = (sum(b - a for a, b in spans), spans, windows.items_of(window))
     return out
 
 
@@ -237,8 +262,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(id, n_words, n_hit, spans, items) for each document: spans are the merged word intervals [start, end) to remove,
     items the sorted ids of benchmark items of which a window occurs.
 
-    Null and empty texts have no words and no hits; null items no windows; repeated item rows count once; repeated
-    document rows stay. An empty benchmark hits nothing. The benchmark's size is checked: beyond block_bytes its items
+    Null and empty texts have no words and no hits; items without a text no windows; items without an id count as one,
+    listed as an empty string; repeated item rows count once; repeated document rows stay. An empty benchmark hits nothing. The benchmark's size is checked: beyond block_bytes its items
     are searched in blocks, one broadcast at a time, and each document's spans are merged afterwards.
     """
     spark = docs.sparkSession

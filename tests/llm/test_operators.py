@@ -53,7 +53,7 @@ def brute_overlaps(doc, items):
             for i in range(len(w) - size + 1):
                 if tuple(w[i : i + size]) == win:
                     hit |= set(range(i, i + size))
-                    found.add(str(item))
+                    found.add("" if item is None else str(item))
     return len(w), len(hit), sorted(found)
 
 
@@ -61,7 +61,7 @@ def brute_overlaps(doc, items):
 def test_decontamination(spark, block_bytes):
     rnd = random.Random(5)
     line = lambda k: " ".join(rnd.choices(WORDS[:5], k=k))
-    items = [(1, line(20)), (2, line(13)), (3, "Delta, ÉPSILON"), (4, ""), (5, None), (6, "unseen"), (10, line(14)), (2, "alpha alpha alpha")]
+    items = [(1, line(20)), (2, line(13)), (3, "Delta, ÉPSILON"), (4, ""), (5, None), (6, "unseen"), (10, line(14)), (2, "alpha alpha alpha"), (None, "beta beta beta"), (None, "zeta unseen")]
     made = [line(40) for _ in range(40)] + [f"x {items[0][1]} y", items[1][1].upper(), None, "", f"{items[0][1]} {items[0][1]}", "alpha " * 5000]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -75,6 +75,14 @@ def test_decontamination(spark, block_bytes):
         assert sum(s.end - s.start for s in r.spans) == hit
 
 
+def test_decontamination_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "alpha beta gamma", 1, "x"), (1, "alpha beta gamma", 2, "y"), (1, "alpha beta gamma", 2, "y"), (2, None, None, None)], "doc_id long, text string, n_hit int, Spans string")
+    bench = spark.createDataFrame([(7, "beta gamma")], "item_id long, text string")
+    for block_bytes in (1 << 20, 4):
+        got = sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.overlaps(docs, bench, block_bytes=block_bytes).collect())
+        assert got == [(0, 3, 2), (1, 3, 2), (1, 3, 2), (2, 0, 0)]
+
+
 def test_decontamination_without_rows(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(none, bench).count() == 0
