@@ -6,11 +6,14 @@ import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from itertools import product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_COLUMNS = 10_000
+#: Combinations up to which a pivot looks at each for every row.
+ONE_PASS = 16
 
 
 def col(name: str) -> Column:
@@ -39,8 +42,15 @@ def pivot(df: DataFrame, index: list[str], keys: list[tuple[str, Iterable[str]]]
     leaves them, and with them the index rows that have no cell. A combination without rows is a column of nulls.
     """
     keys = [(g, list(codes)) for g, codes in keys]
+    combinations = prod(len(codes) for _, codes in keys)
+    if combinations > MOST_COLUMNS:
+        raise ValueError(f"{combinations} combinations are more than {MOST_COLUMNS} columns")
     if not keep_empty:
         df = reduce(lambda d, k: d.where(col(k[0]).isin(k[1])), keys, df)
+    if combinations > ONE_PASS:  # each combination first has its row, and only those are spread over the columns
+        named = df.select(*map(col, index), col(value), *(F.when(col(g).isin(codes), col(g)).alias(g) for g, codes in keys))
+        df = named.groupBy(*map(col, index), *(col(g) for g, _ in keys)).agg(aggregate(col(value)).alias(value))
+        aggregate = F.max
     cells = []
     for combination in product(*(codes for _, codes in keys)):
         hit = reduce(lambda a, b: a & b, (col(g) == c for (g, _), c in zip(keys, combination, strict=True)), F.lit(True))

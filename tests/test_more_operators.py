@@ -81,6 +81,21 @@ def test_sparql(spark):
     server.shutdown()
 
 
+@pytest.mark.parametrize("keep_empty", [False, True])
+@pytest.mark.parametrize("f", [F.sum, F.avg, F.max, F.min])
+def test_wide_pivots_equal_narrow_ones(spark, monkeypatch, f, keep_empty):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["i", "j", None]), rnd.choice("abcx"), rnd.choice(["p", "q", None]), rnd.choice([1.0, 2.5, None])) for _ in range(200)] + [("only", "zz", "p", 1.0)]
+    df = spark.createDataFrame(rows, "i string, k string, l string, Value double")
+    made = []
+    for most in (16, 0):
+        monkeypatch.setattr(reshape, "ONE_PASS", most)
+        made.append(sorted(map(str, reshape.pivot(df, ["i"], [("k", "abc"), ("l", "pq")], f, keep_empty=keep_empty).collect())))
+    assert made[0] == made[1]
+    with pytest.raises(ValueError):
+        reshape.pivot(df, ["i"], [("k", map(str, range(101))), ("l", map(str, range(100)))])
+
+
 def test_answers_as_shown(spark):
     assert reshape.code_levels(["T001047_2021JJ00", "A_b", "x_1_long"]) == [("T001047", "2021JJ00"), ("A_b",), ("x_1", "long")]
     df = spark.createDataFrame([("a", "m", 1.0), ("b", "n", None)], "g string, Measure string, Value double")
