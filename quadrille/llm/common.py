@@ -78,7 +78,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _path(df, path)[0].deleteOnExit(_path(df, path)[1])  # if the job ends before discard()
+    remove_at_exit(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -91,6 +91,12 @@ def _path(df: DataFrame, at: str) -> tuple:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
 
+def remove_at_exit(df: DataFrame, at: str) -> None:
+    """Has the driver remove what is at a path when it ends, if nothing did before."""
+    store, path = _path(df, at)
+    store.deleteOnExit(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of materialise() that nothing will read again."""
     for df in tables:

@@ -12,13 +12,28 @@ SHARDS = 24
 ROUNDS = 6
 
 
+def admitted(asked: dict[tuple[int, int], int], room: list[int], steps: int = 200) -> list[float]:
+    """Which share of the rows that want into each shard may move, so that none grows beyond its room: what leaves a shard
+    makes room in it. asked is (from, to) -> rows. The shares fall from 1 to the largest that fit together."""
+    shards = range(len(room))
+    into = [sum(w for (_, to), w in asked.items() if to == t) for t in shards]
+    share = [1.0] * len(room)
+    for _ in range(steps):
+        left = [sum(w * share[to] for (from_, to), w in asked.items() if from_ == t) for t in shards]
+        new = [min(share[t], max(0.0, (room[t] + left[t]) / into[t])) if into[t] else 0.0 for t in shards]
+        if max(a - b for a, b in zip(share, new, strict=True)) < 1e-4:
+            return new
+        share = new
+    return share
+
+
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard): law `rows`, so shards' counts differ by one at most.
 
     Documents with equal texts are linked. Every document starts with the label that a hash of its id gives. Those of a
     group that share a label move as one; a group's part never exceeds a sixteenth of a shard, so a hot group is many.
     In each round a group's labels vote, weighted by rows; as many labels win as the group needs shards; parts with
-    another label want to move to a winner (a group that fits one shard prefers shards that are not nearly full), and as many do as the winner's quota has room for, which a hash decides.
+    another label want to move to a winner (a group that fits one shard prefers shards that are not nearly full), and as many do as the winner's quota has room for, what moves out of it counted, which a hash decides.
     Documents without a link have no pull: they keep their label unless linked ones need the room. At last each label's
     first rows, linked ones before others, fill its shard's quota, and what is over fills the gaps elsewhere.
 
@@ -51,8 +66,9 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         wants = state.join(stays, ["_group", "label"], "left").join(winners.select("_group", "m").distinct(), "_group")
         wants = wants.withColumn("r", (F.pmod(F.xxhash64("_group", "_salt", F.lit(k)), F.col("m")) + 1).cast("int")).drop("m").join(winners.drop("m"), ["_group", "r"], "left")
         wants = materialise(wants.withColumn("to", F.when(F.col("stays").isNull(), F.col("to"))).select("_group", "_salt", "w", "label", "to"), "wants")
-        asked = {r[0]: r[1] for r in wants.where("to IS NOT NULL").groupBy("to").agg(F.sum("w")).collect()}
-        share = [min(1.0, max(0, quota - load.get(t, 0)) / asked[t]) if t in asked else 0.0 for t in range(shards)]
+        asked = {(r[0], r[1]): r[2] for r in wants.where("to IS NOT NULL").groupBy("label", "to").agg(F.sum("w")).collect()}
+        spare = max(0, min(quota // 24, quota - sum(load.values()) // shards))  # held back, as draws spread, where linked rows leave room
+        share = admitted(asked, [quota - spare - load.get(t, 0) for t in range(shards)])
         drawn = F.pmod(F.xxhash64("_salt", "_group", F.lit(k + 1000)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         moves = F.col("to").isNotNull() & (drawn < F.array(*map(F.lit, share))[F.coalesce("to", F.lit(0))])
         moved = materialise(wants.select("_group", "_salt", "w", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label")), "labels")

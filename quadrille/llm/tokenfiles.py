@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import plus, shared_dir
+from quadrille.llm.common import plus, remove_at_exit, shared_dir
 
 END_ID = 2
 #: Entries of each table of known units; those seen once only are not entered.
@@ -214,4 +214,5 @@ def op10_tokens(spark, sf_dir: str) -> DataFrame:
 
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    remove_at_exit(docs, folder)
     return read(write(docs, folder, public_tokenizers.path("byte_bpe_50k.json")), folder)

@@ -182,6 +182,26 @@ def test_sharding(spark, docs, none):
     assert sharding.balanced_shards(docs).count() == docs.count()
 
 
+def test_few_links_are_cut(spark):
+    """Groups that fit shards exactly, and one that fills eight of them; all rows are linked, so nothing makes room but what
+    moves. The best assignment cuts no link of the small groups; a hash keeps one in 24."""
+    rnd = random.Random(25)
+    rows = [(g * 100 + i, f"group {g}") for g in range(160) for i in range(10)] + [(50_000 + i, "hot") for i in range(800)]
+    rnd.shuffle(rows)
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(dict(rows)[r.doc_id], []).append(r.shard)
+    pairs = lambda k: k * (k - 1) // 2
+    kept = sum(pairs(v.count(s)) for t, v in by.items() if t != "hot" for s in set(v))
+    every = sum(pairs(len(v)) for t, v in by.items() if t != "hot")
+    assert kept > 0.4 * every
+    by_hash = sum(pairs(sum(1 for i in range(10) if hash((g, i)) % 24 == s)) for g in range(160) for s in range(24))
+    assert kept > 5 * by_hash
+    hot = by["hot"]  # 100 rows a shard: eight shards' worth keep 8 * 4950 of the pairs at best
+    assert sum(pairs(hot.count(s)) for s in set(hot)) > 0.35 * 8 * pairs(100)
+
+
 # 4
 
 
@@ -534,6 +554,8 @@ def test_simhash(spark, docs, none):
         for a in ids:
             low[a] = min(low[b] for b in ids if (prints[a] ^ prints[b]).bit_count() <= 2)
     assert all(r.component_id == low[r.doc_id] for r in got if r.doc_id is not None)
+    nameless = [r for r in got if r.doc_id is None]
+    assert nameless and all(r.component_id == min((low[i] for i in ids if (prints[i] ^ r.fp & (2**64 - 1)).bit_count() <= 2), default=None) for r in nameless)
     assert simhash.near_duplicates(none).count() == 0
 
 
