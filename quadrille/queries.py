@@ -21,6 +21,7 @@ from quadrille.plans.compiler import CubeContext, code_filter, compile, long_for
 from quadrille.plans.expressions import Value
 from quadrille.retrieval import ranking
 from quadrille.sources import tables as sources
+from quadrille.streaming.windows import windowed_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -952,6 +953,13 @@ def latency_percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"))
 
 
+@query("event_windows", "SELECT epoch(date_trunc('day', ts)) AS window_start, event_type, 'value' AS \"Measure\", count(value) AS n, round(sum(value), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def event_windows(spark, d):
+    """The streaming aggregate on a batch, which gives the same rows."""
+    found = windowed_totals(table(spark, d, "events"), "ts", ["event_type"], ["value"], "1 day")
+    return found.withColumn("total", F.round("total", 4)).withColumn("window_start", F.unix_timestamp("window_start").cast("double"))
+
+
 @query("resume_remaining", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
 def resume_remaining(spark, d):
     done = table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
