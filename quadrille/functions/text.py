@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -119,8 +118,9 @@ def listed_ids(raw: Column) -> Column:
     return F.array_distinct(F.filter(lines, lambda s: s != ""))
 
 
-def prompt_lines(header: str, items: Column) -> Column:
-    return F.concat(F.lit(header + "\n"), F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n"))
+def prompt_lines(header: Column, items: Column) -> Column:
+    """The header, and a line for each item."""
+    return F.concat(header, F.lit("\n"), F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n"))
 
 
 def table_ids(query: Column) -> Column:
@@ -178,13 +178,3 @@ def close_match(a: Column, b: Column) -> Column:
         return pd.Series([near_equal(p, q) for p, q in zip(x, y, strict=True)], dtype="object")
 
     return F.pandas_udf(near, "boolean")(a, b)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Of two float arrays, in double precision; null if one has no direction."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions, F.lit(True))

@@ -442,7 +442,7 @@ def uri_to_code(spark, d):
 @query("prompt_lines", "SELECT r_name, 'Members of ' || r_name || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS prompt FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def prompt_lines(spark, d):
     rows = table(spark, d, "region").join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-    return rows.select("r_name", F.concat(F.lit("Members of "), F.col("r_name"), F.lit("\n"), F.array_join(F.transform("names", lambda n: F.concat(F.lit("- "), n)), "\n")).alias("prompt"))
+    return rows.select("r_name", text.prompt_lines(F.concat(F.lit("Members of "), "r_name"), F.col("names")).alias("prompt"))
 
 
 @query("table_id_extract", "SELECT o_orderkey, 'T' || o_custkey AS ids FROM orders")

@@ -31,13 +31,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """(doc, term, tf, dl): one row for each term of a document, aggregated before it is shuffled."""
-    sized = docs.select(F.col(doc), tokens.alias("_t")).withColumn("dl", F.size("_t"))  # the length before the rows are multiplied
-    words = sized.select(doc, F.explode("_t").alias("term"), "dl")
-    return words.groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, doc_tokens: Column, query_tokens: Column, k: int | None = 10, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, constant: bool = True) -> DataFrame:
     """(query, doc, score[, rank]): BM25+ with idf ln((N + 1) / df). doc may not repeat.
 
