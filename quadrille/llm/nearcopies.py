@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import shingles
 from quadrille.llm.common import components, discard, map_batches, materialise, plus, texts_of
+from quadrille.llm.simhash import hamming_links
 
 #: Words of a shingle and Jaccard similarity of near copies.
 WIDTH, SIMILARITY = 5, 0.8
@@ -207,14 +208,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates are checked on the whole sets, in three rounds, each over what the links so far leave apart: copies within
     reach of the BK-trees of fingerprints, and each shingle's least and greatest set with all others that share it; then
-    each set's nearest by sketch; then all others that share a prefix shingle and that sizes and sketches allow. So the
-    work in a large group of near copies follows its size, not the square, and no link is lost.
+    each set's nearest by sketch; then all others that share a prefix shingle and that sizes and sketches allow. So in a
+    large group of near copies most links come from the first rounds, whose candidates are as many as its sets; sketches
+    are compared, in bounded blocks, for the pairs that those leave apart, and no link is lost.
     Texts without words are alike. A text shorter than a shingle is one. `first` marks the row of a component that stays
     if one does: the smallest id, then the smallest text_key; rows equal in id and text are one document, all first or
     none. Null ids come after all others; a component without ids has a null component_id. No rows, no rows.
     """
-    from quadrille.llm.simhash import hamming_links
-
     rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     sets = materialise(map_batches(rows, _facts, plus(rows.select("_id", "_key"), "node long, n long, fp long, sketch binary")), "sets")
     facts = materialise(sets.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("_key").alias("_key"), F.min("sketch").alias("sketch")), "facts")
