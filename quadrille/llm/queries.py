@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontaminate, htmltext, packing, pii, secrets, sharding, simhash, tokenfiles, toxicity, vecdedup
+from quadrille.llm import decontaminate, hardnegatives, htmltext, joinreplay, langid, packing, pii, secrets, sharding, simhash, tokenfiles, toxicity, vecdedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_tokens": tokenfiles.op10_tokens,
+        "op11_language": langid.op11_language,
+        "op12_join": joinreplay.op12_join,
+        "op13_negatives": hardnegatives.op13_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op4_embeddings": vecdedup.OP4_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op4_embeddings": vecdedup.OP4_SQL, "op12_join": joinreplay.OP12_SQL, "op13_negatives": hardnegatives.OP13_SQL}
