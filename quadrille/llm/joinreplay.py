@@ -71,7 +71,7 @@ def _replay(initial: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
         if state := states.get((key, cell)):
             state.advance(side, part, n)
     out = [(batch, key, *row) for (key, cell), batches in todo.items() for batch in sorted(batches) for row in states[key, cell].step(batches[batch])]
-    return pd.DataFrame(dict(zip(("batch", "_key", "left_part", "right_part", "weight", "total"), zip(*out, strict=True), strict=True)) if out else {"batch": pd.Series([], dtype="int32"), "_key": [], "left_part": [], "right_part": [], "weight": [], "total": []})
+    return pd.DataFrame(out, columns=["batch", "_key", "left_part", "right_part", "weight", "total"]).astype({"batch": "int32", "_key": object, "left_part": object, "right_part": object, "weight": "int64", "total": "int64"})
 
 
 def right_outer_changes(left: DataFrame, right: DataFrame, cell_entries: int = CELL_ENTRIES, group_entries: int = GROUP_ENTRIES) -> DataFrame:
