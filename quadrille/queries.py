@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille import catalog, training, units
+from quadrille import catalog, cubegraph, training, units
+from quadrille.context import scratch
 from quadrille.functions import stemming, text
 from quadrille.metrics import answers, evaluation, selection
 from quadrille.operators import probing, reshape
 from quadrille.plans import sqltext
 from quadrille.plans.compiler import CubeContext, code_filter, compile, long_form
 from quadrille.plans.expressions import Value
+from quadrille.plans.patterns import Graph, Solutions, iri, literal, text_of
 from quadrille.retrieval import ranking
 from quadrille.sources import tables as sources
 from quadrille.streaming.windows import windowed_totals
@@ -178,50 +180,203 @@ def label_translate_composite(spark, d):
     return catalog.translated(table(spark, d, "supplier").select("s_suppkey", F.concat_ws(", ", F.col("s_nationkey").cast("string"), F.lit("O")).alias("Measure")), "Measure", labels, composite=True)
 
 
-# Graph patterns
+# Graph patterns: regions are tables, nations, parts and years of orders their codes, brands their measures
+_NS = cubegraph.Namespaces(*(f"http://shop.example/{n}#" for n in ("table", "measure", "dimension", "concept")))
+
+
+def _quads(spark: SparkSession, d: str) -> DataFrame:
+    nation, part = table(spark, d, "nation"), table(spark, d, "part")
+    key = lambda c: F.col(c).cast("string")
+    title = table(spark, d, "region").select(key("r_regionkey").alias("t"), F.col("r_name").alias("title"))
+    code = lambda df, t, n, ident, label, group, type_=None: df.select(t.alias("t"), n.alias("n"), ident.alias("id"), label.alias("label"), F.lit(group).alias("group"), F.lit(type_).cast("string").alias("type"))
+    groups = title.select("t", F.explode(F.array(F.lit("Nation"), F.lit("Part"), F.lit("Period"))).alias("n"))
+    groups = code(groups, F.col("t"), F.col("n"), F.col("n"), F.col("n"), None).withColumn("type", F.when(F.col("n") == "Period", "TimeDimension"))
+    sold = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    years = sold.select(key("n_regionkey").alias("t"), F.year("o_orderdate").cast("string").alias("y")).distinct()
+    nodes = groups.union(code(nation, key("n_regionkey"), F.concat(F.lit("N"), key("n_nationkey")), F.col("n_name"), F.initcap("n_name"), "Nation"))
+    nodes = nodes.union(code(part, (F.col("p_size") % 5).cast("string"), F.concat(F.lit("P"), key("p_partkey")), F.concat(F.lit("P"), key("p_partkey")), F.col("p_name"), "Part"))
+    nodes = nodes.union(code(years, F.col("t"), F.concat("y", F.lit("JJ00")), F.concat("y", F.lit("JJ00")), F.col("y"), "Period", "TimeDimension"))
+    brand = part.select("p_brand", F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("b")).distinct()
+    quad = lambda s, p, o, is_literal: F.struct(s.alias("s"), F.lit(iri(p)).alias("p"), o.alias("o"), F.lit(is_literal).alias("o_is_literal"))
+    named = lambda space, c: F.concat(F.lit(space), c)
+    t, n = named(_NS.table, F.col("t")), named(_NS.dimension, F.col("n"))
+    concept = F.concat(F.lit(_NS.concept), F.col("t"), F.lit("."), F.col("n"))
+    of_table = title.select(F.explode(F.array(quad(t, "dct:identifier", F.concat(F.lit("T"), "t"), True), quad(t, "dct:title", F.col("title"), True), quad(t, "dct:description", F.concat(F.lit("About "), F.lower("title")), True))).alias("q"))
+    of_node = nodes.select(F.explode(F.array_compact(F.array(
+        quad(t, "qb:dimension", n, False), quad(n, "dct:identifier", F.col("id"), True), quad(n, "qb:concept", concept, False), quad(concept, "dct:isPartOf", t, False), quad(concept, "skos:prefLabel", F.col("label"), True), F.when(F.col("type").isNotNull(), quad(n, "rdf:type", F.col("type"), True)),
+        F.when(F.col("group").isNotNull(), quad(n, "skos:broader", named(_NS.dimension, F.col("group")), False)), F.when(F.col("group").isNotNull(), quad(concept, "skos:broader", F.concat(F.lit(_NS.concept), "t", F.lit("."), "group"), False)),
+    ))).alias("q"))
+    m, held, of_brand = F.concat(F.lit(f"{_NS.measure}B"), key("b")), named(_NS.table, (F.col("b") % 5).cast("string")), F.concat(F.lit(_NS.concept), (F.col("b") % 5).cast("string"), F.lit(".B"), key("b"))
+    of_measure = brand.select(F.explode(F.array_compact(F.array(
+        quad(held, "qb:measure", m, False), quad(m, "dct:identifier", F.concat(F.lit("B"), key("b")), True), quad(m, "qb:concept", of_brand, False), quad(of_brand, "dct:isPartOf", held, False), quad(of_brand, "skos:prefLabel", F.col("p_brand"), True),
+        F.when(F.col("b") % 2 == 0, quad(m, "qudt:unit", F.lit("http://qudt.org/vocab/unit/EUR"), False)), F.when(F.col("b") % 3 < 2, quad(m, "qudt:unitOfSystem", F.when(F.col("b") % 3 == 0, "x 1 000").otherwise("None"), True)),
+    ))).alias("q"))
+    return of_table.union(of_node).union(of_measure).select("q.*").withColumns({"g": F.lit("http://shop.example/all"), "o_datatype": F.lit(None).cast("string"), "o_lang": F.lit(None).cast("string")})
+
+
+def _graph(spark: SparkSession, d: str) -> Graph:
+    return Graph.of(_quads(spark, d)).write(scratch(spark, "graph"))
+
+
+_GRAPH = """tb AS (SELECT CAST(r_regionkey AS VARCHAR) AS t, r_name AS title FROM region),
+  gr AS (SELECT t, unnest(['Nation', 'Part', 'Period']) AS n FROM tb),
+  yr AS (SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS t, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  nd AS (SELECT t, n, n AS id, n AS label, NULL AS grp, CASE WHEN n = 'Period' THEN 'TimeDimension' END AS type FROM gr
+    UNION ALL SELECT CAST(n_regionkey AS VARCHAR), 'N' || n_nationkey, n_name, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' '), 'Nation', NULL FROM nation
+    UNION ALL SELECT CAST(p_size % 5 AS VARCHAR), 'P' || p_partkey, 'P' || p_partkey, p_name, 'Part', NULL FROM part
+    UNION ALL SELECT t, y || 'JJ00', y || 'JJ00', y, 'Period', 'TimeDimension' FROM yr),
+  br AS (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS b FROM part)"""
+_NODES_OF = "SELECT nd.t, title, n, id, label, grp, type FROM nd JOIN tb USING (t)"
+
+
 @query("semi_exists", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def semi_exists(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    """Customers and orders as a graph: FILTER EXISTS."""
+    g = _orders_graph(spark, d)
+    found = g.match(("?c", "name", "?name")).exists(g.match(("?o", "by", "?c"), ("?o", "status", literal("P"))))
+    return _numbered(found, "c", "c_custkey").select("c_custkey", text_of(F.col("name")).alias("c_name"))
+
+
+def _orders_graph(spark, d):
+    """Customers with names and segments, and orders with customers, statuses and priorities, as triples."""
+    triple = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    c, o = (lambda k: F.concat(F.lit("c:"), k)), (lambda k: F.concat(F.lit("o:"), k))
+    text_ = lambda k: F.concat(F.lit('"'), k, F.lit('"'))
+    customers = table(spark, d, "customer").select(F.explode(F.array(triple(c("c_custkey"), "name", text_("c_name")), triple(c("c_custkey"), "segment", text_("c_mktsegment")))).alias("t"))
+    orders = table(spark, d, "orders").select(F.explode(F.array(triple(o("o_orderkey"), "by", c("o_custkey")), triple(o("o_orderkey"), "status", text_("o_orderstatus")), triple(o("o_orderkey"), "priority", text_("o_orderpriority")))).alias("t"))
+    return Graph(customers.union(orders).select("t.*"))
+
+
+def _numbered(found, variable, name):
+    """The number in the IRIs of a variable."""
+    return found.rows.withColumn(name, F.regexp_extract(F.col(variable), r"(\d+)$", 1).cast("long"))
 
 
 @query("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def anti_not_exists(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    g = _orders_graph(spark, d)
+    return _numbered(g.match(("?c", "name", "?name")).not_exists(g.match(("?o", "by", "?c"))), "c", "c_custkey").select("c_custkey")
 
 
 @query("optional_left", "SELECT n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
 def optional_left(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("n"))
+    triples = table(spark, d, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("s"), F.lit("name").alias("p"), F.concat(F.lit('"'), "n_name", F.lit('"')).alias("o"))
+    g = Graph(triples.union(table(spark, d, "supplier").select(F.concat(F.lit("s:"), "s_suppkey"), F.lit("in"), F.concat(F.lit("n:"), "s_nationkey"))))
+    found = g.match(("?n", "name", "?name")).optional(g.match(("?s", "in", "?n")))
+    return found.rows.groupBy(text_of(F.col("name")).alias("n_name")).agg(F.count("s").alias("n"))
 
 
 @query("values_inline", "SELECT c_custkey, wanted FROM customer JOIN (VALUES ('BUILDING'), ('MACHINERY')) v(wanted) ON c_mktsegment = wanted")
 def values_inline(spark, d):
-    return table(spark, d, "customer").join(F.broadcast(spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "wanted string")), F.col("c_mktsegment") == F.col("wanted")).select("c_custkey", "wanted")
+    found = _orders_graph(spark, d).match(("?c", "segment", "?wanted")).values("?wanted", [literal("BUILDING"), literal("MACHINERY")])
+    return _numbered(found, "c", "c_custkey").select("c_custkey", text_of(F.col("wanted")).alias("wanted"))
 
 
 @query("path_alternation", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def path_alternation(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_custkey").distinct()
+    g = Graph(table(spark, d, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("s"), F.concat(F.lit("at:"), "o_orderpriority").alias("p"), F.concat(F.lit("c:"), "o_custkey").alias("o")))
+    return _numbered(g.match(("?o", ("at:1-URGENT", "at:2-HIGH"), "?c")).select("?c"), "c", "o_custkey").select("o_custkey")
 
 
 @query("pattern_join", "SELECT r_name, n_name, count(*) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name")
 def pattern_join(spark, d):
-    pairs = table(spark, d, "region").join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return pairs.join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name").agg(F.count("*").alias("customers"))
+    """A chain of triple patterns, joined in order of their predicates' counts."""
+    triple = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    region, nation, customer = (table(spark, d, x) for x in ("region", "nation", "customer"))
+    of = lambda x, c: F.concat(F.lit(f"{x}:"), c)
+    rows = triple(region, of("r", "r_regionkey"), "title", F.concat(F.lit('"'), "r_name", F.lit('"'))).union(triple(nation, of("n", "n_nationkey"), "in", of("r", "n_regionkey")))
+    rows = rows.union(triple(nation, of("n", "n_nationkey"), "name", F.concat(F.lit('"'), "n_name", F.lit('"')))).union(triple(customer, of("c", "c_custkey"), "from", of("n", "c_nationkey")))
+    counts = {r[0]: r[1] for r in rows.groupBy("p").count().collect()}
+    found = Graph(rows, counts).match(("?c", "from", "?n"), ("?n", "name", "?name"), ("?n", "in", "?r"), ("?r", "title", "?title"))
+    return found.rows.groupBy(text_of(F.col("title")).alias("r_name"), text_of(F.col("name")).alias("n_name")).agg(F.count("*").alias("customers"))
 
 
 @query("construct_triples", "SELECT DISTINCT s, p, o FROM (SELECT n_name AS s, 'broader' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'key', CAST(n_nationkey AS VARCHAR) FROM nation)")
 def construct_triples(spark, d):
-    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    triple = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"))
-    return rows.select(F.explode(F.array(triple(F.col("n_name"), "broader", F.col("r_name")), triple(F.col("n_name"), "key", F.col("n_nationkey")))).alias("t")).select("t.*").where("s IS NOT NULL AND o IS NOT NULL").distinct()
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", F.col("n_nationkey").cast("string").alias("key"))
+    return Solutions(rows, frozenset(rows.columns)).construct(("?n_name", "broader", "?r_name"), ("?n_name", "key", "?key"))
 
 
 @query("triple_update", "SELECT n_name AS s, 'in' AS p, CASE WHEN n_name LIKE 'A%' THEN 'moved' ELSE r_name END AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
 def triple_update(spark, d):
     now = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("s"), F.lit("in").alias("p"), F.col("r_name").alias("o"))
     gone = now.where("s LIKE 'A%'")
-    return sources.updated(now, gone, gone.withColumn("o", F.lit("moved")))
+    return Graph(now).updated(gone, gone.withColumn("o", F.lit("moved"))).triples
+
+
+def _iri_sql(kind: str, of: str) -> str:
+    return f"'http://shop.example/{kind}#' || {of}"
+
+
+_T, _D, _C = _iri_sql("table", "t"), _iri_sql("dimension", "n"), _iri_sql("concept", "t || '.' || n")
+_P = {n: f"'{iri(n)}'" for n in ("qb:measure", "qb:dimension", "qb:concept", "dct:title", "dct:isPartOf", "skos:prefLabel", "skos:broader", "qudt:unit", "qudt:unitOfSystem", "rdf:type")}
+_M, _MT, _MC = _iri_sql("measure", "'B' || b"), _iri_sql("table", "(b % 5)"), _iri_sql("concept", "(b % 5) || '.B' || b")
+#: All that is told of the tables in `x`, codes of time left out but for their group; hierarchy within the table.
+_DESCRIBED = f"""SELECT DISTINCT s, p, o FROM (
+  SELECT {_T} AS s, unnest([{_P["qb:dimension"]}, {_P["dct:title"]}]) AS p, unnest([{_D}, '"' || title || '"']) AS o FROM h UNION ALL
+  SELECT {_D}, {_P["qb:concept"]}, {_C} FROM h UNION ALL SELECT {_C}, unnest([{_P["dct:isPartOf"]}, {_P["skos:prefLabel"]}]), unnest([{_T}, '"' || label || '"']) FROM h UNION ALL
+  SELECT {_D}, {_P["skos:broader"]}, {_iri_sql("dimension", "grp")} FROM h WHERE grp IS NOT NULL UNION ALL SELECT {_D}, {_P["rdf:type"]}, '"' || type || '"' FROM h WHERE type IS NOT NULL UNION ALL
+  SELECT {_MT}, unnest([{_P["qb:measure"]}, {_P["dct:title"]}]), unnest([{_M}, '"' || title || '"']) FROM ms UNION ALL SELECT {_M}, {_P["qb:concept"]}, {_MC} FROM ms UNION ALL
+  SELECT {_MC}, unnest([{_P["dct:isPartOf"]}, {_P["skos:prefLabel"]}]), unnest([{_MT}, '"' || p_brand || '"']) FROM ms UNION ALL
+  SELECT {_M}, {_P["qudt:unit"]}, 'http://qudt.org/vocab/unit/EUR' FROM ms WHERE b % 2 = 0 UNION ALL SELECT {_M}, {_P["qudt:unitOfSystem"]}, CASE WHEN b % 3 = 0 THEN '"x 1 000"' ELSE '"None"' END FROM ms WHERE b % 3 < 2)"""
+_OF_TABLES = "h AS (SELECT * FROM ({nodes}) WHERE t IN ({tables}) AND NOT (type IS NOT NULL AND grp IS NOT NULL)), ms AS (SELECT p_brand, b, title FROM br JOIN tb ON tb.t = CAST(b % 5 AS VARCHAR) WHERE tb.t IN ({tables}))"
+
+
+@query("graph_table", f"WITH {_GRAPH}, {_OF_TABLES.format(nodes=_NODES_OF, tables=chr(39) + '3' + chr(39))} {_DESCRIBED}")
+def graph_table(spark, d):
+    return cubegraph.table_graph(_graph(spark, d), f"{_NS.table}3")
+
+
+@query("graph_exploded", f"WITH {_GRAPH}, {_OF_TABLES.format(nodes=_NODES_OF, tables=chr(39) + '1' + chr(39) + ', ' + chr(39) + '4' + chr(39))} {_DESCRIBED}")
+def graph_exploded(spark, d):
+    """A table, and the table of a nation; a year names none."""
+    return cubegraph.exploded(_graph(spark, d), [f"{_NS.table}1", f"{_NS.dimension}N4", f"{_NS.dimension}1995JJ00"], _NS)
+
+
+@query("graph_held", f"WITH {_GRAPH} SELECT {_T} AS s, {_P['qb:dimension']} AS p, {_D} AS o FROM nd WHERE t = '0' AND NOT (type IS NOT NULL AND grp IS NOT NULL) UNION SELECT {_MT}, {_P['qb:measure']}, {_M} FROM br WHERE b % 5 = 0")
+def graph_held(spark, d):
+    return cubegraph.exploded(_graph(spark, d), [f"{_NS.table}0"], _NS, full=False)
+
+
+@query("graph_codes", f"WITH {_GRAPH} SELECT 'nation' AS kind, id AS code, label FROM nd WHERE t = '2' AND grp = 'Nation' UNION SELECT 'time', id, label FROM nd WHERE t = '2' AND grp = 'Period'")
+def graph_codes(spark, d):
+    g, at = _graph(spark, d), f"{_NS.table}2"
+    named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "code", "label")
+    return named("nation", cubegraph.codes(g, at, dimension=f"{_NS.dimension}Nation")).union(named("time", cubegraph.codes(g, at, kind=cubegraph.TIME)))
+
+
+@query("graph_schema_labels", f"WITH {_GRAPH} SELECT 'T' || t AS table_id, 'dimension' AS kind, label FROM nd WHERE grp IS NULL UNION SELECT 'T' || (b % 5), 'measure', p_brand FROM br")
+def graph_schema_labels(spark, d):
+    """The union of two patterns, of which one has NOT EXISTS."""
+    return cubegraph.schema_labels(_graph(spark, d))
+
+
+@query("graph_time_coverage", f"WITH {_GRAPH} SELECT 'T' || t AS table_id, CASE WHEN min(y) = max(y) THEN min(y) ELSE min(y) || '–' || max(y) END AS coverage FROM yr GROUP BY t")
+def graph_time_coverage(spark, d):
+    return cubegraph.time_coverage(_graph(spark, d))
+
+
+@query("graph_measure_units", f"WITH {_GRAPH} SELECT 'T' || (b % 5) AS table_id, 'B' || b AS node_id, CASE WHEN b % 2 = 0 THEN 'http://qudt.org/vocab/unit/EUR' ELSE '' END AS units, CASE WHEN b % 3 = 0 THEN 'x 1 000' ELSE '' END AS unit_strings FROM br")
+def graph_measure_units(spark, d):
+    return cubegraph.measure_units(_graph(spark, d)).select("table_id", "node_id", F.array_join("units", ",").alias("units"), F.array_join("unit_strings", ",").alias("unit_strings"))
+
+
+@query("graph_catalog", f"WITH {_GRAPH} SELECT t AS table_id, title, n AS node_id, CASE WHEN grp IS NULL THEN 'dimension' ELSE 'code' END AS kind, type IS NOT NULL AS is_time, label, grp AS parent, NULL AS unit FROM ({_NODES_OF}) UNION ALL SELECT t, title, 'B' || b, 'measure', false, p_brand, NULL, CASE WHEN b % 2 = 0 THEN 'EUR' END FROM br JOIN tb ON t = CAST(b % 5 AS VARCHAR)")
+def graph_catalog(spark, d):
+    """All five tables out of the quads, joined for a look."""
+    c = cubegraph.catalog_of(_graph(spark, d))
+    rows = c.nodes.join(c.tables.select("table_id", "title"), "table_id").join(c.labels.select("table_id", "node_id", "label"), ["table_id", "node_id"], "left")
+    rows = rows.join(c.hierarchy.select(F.col("child").alias("node_id"), "parent"), "node_id", "left").join(c.units.select("node_id", "unit"), "node_id", "left")
+    return rows.select("table_id", "title", "node_id", "kind", "is_time", "label", "parent", "unit")
+
+
+@query("graph_refreshed", f"WITH {_GRAPH} SELECT t AS table_id, n AS node_id, CASE WHEN grp = 'Nation' AND label < 'F' THEN upper(label) ELSE label END AS label FROM nd UNION ALL SELECT CAST(b % 5 AS VARCHAR), 'B' || b, p_brand FROM br")
+def graph_refreshed(spark, d):
+    """Labels of the catalog after those of some nations have changed, whose rows alone are made anew."""
+    g = _graph(spark, d)
+    old = g.triples.where((F.col("p") == iri("skos:prefLabel")) & F.col("s").rlike(r"\.N\d+$") & (F.col("o") < '"F'))
+    now = g.updated(old, old.withColumn("o", F.upper("o")))
+    return cubegraph.refreshed(cubegraph.catalog_of(g), now, old.select("s")).labels.select("table_id", "node_id", "label")
 
 
 @query("union_set", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
