@@ -39,7 +39,8 @@ def pivot(df: DataFrame, index: list[str], keys: list[tuple[str, Iterable[str]]]
     """One row for each index, one column for each combination of the keys' codes, named by the codes with `_` between.
 
     Rows outside the code lists are filtered out before the shuffle, so that the filter reaches the scan; keep_empty
-    leaves them, and with them the index rows that have no cell. A combination without rows is a column of nulls.
+    leaves them, and with them the index rows that have no cell. The aggregate must pass over nulls; a combination without
+    rows has what it gives without any, such as null for a sum and 0 for a count, however many combinations there are.
     """
     keys = [(g, list(codes)) for g, codes in keys]
     combinations = prod(len(codes) for _, codes in keys)
@@ -49,8 +50,10 @@ def pivot(df: DataFrame, index: list[str], keys: list[tuple[str, Iterable[str]]]
         df = reduce(lambda d, k: d.where(col(k[0]).isin(k[1])), keys, df)
     if combinations > ONE_PASS:  # each combination first has its row, and only those are spread over the columns
         named = df.select(*map(col, index), col(value), *(F.when(col(g).isin(codes), col(g)).alias(g) for g, codes in keys))
+        kind = df.schema[value].dataType
         df = named.groupBy(*map(col, index), *(col(g) for g, _ in keys)).agg(aggregate(col(value)).alias(value))
-        aggregate = F.max
+        without = aggregate(F.when(F.lit(False), F.lit(None).cast(kind)))
+        aggregate = lambda c: F.coalesce(F.max(c), without)
     cells = []
     for combination in product(*(codes for _, codes in keys)):
         hit = reduce(lambda a, b: a & b, (col(g) == c for (g, _), c in zip(keys, combination, strict=True)), F.lit(True))

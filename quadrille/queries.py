@@ -22,6 +22,7 @@ from quadrille.plans.compiler import CubeContext, code_filter, compile, long_for
 from quadrille.plans.expressions import Value
 from quadrille.plans.patterns import Graph, Solutions, iri, literal, text_of
 from quadrille.retrieval import ranking
+from quadrille.retrieval.lateindex import LateIndex
 from quadrille.sources import tables as sources
 from quadrille.streaming.windows import windowed_totals
 
@@ -109,6 +110,15 @@ def pivot_mean(spark, d):
     return rounded(reshape.pivot(context(spark, d).cube("L"), ["l_returnflag"], [("l_linestatus", "OF")], F.avg, "l_tax"), 4)
 
 
+_YEARS = [f"{y}JJ00" for y in range(1992, 1999)]
+
+
+@query("pivot_count", "SELECT o_orderstatus, " + ", ".join(f"count(o_totalprice) FILTER (o_orderpriority = '{p}' AND year(o_orderdate) = {y[:4]}) AS \"{p}_{y}\"" for p in ("1-URGENT", "5-LOW", "nowhere") for y in _YEARS) + " FROM orders GROUP BY o_orderstatus")
+def pivot_count(spark, d):
+    """Twenty-one combinations, some without rows."""
+    return reshape.pivot(context(spark, d).cube("O"), ["o_orderstatus"], [("o_orderpriority", ["1-URGENT", "5-LOW", "nowhere"]), ("period", _YEARS)], F.count, "o_totalprice", keep_empty=True)
+
+
 @query("transpose_answer", f"SELECT 'n' AS \"column\", CAST(count(*) FILTER (l_returnflag = 'A') AS DOUBLE) AS A, CAST(count(*) FILTER (l_returnflag = 'N') AS DOUBLE) AS N, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS R FROM {_L} UNION ALL SELECT 'q', round(sum(l_quantity) FILTER (l_returnflag = 'A'), 2), round(sum(l_quantity) FILTER (l_returnflag = 'N'), 2), round(sum(l_quantity) FILTER (l_returnflag = 'R'), 2) FROM {_L}")
 def transpose_answer(spark, d):
     return rounded(reshape.transpose(table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q")), "l_returnflag"))
@@ -887,6 +897,29 @@ def maxsim_topk(spark, d):
     return ranking.max_sim(docs, asked, "doc", "query", 5).withColumn("score", F.round("score", 4))
 
 
+def _late(spark, d, bits):
+    tokens = table(spark, d, "embeddings").select(F.expr("vec_id div 5").alias("doc"), F.col("embedding").alias("e"))
+    docs = tokens.groupBy("doc").agg(F.collect_list("e").alias("doc_tokens"))
+    asked = docs.where("doc % 50 = 0").select(F.col("doc").alias("query"), F.col("doc_tokens").alias("query_tokens"))
+    return LateIndex.build(docs, "doc", "doc_tokens", scratch(spark, "late"), bits=bits), docs, asked
+
+
+@query("late_index_topk", SQL["maxsim_topk"])
+def late_index_topk(spark, d):
+    """The first five from an index of a byte a component: whole vectors are read of those only that can be among them."""
+    index, docs, asked = _late(spark, d, 8)
+    return index.bounded(asked, "query", "query_tokens", docs, 5).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
+@query("late_index_recall", "SELECT DISTINCT vec_id // 5 AS query, true AS reached FROM embeddings WHERE (vec_id // 5) % 50 = 0")
+def late_index_recall(spark, d):
+    """Whether each query finds 0.9 of its exact first ten by codes of four bits."""
+    index, docs, asked = _late(spark, d, 4)
+    near = index.bounded(asked, "query", "query_tokens", docs, 10, most=160).select("query", "doc", F.lit(1).alias("found"))
+    exact = ranking.max_sim(docs, asked, "doc", "query", 10)
+    return exact.join(near, ["query", "doc"], "left").groupBy("query").agg((F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+
+
 # Training sets
 @query("cosine_negatives", f"WITH s AS (SELECT b.vec_id AS query, a.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.label <> b.label), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS hi, row_number() OVER (PARTITION BY query ORDER BY score, vec_id) AS lo FROM s) SELECT query, vec_id, kind FROM (SELECT query, vec_id, 'near' AS kind FROM r WHERE hi <= 3 UNION ALL SELECT query, vec_id, 'far' FROM r WHERE lo <= 2)")
 def cosine_negatives(spark, d):

@@ -6,15 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.window import Window
 
 from quadrille.functions.text import GENERIC_WORDS, listed_ids, overlap
 from quadrille.functions.text import tokens as text_tokens
 
 RRF_K = 60
+#: Rows of a block that meets a block of queries in a task.
+ROW_BLOCK = 50_000
 
 
 def ranked(scores: DataFrame, by: list[str], item: str, score: str = "score", k: int | None = None, out: str = "rank") -> DataFrame:
@@ -135,8 +138,15 @@ def parse_and_pad(pool: DataFrame, raw: DataFrame, query: str, item: str, answer
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(query, item, "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
 
 
-def _matrix(rows: list) -> np.ndarray:
-    """Arrays of numbers as rows of doubles; one that is null, or holds nulls, or has another length than most is NaN."""
+def _matrix(rows: list | pa.Array) -> np.ndarray:
+    """Arrays of numbers as rows of doubles; one that is null, or holds nulls, or has another length than most is NaN. An Arrow
+    column of whole vectors of one length is taken as it is."""
+    if isinstance(rows, pa.Array):
+        lengths = pc.list_value_length(rows)
+        flat = rows.flatten()
+        if len(rows) and not rows.null_count and not flat.null_count and (width := lengths[0].as_py()) * len(rows) == len(flat) and pc.all(pc.equal(lengths, width)).as_py():
+            return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+        rows = rows.to_pylist()
     width = max((len(r) for r in rows if r is not None), default=0)
     blank = [np.nan] * width
     return np.array([[np.nan if x is None else x for x in r] if r is not None and len(r) == width else blank for r in rows], np.float64).reshape(len(rows), width)
@@ -148,18 +158,6 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
         return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
-    """The rows of a stated query set, `size` at a time."""
-    rows: list = []
-    for row in queries.toLocalIterator(prefetchPartitions=False):
-        rows.append(row)
-        if len(rows) == size:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
 def _best(scores: np.ndarray, k: int, largest: bool = True) -> np.ndarray:
     """Positions of each row's k best, and of all that tie with the last of them; NaN counts as worst."""
     kept = np.where(np.isnan(scores), -np.inf, scores if largest else -scores)
@@ -168,25 +166,51 @@ def _best(scores: np.ndarray, k: int, largest: bool = True) -> np.ndarray:
     return kept >= np.partition(kept, kept.shape[1] - k, axis=1)[:, kept.shape[1] - k][:, None]
 
 
-def _against_blocks(rows: DataFrame, queries: DataFrame, columns: list[str], score: Callable, item: str, query: str, block: int) -> DataFrame | None:
-    """(query, item, score): each block of queries is broadcast and meets all rows in one pass; `score` gets the columns of a
-    batch and the block, and gives the positions of query and row with their scores that may be among the best."""
-    spark, found = rows.sparkSession, None
+def met(rows: DataFrame, queries: DataFrame, run: Callable[[list, pa.RecordBatch], pa.RecordBatch], schema: str, block: int, batch: int = 2048) -> DataFrame:
+    """run(query rows, batch of rows) of a stated query set against all rows. Queries that fit a block are broadcast, and rows
+    are read where they are. More are dealt to blocks of about that size, as rows are to larger ones, and each two blocks
+    meet in a task: then a row is copied once for each block of queries, and no query goes through the driver."""
+    spark = rows.sparkSession
+    first = queries.limit(block + 1).collect()
+    if len(first) <= block:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in first])
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for i in range(0, whole.num_rows, batch):
+                    yield run(shared.value, whole.slice(i, batch))
+
+        return rows.mapInArrow(near, schema)
+    of_rows = max(1, -(-rows.count() // ROW_BLOCK))
+    of_queries = -(-queries.count() // block)
+    part = lambda df, n: F.pmod(F.xxhash64(*(c for c in df.columns if not dict(df.dtypes)[c].startswith("map"))), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("*", part(queries, of_queries).alias("_q")).select("*", every(of_rows).alias("_r"))
+    given = rows.select(*(F.col(c).alias(c) for c in rows.columns), part(rows, of_rows).alias("_r")).select("*", every(of_queries).alias("_q"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [c for c in right.column_names if c not in ("_q", "_r")]
+        if not left.num_rows or not right.num_rows:
+            return empty
+        block_rows = list(zip(*(left.column(c).to_pylist() for c in left.column_names if c not in ("_q", "_r")), strict=True))
+        return pa.Table.from_batches([run(block_rows, b) for b in right.select(names).combine_chunks().to_batches(max_chunksize=batch)])
+
+    empty = to_arrow_schema(spark.createDataFrame([], schema).schema).empty_table()
+    return asked.groupBy("_q", "_r").cogroup(given.groupBy("_q", "_r")).applyInArrow(meet, schema)
+
+
+def _against_blocks(rows: DataFrame, queries: DataFrame, columns: list[str], score: Callable, item: str, query: str, block: int) -> DataFrame:
+    """(query, item, score): `score` gets the columns of a batch, the queries of a block and the batch's items, and gives the
+    positions of query and row with their scores that may be among the best."""
     kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *queries.schema.fields]}
     of_query = to_arrow_type(queries.schema[query].dataType)
-    for part in _blocks(queries, block):
-        shared = spark.sparkContext.broadcast(part)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids = [r[0] for r in shared.value]
-            for batch in batches:
-                items = batch.column(0)
-                q, r, s = score([batch.column(c).to_pylist() for c in columns], shared.value, items.to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], of_query), items.take(pa.array(r)), pa.array(s, pa.float64(), from_pandas=True)], names=[query, item, "score"])
+    def run(part: list, batch: pa.RecordBatch) -> pa.RecordBatch:
+        items = batch.column(0)
+        q, r, s = score([batch.column(i + 1) for i in range(len(columns))], part, items.to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array([part[i][0] for i in q.tolist()], of_query), items.take(pa.array(r)), pa.array(s, pa.float64(), from_pandas=True)], names=[query, item, "score"])
 
-        one = rows.select(item, *columns).mapInArrow(run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, score double")
-        found = one if found is None else found.unionByName(one)
-    return found
+    return met(rows.select(item, *columns), queries, run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, score double", block)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, item: str, query: str, k: int = 10, block: int = 4096) -> DataFrame:
@@ -201,12 +225,10 @@ def dense(vectors: DataFrame, queries: DataFrame, item: str, query: str, k: int
         return q, r, scores[q, r]
 
     scores = _against_blocks(vectors.select(item, "vector"), queries.select(query, "query_vector"), ["vector"], score, item, query, block)
-    if scores is None:
-        scores = queries.select(query).crossJoin(vectors.select(item).limit(0)).withColumn("score", F.lit(None).cast("double"))  # no queries, no rows
     return ranked(scores, [query], item, k=k)
 
 
-def _cosines(queries: list, rows: list) -> np.ndarray:
+def _cosines(queries: list, rows: pa.Array) -> np.ndarray:
     """Of every query with every row; NaN where one has no direction or the lengths differ."""
     q, r = _unit(_matrix(queries)), _unit(_matrix(rows))
     return q @ r.T if q.shape[1] == r.shape[1] else np.full((len(q), len(r)), np.nan)
@@ -223,14 +245,12 @@ def max_sim(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int |
         of = np.repeat(np.arange(len(part)), [len(q) for q in tokens])
         scores = np.zeros((len(part), len(items)))
         for j, d in enumerate(columns[0]):
-            if d and len(asked):
-                scores[:, j] = np.bincount(of, (asked @ _matrix(d).T).max(axis=1), len(part))
+            if d.is_valid and len(d.values) and len(asked):
+                scores[:, j] = np.bincount(of, (asked @ _matrix(d.values).T).max(axis=1), len(part))
         q, r = np.nonzero(_best(scores, k) if k else np.ones(scores.shape, np.bool_))
         return q, r, scores[q, r]
 
     scores = _against_blocks(docs.select(doc, "doc_tokens"), queries.select(query, "query_tokens"), ["doc_tokens"], score, doc, query, block)
-    if scores is None:
-        scores = queries.select(query).crossJoin(docs.select(doc).limit(0)).withColumn("score", F.lit(0.0))  # no queries, no rows
     return ranked(scores, [query], doc, k=k) if k else scores
 
 

