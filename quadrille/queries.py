@@ -637,6 +637,14 @@ def fuzzy_best_code(spark, d):
     return probing.ranked_codes(asked, codes, F.col("q"), F.col("label"), k=3, threshold=30.0).select("question_id", "dimension", "code", F.round("score", 4).alias("score"), "rank")
 
 
+@query("similar_names")
+def similar_names(spark, d):
+    """Clients' names against all vendors', tested against comparing all pairs: SQL has no partial ratio."""
+    clients = table(spark, d, "clients").select(F.col("client_id").alias("question_id"), F.col("name").alias("q")).distinct()
+    vendors = table(spark, d, "vendors").select(F.lit("vendor").alias("dimension"), F.col("vendor_id").cast("string").alias("code"), F.col("name").alias("label"))
+    return probing.ranked_codes(clients, vendors, F.col("q"), F.col("label"), k=3).select("question_id", "code", F.round("score", 4).alias("score"), "rank")
+
+
 @query("processed_text", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM conversations")
 def processed_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.processed(F.col("text")).alias("plain"))
