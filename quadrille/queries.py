@@ -17,12 +17,14 @@ from quadrille.context import scratch
 from quadrille.functions import stemming, text
 from quadrille.metrics import answers, evaluation, selection
 from quadrille.operators import probing, reshape
+from quadrille.operators.quantiles import quantiles
 from quadrille.plans import sqltext
 from quadrille.plans.compiler import CubeContext, code_filter, compile, long_form
 from quadrille.plans.expressions import Value
 from quadrille.plans.patterns import Graph, Solutions, iri, literal, text_of
 from quadrille.retrieval import ranking
 from quadrille.retrieval.lateindex import LateIndex
+from quadrille.retrieval.textindex import TextIndex
 from quadrille.sources import tables as sources
 from quadrille.streaming.windows import windowed_totals
 
@@ -845,6 +847,27 @@ def bm25_by_kind(spark, d):
     return ranking.bm25_by_kind(docs, items, "lang", "doc_id", "item_id", text.tokens(F.col("text"), _WORDS), text.tokens(F.col("q"), _WORDS), 5).withColumn("score", F.round("score", 6))
 
 
+def _text_index(spark, d, kind=None):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return TextIndex.build(docs, "doc_id", text.tokens(F.col("text"), _WORDS), scratch(spark, "text_index"), kind)
+
+
+@query("bm25_index_topk", SQL["bm25_topk"])
+def bm25_index_topk(spark, d):
+    """From a kept index: texts are tokenised once, when it is built, and blocks that can't matter aren't read."""
+    found = _text_index(spark, d).search(table(spark, d, "benchmark"), "item_id", text.tokens(F.col("text"), _WORDS), 10)
+    return found.select("item_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_index_by_kind", SQL["bm25_by_kind"])
+def bm25_index_by_kind(spark, d):
+    """A half of the documents is indexed at first, and the other comes as a delta."""
+    docs, words = table(spark, d, "documents").select("doc_id", "text", "lang"), text.tokens(F.col("text"), _WORDS)
+    index = TextIndex.build(docs.where("doc_id % 2 = 0"), "doc_id", words, scratch(spark, "text_index"), F.col("lang")).add(docs.where("doc_id % 2 = 1"), "doc_id", words, F.col("lang"))
+    found = index.search(table(spark, d, "benchmark"), "item_id", words, 5, constant=False)
+    return found.select(F.col("kind").alias("lang"), "item_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 _RANKS = "(SELECT c_nationkey AS q, c_custkey AS item, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal {}, c_custkey) AS rank FROM customer)"
 
 
@@ -947,9 +970,8 @@ def hard_negatives(spark, d):
 def hard_negatives_padded(spark, d):
     """Three ranked negatives, and two at random from documents that aren't among them."""
     top = _bm25(spark, d, 3, constant=False)
-    items, docs = table(spark, d, "benchmark").select("item_id"), table(spark, d, "documents").select("doc_id")
     none = top.select("item_id", "doc_id").limit(0)
-    found = training.hard_negatives(top, none, "item_id", "doc_id", 5, items.crossJoin(docs))  # a stated set of questions against all documents
+    found = training.hard_negatives(top, none, "item_id", "doc_id", 5, table(spark, d, "documents").select("doc_id"))
     return found.join(top.select("item_id", "doc_id", F.lit(1).alias("t")), ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("t").alias("ranked"))
 
 
@@ -1146,7 +1168,17 @@ def value_counts_pct(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"))
+    events = table(spark, d, "events")
+    means = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return means.join(quantiles(events, ["event_type"], F.col("value"), [0.5], ["median"]), "event_type").select("event_type", "mean", F.round("median", 6).alias("median"))
+
+
+@query("client_value_quantiles", "SELECT client_id, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90 FROM clicks WHERE client_id IS NOT NULL GROUP BY client_id")
+def client_value_quantiles(spark, d):
+    """Many groups of uneven sizes, of which some have no values."""
+    clicks = table(spark, d, "clicks").where("client_id IS NOT NULL")
+    found = quantiles(clicks, ["client_id"], F.col("value"), [0.1, 0.9], ["p10", "p90"])
+    return found.select("client_id", F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"))
 
 
 @query("event_windows", "SELECT epoch(date_trunc('day', ts)) AS window_start, event_type, 'value' AS \"Measure\", count(value) AS n, round(sum(value), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY ALL")

@@ -34,40 +34,45 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, doc_tokens: Column, query_tokens: Column, k: int | None = 10, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, constant: bool = True) -> DataFrame:
-    """(query, doc, score[, rank]): BM25+ with idf ln((N + 1) / df). doc may not repeat.
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The table to be broadcast if it has no more rows than that, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, doc_tokens: Column, query_tokens: Column, k: int | None = 10, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, constant: bool = True, kind: str | None = None) -> DataFrame:
+    """([kind, ]query, doc, score[, rank]): BM25+ with idf ln((N + 1) / df). doc may not repeat. With `kind`, each kind of document
+    has numbers and lengths of its own, and ranks too; documents of a null kind are left out.
 
     Only documents that share a term with the query are scored; the delta of absent terms, the same for every document
     of a query, is added afterwards (constant=False leaves it out). One pass over the documents: tokens are joined with
     the queries' terms as they are, so others are never shuffled, and an empty term that every document has carries
-    lengths and number; what follows reads the one exchange of matching terms. A null text is an empty one.
+    lengths and number; what follows reads the one exchange of matching terms. Of that join and the next, the side of the
+    stated queries is broadcast while it is small, never the documents'. A null text is an empty one.
     """
+    by = [kind] if kind else []
     asked = queries.select(F.col(query), F.explode(F.array_distinct(query_tokens)).alias("term"))
     terms = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    sized = spread(docs).select(F.col(doc), F.coalesce(doc_tokens, F.array().cast("array<string>")).alias("_t")).select(doc, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
-    index = sized.join(terms, "term", "left_semi").groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
-    own = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_length"))
+    rows = docs.where(F.col(kind).isNotNull()) if kind else docs
+    sized = spread(rows).select(*by, F.col(doc), F.coalesce(doc_tokens, F.array().cast("array<string>")).alias("_t")).select(*by, doc, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    index = sized.join(small(terms), "term", "left_semi").groupBy(*by, doc, "term", "dl").agg(F.count("*").alias("tf"))
+    own = index.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("_length"))
     of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
-    sizes = own.agg(of_all("df").alias("n"), (of_all("_length") / of_all("df")).alias("avgdl"))
-    stats = own.crossJoin(F.broadcast(sizes)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")  # sizes is one row
+    sizes = own.groupBy(*by).agg(of_all("df").alias("n"), (of_all("_length") / of_all("df")).alias("avgdl"))
+    stats = own.join(sizes, by) if kind else own.crossJoin(F.broadcast(sizes))  # without kinds, sizes is one row
+    stats = stats.select(*by, "term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")
     weight = F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
     worth = asked.join(stats, "term")
-    scores = index.join(worth, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("idf") * weight), 9).alias("score"))  # rounded, so that the order of addends breaks no tie
+    known = small(asked) is not asked  # as many rows, times the kinds, which are a few
+    scores = index.join(F.broadcast(worth) if known else worth.hint("merge"), [*by, "term"]).groupBy(*by, query, doc).agg(F.round(F.sum(F.col("idf") * weight), 9).alias("score"))  # rounded, so that the order of addends breaks no tie
     if constant and delta:
-        base = worth.groupBy(query).agg((F.sum("idf") * delta).alias("_base"))
-        scores = scores.join(base, query).withColumn("score", F.col("score") + F.col("_base")).drop("_base")
-    return ranked(scores, [query], doc, k=k) if k else scores
+        base = worth.groupBy(*by, query).agg((F.sum("idf") * delta).alias("_base"))
+        scores = scores.join(base, [*by, query]).withColumn("score", F.col("score") + F.col("_base")).drop("_base")
+    return ranked(scores, [*by, query], doc, k=k) if k else scores
 
 
 def bm25_by_kind(docs: DataFrame, queries: DataFrame, kind: str, doc: str, query: str, doc_tokens: Column, query_tokens: Column, k: int | None = None) -> DataFrame:
-    """(kind, query, doc, score[, rank]): an index for each kind of document (tables, dimensions, measures), with numbers
-    and lengths of its own; kinds are a few."""
-    kinds = [r[0] for r in docs.select(kind).where(F.col(kind).isNotNull()).distinct().orderBy(kind).collect()]
-    found = None
-    for name in kinds:
-        one = bm25(docs.where(F.col(kind) == name), queries, doc, query, doc_tokens, query_tokens, k, constant=False).withColumn(kind, F.lit(name))
-        found = one if found is None else found.unionByName(one)
-    return found
+    """(kind, query, doc, score[, rank]): an index for each kind of document (tables, dimensions, measures), in one plan."""
+    return bm25(docs, queries, doc, query, doc_tokens, query_tokens, k, constant=False, kind=kind)
 
 
 def combine_nodes(scores: DataFrame, query: str, item: str = "item", alpha: float = 0.8, least: float = 0.01) -> DataFrame:

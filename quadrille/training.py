@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.context import kept
 from quadrille.functions.text import near_equal
+from quadrille.operators.quantiles import quantiles
 from quadrille.retrieval import ranking
 
 
@@ -56,14 +58,59 @@ def cosine_negatives(vectors: DataFrame, queries: DataFrame, query: str, item: s
 
 
 def hard_negatives(scores: DataFrame, positives_: DataFrame, query: str, item: str, n: int, random_pool: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """(query, item, rank): the first n items by score that are no positives; a query with fewer is padded from random_pool
-    (query, item). Each partition keeps n items a query before they are shuffled."""
+    """(query, item, rank): the first n items by score that are no positives; a query with fewer is padded at random from the
+    items of random_pool (item), each as likely as the others. A query without a scored item is in no list, unless it is in
+    positives_. Each partition keeps n items a query before they are shuffled."""
     found = ranking.ranked(scores.join(positives_, [query, item], "left_anti"), [query], item, k=n).select(query, item, "rank")
-    if random_pool is not None:
-        rest = random_pool.join(positives_, [query, item], "left_anti").join(found, [query, item], "left_anti")
-        pad = ranking.ranked(rest.withColumn("score", F.xxhash64(query, item, F.lit(seed))), [query], item, k=n).select(query, item, (n + F.col("rank")).alias("rank"))
-        found = ranking.ranked(found.unionByName(pad).withColumn("score", -F.col("rank")).drop("rank"), [query], item, k=n).select(query, item, "rank")
-    return found
+    if random_pool is None:
+        return found
+    taken = found.select(query, item).union(positives_.select(query, item)).distinct()
+    asked = taken.select(query).distinct()
+    pad = drawn(asked, random_pool, taken, query, item, n, seed).select(query, item, (n + F.col("rank")).alias("rank"))
+    return ranking.ranked(found.unionByName(pad).withColumn("score", -F.col("rank")).drop("rank"), [query], item, k=n).select(query, item, "rank")
+
+
+def drawn(queries: DataFrame, pool: DataFrame, taken: DataFrame, query: str, item: str, n: int, seed: int = 42) -> DataFrame:
+    """(query, item, rank): n items of the pool for each query, at random and without repeats, none that the query has in
+    `taken`; all that are left, if they are fewer. No query meets the whole pool, but one that takes nearly all of it.
+
+    Items are numbered without gaps by a hash; a query draws numbers by hashes of its own in rounds of twice what it lacks,
+    and draws that are taken or repeat are rejected, which leaves all others as likely. Queries for which less than four
+    times what they want is free get all of it, ordered by a hash.
+    """
+    items = kept(_numbered(pool.select(item).where(F.col(item).isNotNull()).distinct(), item), "pool")
+    size = items.count()
+    held = taken.join(items.select(item), item, "left_semi").select(query, item).distinct()
+    of = queries.select(query).distinct().join(held.groupBy(query).agg(F.count("*").alias("_h")), query, "left").select(query, (F.lit(size) - F.coalesce("_h", F.lit(0))).alias("_free"))
+    few = of.where(F.col("_free") < 4 * n)
+    number = lambda x: F.lit(x).cast("long")
+    whole = few.select(query, F.explode(F.sequence(number(0), number(max(0, size - 1)))).alias("_number"))
+    rest = whole.join(items, "_number").select(query, item).join(held, [query, item], "left_anti")
+    out = ranking.ranked(rest.withColumn("score", F.xxhash64(query, item, F.lit(seed))), [query], item, k=n).select(query, item, "rank")
+    open_ = kept(of.where(F.col("_free") >= 4 * n).select(query), "open")
+    found, at = None, 0
+    while size and not open_.isEmpty():
+        draws = open_.select(query, F.explode(F.sequence(F.lit(at), F.lit(at + 2 * n - 1))).alias("_draw"))
+        draws = draws.withColumn("_number", F.pmod(F.xxhash64(query, "_draw", F.lit(seed)), F.lit(size)))
+        new = draws.join(items, "_number").select(query, item, "_draw").join(held, [query, item], "left_anti")
+        every = new if found is None else found.unionByName(new)
+        found = kept(every.groupBy(query, item).agg(F.min("_draw").alias("_draw")), "draws")
+        enough = found.groupBy(query).agg(F.count("*").alias("_c")).where(F.col("_c") >= n)
+        open_, at = kept(open_.join(enough, query, "left_anti"), "open"), at + 2 * n
+    if found is None:
+        return out
+    first = ranking.ranked(found.withColumn("score", -F.col("_draw")), [query], item, k=n).select(query, item, "rank")
+    return out.unionByName(first)
+
+
+def _numbered(items: DataFrame, item: str, buckets: int = 1024) -> DataFrame:
+    """Distinct items with _number, from 0 without gaps, in order of a hash: buckets are numbered apart, and the sizes of those
+    before give each its first number."""
+    placed = kept(items.withColumn("_hash", F.xxhash64(item)).withColumn("_bucket", F.shiftright("_hash", 54)), "placed")
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # of at most 1,024 rows
+    bases = placed.groupBy("_bucket").agg(F.count("*").alias("_c")).select("_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", item)) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(bases), "_bucket").select(item, (F.col("_base") + F.col("_own")).alias("_number"))
 
 
 def missing(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -72,8 +119,9 @@ def missing(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def lengths(docs: DataFrame, length: Column) -> DataFrame:
     """One row: percentiles 50, 95 and 99, the longest, and the next power of two of the 99th."""
-    p = docs.select(length.cast("long").alias("n")).agg(F.percentile("n", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max("n").alias("longest"))
-    return p.select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "longest", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("p")[2]))).cast("long").alias("maxlen"))
+    p = quantiles(docs, [], length, (0.5, 0.95, 0.99), ("p50", "p95", "p99"))
+    longest = docs.agg(F.max(length.cast("long")).alias("longest"))
+    return p.crossJoin(longest).select("p50", "p95", "p99", "longest", F.pow(F.lit(2.0), F.ceil(F.log2("p99"))).cast("long").alias("maxlen"))  # one row each
 
 
 def value_counts(df: DataFrame, column: str, places: int = 2) -> DataFrame:
