@@ -40,7 +40,8 @@ def pivot(df: DataFrame, index: list[str], keys: list[tuple[str, Iterable[str]]]
 
     Rows outside the code lists are filtered out before the shuffle, so that the filter reaches the scan; keep_empty
     leaves them, and with them the index rows that have no cell. The aggregate must pass over nulls; a combination without
-    rows has what it gives without any, such as null for a sum and 0 for a count, however many combinations there are.
+    rows has what it gives without any, such as null for a sum and 0 for a count, however many combinations there are. Each column
+    carries its dimensions and codes in its metadata, through joins and renames; levels() reads them.
     """
     keys = [(g, list(codes)) for g, codes in keys]
     combinations = prod(len(codes) for _, codes in keys)
@@ -57,7 +58,7 @@ def pivot(df: DataFrame, index: list[str], keys: list[tuple[str, Iterable[str]]]
     cells = []
     for combination in product(*(codes for _, codes in keys)):
         hit = reduce(lambda a, b: a & b, (col(g) == c for (g, _), c in zip(keys, combination, strict=True)), F.lit(True))
-        cells.append(aggregate(F.when(hit, col(value)) if keys else col(value)).alias("_".join(combination) or value))
+        cells.append(aggregate(F.when(hit, col(value)) if keys else col(value)).alias("_".join(combination) or value, **({"metadata": {"dimensions": [g for g, _ in keys], "codes": list(combination)}} if keys else {})))
     return df.groupBy(*map(col, index)).agg(*cells)
 
 
@@ -94,7 +95,9 @@ def presented(df: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     `Dimension_Measure` as `Measure`, columns named by their labels, in order of their names."""
     df = without_empty_columns(df)
     df = df.select(*map(col, without_repeated_columns(df.columns)))
-    names = {c: "Measure" if c == "Dimension_Measure" else (labels or {}).get(c, c) for c in df.columns}
+    labels, parts = labels or {}, levels(df)
+    name = lambda c: labels[c] if c in labels else "_".join(labels.get(code, code) for _, code in parts[c]) if parts[c] else c
+    names = {c: "Measure" if c == "Dimension_Measure" else name(c) for c in df.columns}
     return sorted_columns(df.select(*(col(c).alias(n) for c, n in names.items())))
 
 
@@ -116,6 +119,11 @@ def code_levels(columns: list[str]) -> list[tuple[str, ...]]:
     return [tuple(re.split(r"_(?=[^_]{3,})", c)) for c in columns]
 
 
+def levels(df: DataFrame) -> dict[str, list[tuple[str, str]]]:
+    """(dimension, code) of each column that a pivot made, whatever its codes look like and its name is now; none for others."""
+    return {f.name: list(zip(f.metadata.get("dimensions", []), f.metadata.get("codes", []), strict=True)) for f in df.schema.fields}
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """The first `most` rows as a table in Markdown; for answers."""
     shown = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -174,10 +175,14 @@ def unit_attach(spark, d):
     return units.with_units(long.union(spark.createDataFrame([("l_quantity;l_extendedprice", 1), ("unknown", 1)], "Measure string, n long")), c.units)
 
 
-@query("unit_refresh", "SELECT s AS node_id, u AS unit, m AS multiplier FROM (VALUES ('a', 'COUNT', CAST(1000 AS DOUBLE)), ('b', NULL, NULL), ('c', 'KEEP', CAST(7 AS DOUBLE))) t(s, u, m)")
+@query("unit_refresh", "SELECT p_partkey AS node_id, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'COUNT' WHEN p_brand LIKE 'Brand#2%' THEN NULL ELSE 'OLD' END AS unit, CAST(CASE WHEN p_brand LIKE 'Brand#1%' THEN 1000 WHEN p_brand LIKE 'Brand#2%' THEN NULL ELSE p_size END AS DOUBLE) AS multiplier FROM part")
 def unit_refresh(spark, d):
-    known = spark.createDataFrame([("a", "x 1 000", "OLD", 1.0), ("b", "see text", "OLD", 2.0), ("c", "other", "KEEP", 7.0)], "node_id string, unit_string string, unit string, multiplier double")
-    return catalog.refreshed_units(known, spark.createDataFrame([("x 1 000", "COUNT", 1000.0), ("see text", None, None)], "unit_string string, unit string, multiplier double")).select("node_id", "unit", "multiplier")
+    """Parts' brands as unit strings, of which some have a new unit, some lose theirs, and some aren't known."""
+    part = table(spark, d, "part")
+    known = part.select(F.col("p_partkey").alias("node_id"), F.col("p_brand").alias("unit_string"), F.lit("OLD").alias("unit"), F.col("p_size").cast("double").alias("multiplier"))
+    new = F.col("p_brand").startswith("Brand#1")
+    units_ = part.where(new | F.col("p_brand").startswith("Brand#2")).select(F.col("p_brand").alias("unit_string"), F.when(new, "COUNT").alias("unit"), F.when(new, 1000.0).alias("multiplier")).distinct()
+    return catalog.refreshed_units(known, units_).select("node_id", "unit", "multiplier")
 
 
 @query("label_translate", "SELECT s_name, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON s_nationkey = n_nationkey")
@@ -595,10 +600,12 @@ def period_code_flag(spark, d):
     return context(spark, d).cube("L").select("period", "l_returnflag").distinct().select("period", text.is_period_code(F.col("period")).alias("is_period"), text.is_period_code(F.col("l_returnflag")).alias("other"))
 
 
-@query("period_extract", "SELECT q, codes FROM (VALUES (1, '2023MM04'), (2, '1997KW01,1996KW03'), (3, '2016JJ00,2017JJ00,2018JJ00,2019JJ00,2020JJ00'), (4, '2017JJ00,2018JJ00'), (5, ''), (6, '2021MM12,2019JJ00')) v(q, codes)")
+@query("period_extract", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%YMM%m') || ',1990JJ00' WHEN 1 THEN year(o_orderdate) || 'KW0' || quarter(o_orderdate) ELSE (year(o_orderdate) - 1) || 'JJ00,' || year(o_orderdate) || 'JJ00' END AS codes FROM orders")
 def period_extract(spark, d):
-    asked = [(1, "Sales in April 2023?"), (2, "Q3 1996 and 1997 Q1"), (3, "from 2016 to 2019, and 2020"), (4, "school year 2017/2018"), (5, "no year at all"), (6, "December 2021 against 2019; 2021")]
-    return spark.createDataFrame(asked, "q int, t string").select("q", F.array_join(text.period_codes(F.col("t")), ",").alias("codes"))
+    """Questions about the dates of orders: a month and a year, a quarter, a range."""
+    k, date = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    asked = F.when(k == 0, F.concat(F.lit("Sales in "), F.date_format(date, "MMMM yyyy"), F.lit(" against 1990?"))).when(k == 1, F.concat(F.lit("Q"), F.quarter(date), F.lit(" "), F.year(date))).otherwise(F.concat(F.lit("from "), F.year(date) - 1, F.lit(" to "), F.year(date)))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(text.period_codes(asked), ",").alias("codes"))
 
 
 @query("uri_to_code", "SELECT page_id, regexp_replace(url, '^.*[/#]', '') AS code FROM pages")
@@ -687,29 +694,38 @@ def _shown(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-_QUERIES = [
-    "SELECT SUM(a) AS s FROM 't.parquet' WHERE d IN ('u', 'v') AND c > 3 GROUP BY b ORDER BY s LIMIT 1",
-    "SELECT sum(a) AS s from 't.parquet' WHERE c > 4 AND d IN ('u') GROUP BY b",
-    "SELECT 100*a/b FROM t",
-    "(SUM () (JOIN (g) x y))",
-    "SELECT a, ROW_NUMBER() OVER (ORDER BY b) FROM t",
-]
+_TYPES = ["SUM", "SUM", "PROP", "AGGJOIN", "VALUE", "MAX"]
+
+
+def _texts(spark, d):
+    """A query text of one of six shapes for each order, with its status in it."""
+    k, status = F.col("o_orderkey") % 6, F.col("o_orderstatus")
+    shapes = ["SELECT SUM(a) AS s FROM 't.parquet' WHERE d IN ('{}', 'v') AND c > 3 GROUP BY b ORDER BY s LIMIT 1", "SELECT sum(a) AS s from 't.parquet' WHERE c > 4 AND d = '{}' GROUP BY b", "SELECT 100*a/b FROM t WHERE d IN ('{}')", "(SUM () (JOIN ({}) x y))", "SELECT a, ROW_NUMBER() OVER (ORDER BY {}) FROM t", "SELECT a, RANK() OVER (ORDER BY {} DESC) FROM t"]
+    made = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        before, after = shape.split("{}")
+        made = F.when(k == i, F.concat(F.lit(before), status, F.lit(after))).otherwise(made)
+    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus", made.alias("text"))
 
 
-@query("question_types", "SELECT * FROM (VALUES (0, 'SUM'), (1, 'SUM'), (2, 'PROP'), (3, 'AGGJOIN'), (4, 'VALUE')) v(q, type)")
+@query("question_types", "SELECT o_orderkey, [" + ", ".join(f"'{t}'" for t in _TYPES) + "][o_orderkey % 6 + 1] AS type FROM orders")
 def question_types(spark, d):
-    return _shown(spark, [(i, sqltext.question_type(q)) for i, q in enumerate(_QUERIES)], "q int, type string")
+    return _texts(spark, d).select("o_orderkey", sqltext.of_texts(sqltext.question_type, "string")(F.col("text")).alias("type"))
 
 
-@query("filter_columns", "SELECT * FROM (VALUES (0, 'd', 'u,v'), (1, 'd', 'u')) v(q, \"column\", codes)")
+@query("filter_columns", "SELECT o_orderkey, 'd' AS \"column\", CASE WHEN o_orderkey % 6 = 0 THEN o_orderstatus || ',v' ELSE o_orderstatus END AS codes FROM orders WHERE o_orderkey % 6 < 3")
 def filter_columns(spark, d):
-    return _shown(spark, [(i, c, ",".join(codes)) for i, q in enumerate(_QUERIES) for c, codes in sqltext.in_lists(q).items()], "q int, column string, codes string")
+    found = sqltext.of_texts(sqltext.in_lists, "map<string,array<string>>")(F.col("text"))
+    return _texts(spark, d).select("o_orderkey", F.explode(found).alias("column", "codes")).withColumn("codes", F.array_join("codes", ","))
 
 
-@query("text_match", "SELECT * FROM (VALUES ('case', true), ('space', true), ('literal', false)) v(kind, same)")
+@query("text_match", "SELECT o_orderkey, o_orderkey % 3 < 2 AS same FROM orders")
 def text_match(spark, d):
-    pairs = [("case", "select a from t", "SELECT a FROM t"), ("space", "SELECT  a\nFROM t ;", "SELECT a FROM t;"), ("literal", "SELECT 'A' FROM t", "SELECT 'a' FROM t")]
-    return _shown(spark, [(k, sqltext.same_text(a, b)) for k, a, b in pairs], "kind string, same boolean")
+    """Each text with itself in other spacing, in lower case but for its literal, and with another literal."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("SELECT a FROM t WHERE d = '"), "o_orderstatus", F.lit("'")).alias("a"), (F.col("o_orderkey") % 3).alias("k"))
+    other = F.when(F.col("k") == 0, F.concat(F.regexp_replace("a", " ", "  \n"), F.lit(" ;"))).when(F.col("k") == 1, F.regexp_replace(F.regexp_replace("a", "SELECT", "select"), "WHERE", "where")).otherwise(F.concat(F.regexp_replace("a", "'$", ""), F.lit("x'")))
+    pair = F.pandas_udf(lambda a, b: pd.Series([sqltext.same_text(x, y) for x, y in zip(a, b, strict=True)]), "boolean")
+    return rows.select("o_orderkey", pair(F.col("a"), other).alias("same"))
 
 
 _FREE = [
@@ -728,6 +744,14 @@ def free_sql_limit(spark, d):
     return sqltext.run(spark, _FREE[1][1].format(d))
 
 
+@query("free_sql_columns", "SELECT \"Measure\", round(sum(v), 2) AS total FROM (SELECT p_brand AS \"Measure\", CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_brand, p_retailprice FROM part) GROUP BY \"Measure\"")
+def free_sql_columns(spark, d):
+    """An UNPIVOT of all columns but some, by a condition on their names."""
+    sql = f"""SELECT Measure, ROUND(SUM(Value), 2) AS total FROM (SELECT p_brand AS "Measure", CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM '{d}/part.parquet')
+      UNPIVOT (Value FOR name IN (COLUMNS(c -> NOT contains(c, 'Measure')))) GROUP BY Measure"""
+    return sqltext.run(spark, sql)
+
+
 @query("query_outcomes", "SELECT * FROM (VALUES ('rows', ''), ('none', 'no results'), ('syntax', 'syntax'), ('missing', 'missing'), ('column', 'syntax')) v(kind, outcome)")
 def query_outcomes(spark, d):
     asked = {"rows": f"SELECT * FROM '{d}/region.parquet'", "none": f"SELECT * FROM '{d}/region.parquet' WHERE r_regionkey < 0", "syntax": "SELEC 1", "missing": f"SELECT * FROM '{d}/nowhere.parquet'", "column": f"SELECT nothing FROM '{d}/region.parquet'"}
@@ -751,19 +775,19 @@ _MIXED = [("l_quantity", "COUNT", "number", 1.0, None, False), ("l_extendedprice
 expression("max_native_unit", "native", f"(MAX () {_VALUE})", f"SELECT l_returnflag, l_linestatus, 'l_extendedprice' AS label, 'x 1 000' AS \"Unit\", round(max(l_extendedprice) * 1000, 2) AS \"Value\" FROM {_L} GROUP BY l_returnflag, l_linestatus", 2, _MIXED)
 
 
-@query("unit_checks", "SELECT * FROM (VALUES ('same', ''), ('dimensionless', 'dimensionless'), ('different', 'different unit'), ('scaled', ''), ('multiplier', 'multipliers'), ('unknown', '')) v(kind, error)")
-def unit_checks(spark, d):
-    facts = spark.createDataFrame([("a", "EUR", "", 1.0, None, False), ("b", "EUR", "", 1000.0, None, False), ("c", "PERCENT", "", 1.0, None, True), ("e", "TONNE", "", 1.0, None, False), ("f", "KiloEUR", "", 1.0, "EUR", False)], "node_id string, unit string, unit_string string, multiplier double, scaling_of string, is_dimensionless boolean")
-    cases = [("same", "ab", True), ("dimensionless", "ac", True), ("different", "ae", True), ("scaled", "af", True), ("multiplier", "ab", False), ("unknown", "x", True)]
+_KINDS = {"AUTOMOBILE": ("EUR", 1.0, None, False), "BUILDING": ("EUR", 1000.0, None, False), "FURNITURE": ("PERCENT", 1.0, None, True), "HOUSEHOLD": ("TONNE", 1.0, None, False), "MACHINERY": ("KiloEUR", 1.0, "EUR", False)}
+_ASKING = "SELECT DISTINCT c_custkey // 3 AS question, c_mktsegment AS node_id FROM customer"
 
-    def error(measures: str, scaling: bool) -> str:
-        try:
-            units.check(facts, measures, scaling)
-        except units.UnitCompatibilityError as e:
-            return next((w for w in ("dimensionless", "different unit", "multipliers") if w in str(e)), str(e))
-        return ""
 
-    return _shown(spark, [(k, error(m, scaling)) for k, m, scaling in cases], "kind string, error string")
+@query("unit_checks", f"""WITH f(node_id, unit, m, s, bare) AS (VALUES {", ".join(f"('{k}', '{u}', {m}, {f"'{s}'" if s else 'NULL'}, {str(x).lower()})" for k, (u, m, s, x) in _KINDS.items())}),
+  g AS (SELECT question, count(*) AS n, coalesce(bool_or(bare), false) AS bare, count(DISTINCT unit) AS units, count(DISTINCT coalesce(s, unit)) AS scaled, count(DISTINCT m) AS ms FROM ({_ASKING}) LEFT JOIN f USING (node_id) GROUP BY question)
+  SELECT question, CASE WHEN n > 1 AND bare THEN 'dimensionless' WHEN units > 1 AND scaled > 1 THEN 'different unit' ELSE '' END AS scaled, CASE WHEN n > 1 AND bare THEN 'dimensionless' WHEN units > 1 THEN 'different unit' WHEN ms > 1 THEN 'multipliers' ELSE '' END AS unscaled FROM g""")
+def unit_checks(spark, d):
+    """Customers' segments as the measures of questions, with and without scaling."""
+    facts = spark.createDataFrame([(k, *v) for k, v in _KINDS.items()], "node_id string, unit string, multiplier double, scaling_of string, is_dimensionless boolean")
+    asked = table(spark, d, "customer").select(F.expr("c_custkey div 3").alias("question"), F.col("c_mktsegment").alias("node_id"))
+    one = lambda scaling, name: units.errors(asked, facts, "question", scaling).withColumnRenamed("error", name)
+    return one(True, "scaled").join(one(False, "unscaled"), "question")
 
 
 # Retrieval
@@ -821,7 +845,7 @@ def _overlaps(spark, d, pool, alpha, normalise):
     """A document's labels are all its tokens; only the pool's are read again."""
     labelled = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text"), _WORDS).alias("label"))
     asked = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text"), _WORDS).alias("asked"))
-    both = labelled.join(F.broadcast(pool), "doc_id").join(asked, "item_id")  # 20 rows for each stated question
+    both = labelled.join(ranking.small(pool), "doc_id").join(asked, "item_id")  # 20 rows for each stated question
     return ranking.rerank_by_overlap(both, F.col("asked"), F.col("label"), "item_id", "doc_id", alpha, normalise).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 

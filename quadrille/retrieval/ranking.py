@@ -118,10 +118,19 @@ def pool_size(k: int, mode: str, pool: int = 50, search_depth: int = 2500) -> in
     return search_depth if mode in ("nodes", "all") else max(k, pool) if mode == "rerank" else k
 
 
-def escapes(index: DataFrame, questions: DataFrame, pool: DataFrame, query: str, item: str, question_tokens: Column, matches: int = 2) -> DataFrame:
-    """(query, item, n): items outside the pool that share at least two indexed tokens with the question."""
+def escapes(index: DataFrame, questions: DataFrame, pool: DataFrame, query: str, item: str, question_tokens: Column, matches: int = 2, heavy: int = 100_000) -> DataFrame:
+    """(query, item, n): items outside the pool that share at least `matches` indexed tokens with the question.
+
+    A token of more than `heavy` items is dealt to several parts, by a hash of the item, and the questions' side of it is
+    repeated for each; counts are added up map-side. Only tokens that are asked for are counted and dealt.
+    """
     asked = questions.select(F.col(query), F.explode(F.array_distinct(question_tokens)).alias("token"))
-    found = asked.join(index, "token").groupBy(query, item).agg(F.count("*").alias("n")).where(F.col("n") >= matches)
+    wanted = index.join(small(asked.select("token").distinct()), "token", "left_semi")
+    parts = wanted.groupBy("token").agg(F.ceil(F.count("*") / heavy).cast("int").alias("_parts")).where("_parts > 1")  # fewer than tokens asked for
+    n = F.coalesce("_parts", F.lit(1))
+    dealt = wanted.join(parts, "token", "left").withColumn("_part", F.pmod(F.xxhash64(item), n).cast("int")).drop("_parts")
+    asking = asked.join(parts, "token", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    found = asking.join(dealt, ["token", "_part"]).groupBy(query, item).agg(F.count("*").alias("n")).where(F.col("n") >= matches)
     return found.join(pool.select(query, item).distinct(), [query, item], "left_anti")
 
 

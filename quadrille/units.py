@@ -42,6 +42,20 @@ def check(units: DataFrame, measures: Iterable[str], allow_scaling: bool = True,
     return {f["node_id"]: f for f in facts}
 
 
+def errors(selected: DataFrame, units: DataFrame, question: str, allow_scaling: bool = True) -> DataFrame:
+    """(question, error): check() of many questions at once, each with the measures (node_id) it aggregates; empty where they
+    go together, else dimensionless, different unit or multipliers. Measures without known units pass."""
+    facts = selected.select(question, "node_id").distinct().join(units.select("node_id", "unit", "multiplier", "scaling_of", "is_dimensionless").distinct(), "node_id", "left")
+    unit = F.col("unit")
+    per = facts.groupBy(question).agg(
+        F.countDistinct("node_id").alias("_n"), F.max(F.coalesce(F.col("is_dimensionless") & (F.coalesce(unit, F.lit("")) != "COUNT"), F.lit(False))).alias("_bare"),
+        F.countDistinct("unit").alias("_units"), F.countDistinct(F.when(unit.isNotNull(), F.coalesce("scaling_of", "unit"))).alias("_scaled"), F.countDistinct(F.when(unit.isNotNull() | F.col("multiplier").isNotNull() | F.col("is_dimensionless").isNotNull(), F.coalesce("multiplier", F.lit(1.0)))).alias("_multipliers"),
+    )
+    apart = (F.col("_units") > 1) & (F.lit(not allow_scaling) | (F.col("_scaled") > 1))
+    error = F.when((F.col("_n") > 1) & F.col("_bare"), "dimensionless").when(apart, "different unit").when(F.lit(not allow_scaling) & (F.col("_multipliers") > 1), "multipliers").otherwise("")
+    return per.select(question, error.alias("error"))
+
+
 def scaled(long: DataFrame, units: DataFrame, unit_name: str = "number") -> DataFrame:
     """Long observations with Value times its measure's multiplier and Unit `unit_name`, where multipliers differ.
 

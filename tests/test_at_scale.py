@@ -90,3 +90,53 @@ def test_text_index_of_nothing(spark, tmp_path):
     assert empty.search(asked, "q", text.tokens(F.col("t"))).collect() == []
     assert empty.add(docs, "d", words).search(asked.where("false"), "q", text.tokens(F.col("t"))).collect() == []
     assert empty.search(asked, "q", text.tokens(F.col("t")), 1).count() == 25
+
+
+def test_filters_go_to_the_service(spark):
+    """A plain where() is seen in the requests; what the service can't do stays with Spark; long lists are several requests."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import unquote
+
+    from quadrille.sources import service
+
+    asked, rows = [], [{"g": g, "Measure": m, "Value": v} for m in ("m1", "m2") for g, v in (("a", 1.0), ("b", 2.5), ("ab", 9.0), (None, 4.0))]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked.append(unquote(self.path))
+            own = [r for r in rows if f"'{r['Measure']}'" in asked[-1]]
+            body = json.dumps({"value": own}).encode()  # filters but the measure's are ignored, so that Spark must hold them
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v4"
+    df = service.service(spark, base, "T1", ["m1", "m2"], {"g": []})
+    got = df.where("g IN ('a', 'b') AND Value > 2 AND Measure = 'm2' AND length(g) = 1").collect()
+    assert [tuple(r) for r in got] == [("b", "m2", 2.5)]
+    assert len(asked) == 1 and "g in ('a', 'b')" in asked[0] and "Value gt 2" in asked[0] and "'m1'" not in asked[0] and "length" not in asked[0]
+    asked.clear()
+    assert df.where("Measure = 'none'").collect() == [] and asked == []
+    three = service.urls({"base": base, "table": "T", "version": 3, "dims": {"g": ["x"]}, "measures": ["m"]}, ["substringof('y',g)"])
+    assert "substringof('x',g)) and substringof('y',g)" in unquote(three[0])
+    assert len(service.urls({"base": base, "table": "T", "version": 4, "dims": {"g": [str(i) for i in range(250)]}, "measures": ["m", "n"]})) == 6
+    server.shutdown()
+
+
+def test_pivots_keep_their_codes(spark):
+    """Codes with the separator in them, through a join, a rename and another column's aggregate."""
+    from quadrille.operators import reshape
+
+    df = spark.createDataFrame([("i", "a_b", "long_2021", 1.0), ("i", "c", "x", 2.0)], "k string, g string, h string, Value double")
+    wide = reshape.pivot(df, ["k"], [("g", ["a_b", "c"]), ("h", ["long_2021", "x"])], F.sum)
+    both = reshape.full_align([wide, reshape.pivot(df, ["k"], [("g", ["c"])], F.max)], ["k"]).withColumnRenamed("a_b_long_2021", "first")
+    found = reshape.levels(both)
+    assert found["first"] == [("g", "a_b"), ("h", "long_2021")] and found["c_x"] == [("g", "c"), ("h", "x")] and found["c"] == [("g", "c")] and found["k"] == []
+    assert reshape.presented(wide, {"a_b": "A", "long_2021": "2021", "k": "Key"}).columns == ["A_2021", "Key", "c_x"]

@@ -41,3 +41,15 @@ def test_ranked_codes_are_those_of_all_pairs(spark, gate):
     codes = spark.createDataFrame([(f"d{i % 3}", f"c{i}", text(rnd.randint(1, 3))) for i in range(80)] + [("d0", "n", None), ("d1", "e", "")], "dimension string, code string, l string")
     ranked = lambda low: sorted(map(tuple, probing.ranked_codes(q, codes, F.col("q"), F.col("l"), 4, low, gate).where("score >= 80").select("question_id", "dimension", "code", "score", "rank").collect()))
     assert ranked(80.0) == ranked(0.0)
+
+
+def test_escapes_split_heavy_tokens(spark):
+    """The same counts whether tokens are dealt to parts or not."""
+    from quadrille.retrieval import ranking
+
+    rnd = random.Random(4)
+    index = spark.createDataFrame([(t, i) for i in range(300) for t in {"common", *rnd.sample("abcdefgh", 3)}], "token string, item long")
+    asked = spark.createDataFrame([(k, " ".join(["common", *rnd.sample("abcdefgh", 2)])) for k in range(12)] + [(99, None)], "q long, t string")
+    pool = spark.createDataFrame([(k, i) for k in range(12) for i in range(20)], "q long, item long")
+    got = lambda heavy: sorted(map(tuple, ranking.escapes(index, asked, pool, "q", "item", F.split("t", " "), heavy=heavy).select("q", "item", "n").collect()))
+    assert got(7) == got(100_000) and got(7)
