@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import decontaminate, nearcopies, packing, secrets, toxicity
-from quadrille.llm.common import fresh, materialise
+from quadrille.llm.common import discard, fresh, materialise
 
 MASK = "[SECRET]"
 
@@ -63,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Each stage's documents go once the next ones are written; the last ones, which the result reads,
+    when the driver ends."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage_{name}")
+        discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
