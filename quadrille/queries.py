@@ -19,7 +19,7 @@ from quadrille.functions import stemming, text
 from quadrille.metrics import answers, evaluation, selection
 from quadrille.operators import probing, reshape
 from quadrille.operators.quantiles import quantiles
-from quadrille.plans import sqltext
+from quadrille.plans import sqlout, sqltext
 from quadrille.plans.compiler import CubeContext, code_filter, compile, long_form
 from quadrille.plans.expressions import Value
 from quadrille.plans.patterns import Graph, Solutions, iri, literal, text_of
@@ -163,6 +163,19 @@ expression("aggjoin_avg", "native", f"(AVG () (JOIN (period) {_JL} {_JO}))", f"S
 expression("aggjoin_sum_pivoted", "pivoted", "(SUM () (JOIN (l_quantity) (VALUE L (MSR (l_quantity)) (DIM period (1995JJ00))) (VALUE L (MSR (l_quantity)) (DIM period (1996JJ00)))))", f"SELECT 'l_quantity' AS Measure, round(sum(m), 2) AS Value FROM (SELECT period, max(l_quantity) AS m FROM {_L} WHERE period IN ('1995JJ00', '1996JJ00') GROUP BY period)")
 expression("aggjoin_sum_simplified", "simplified", "(SUM () (JOIN (p_size) (VALUE P (MSR (p_size)) (DIM p_name ())) (VALUE P (MSR (p_size)) (DIM p_name ()))))", "SELECT 'p_size' AS Measure, CAST(sum(a.p_size) AS BIGINT) AS Value FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_size = b.p_size")
 
+# The same from SQL texts that expressions give
+def _from_text(name: str, like: str, mode: str, program: str) -> None:
+    tables = {"L": "lineitem", "O": "orders", "P": "part"}
+    query(name, SQL[like])(lambda spark, d: rounded(sqltext.run(spark, sqlout.to_sql(program, lambda t: f"'{d}/{tables[t]}.parquet'", mode))))
+
+
+_from_text("sql_value", "value_pivoted", "pivoted", _VALUE)
+_from_text("sql_sum_dim", "sum_dim_pivoted", "pivoted", f"(SUM (l_linestatus) {_VALUE})")
+_from_text("sql_avg_simplified", "avg_simplified", "simplified", f"(AVG (l_linestatus) {_VALUE})")
+_from_text("sql_prop", "prop_sql", "pivoted", "(PROP (DIM o_orderstatus (F)) (VALUE O (MSR (o_totalprice)) (DIM o_orderstatus ()) (DIM o_orderpriority ())))")
+_from_text("sql_join", "join_multi_selector", "pivoted", f"(JOIN (l_returnflag l_linestatus) {_J2.format('l_quantity')} {_J2.format('l_tax')})")
+_from_text("sql_join_simplified", "join_simplified", "simplified", "(JOIN (p_name) (VALUE P (MSR (p_size)) (DIM p_name ()) (DIM p_brand (Brand#11 Brand#12))) (VALUE P (MSR (p_retailprice)) (DIM p_name ()) (DIM p_brand (Brand#12 Brand#13))))")
+
 # Units and labels
 _UNITS = [("l_quantity", "COUNT", "x 1 000", 1000.0, None, False), ("l_extendedprice", "COUNT", "x mln", 1000000.0, None, False)]
 expression("unit_scaled_sum", "native", f"(SUM () {_VALUE})", f"SELECT l_returnflag, l_linestatus, round(sum(Value * CASE WHEN Measure = 'l_quantity' THEN 1000 ELSE 1000000 END), 2) AS Value FROM {_LONG} GROUP BY l_returnflag, l_linestatus", 2, _UNITS)
