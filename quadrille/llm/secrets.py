@@ -108,7 +108,8 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
 
 def labelled_credentials(per_kind: int = 150, seed: int = 11) -> list[tuple[str, str]]:
     """(kind, credential): invented credentials in public formats, drawn with a fixed seed. Kinds that
-    begin with `plain` are the background: long words, capitals, paths, numbers and the like."""
+    begin with `plain` are the background: long words, capitals, paths, numbers, and what is random but no secret, such as
+    UUIDs, digests in capitals, encoded content and names of built files."""
     rnd = random.Random(seed)
     upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     draw = lambda letters, n: "".join(rnd.choices(letters, k=n))
@@ -117,6 +118,7 @@ def labelled_credentials(per_kind: int = 150, seed: int = 11) -> list[tuple[str,
     word = lambda low=5, high=10: "".join(rnd.choices(syllables, k=rnd.randint(low, high)))
     path = lambda: rnd.choice("/.-_").join(word(1, 4) for _ in range(rnd.randint(3, 6)))
     date = lambda: f"{rnd.randint(1990, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}"
+    case = lambda x: x.upper() if rnd.random() < 0.3 else x
     makers = {
         "access": lambda: "AKIA" + draw(upper + "234567", 16),
         "forge": lambda: rnd.choice(("ghp_", "gho_", "ghs_")) + draw(upper + lower + digit, 36),
@@ -131,6 +133,11 @@ def labelled_credentials(per_kind: int = 150, seed: int = 11) -> list[tuple[str,
         "plain-rule": lambda: rnd.choice("-=_./") * rnd.randint(16, 60),
         "plain-number": lambda: draw(digit, rnd.randint(13, 22)),
         "plain-date": lambda: date() + rnd.choice(("", f".{draw(digit, 6)}", f"-{draw(digit, 8)}")),
+        "plain-uuid": lambda: case("-".join(draw(digit + "abcdef", n) for n in (8, 4, 4, 4, 12))),
+        "plain-digest": lambda: draw(digit + "ABCDEF", rnd.choice((32, 40, 64))),
+        "plain-encoded": lambda: (body := draw(upper + lower + digit + "+/", rnd.randint(24, 200))) + "=" * (-len(body) % 4 % 3),
+        "plain-encoded-url": lambda: draw(upper + lower + digit + "-_", rnd.randint(24, 200)),
+        "plain-asset": lambda: f"{word(1, 3)}{rnd.choice('.-')}{draw(digit + 'abcdef', rnd.choice((8, 12, 20)))}.{rnd.choice(('js', 'css', 'min.js', 'png'))}",
         "plain-title": lambda: "".join(word(1, 3).title() for _ in range(rnd.randint(2, 5))),
     }
     return [(kind, make()) for kind, make in makers.items() for _ in range(per_kind * (3 if kind.startswith("plain") else 1))]
@@ -143,7 +150,7 @@ class Grammar:
     automata: dict[str, Automaton]
     background: list[Automaton]
     alphabet: int
-    bits_a_symbol: float = 1.0
+    #: By how many bits a format has to explain a candidate better than any background.
     bits: float = 24.0
     #: Symbols of the shortest candidate: four fifths of the shortest labelled credential, as credentials get cut off.
     shortest: int = 1
@@ -155,18 +162,32 @@ class Grammar:
         base = max((a.log2_likelihood(text, self.alphabet) for a in self.background), default=-8.0 * len(text))
         kind, own = max(((k, a.log2_likelihood(text, self.alphabet)) for k, a in self.automata.items()), key=lambda x: x[1])
         gain = own - base
-        return (kind, gain) if gain >= max(self.bits, self.bits_a_symbol * len(text)) else None
+        return (kind, gain) if gain >= self.bits else None
 
 
-def learn(labelled: list[tuple[str, str]], background: str = "plain") -> Grammar:
-    """An automaton for each label; without labelled credentials nothing is ever found beside the fixed formats."""
+def _fitted(by: dict[str, list[str]], background: str, bits: float) -> Grammar:
+    made = {kind: infer(values) for kind, values in by.items()}
+    alphabet = len({c for values in by.values() for v in values for c in v}) or 1
+    shortest = min((len(v) for kind, values in by.items() if not kind.startswith(background) for v in values), default=1) * 4 // 5
+    return Grammar({k: a for k, a in made.items() if not k.startswith(background)}, [a for k, a in made.items() if k.startswith(background)], alphabet, bits, max(1, shortest))
+
+
+def learn(labelled: list[tuple[str, str]], background: str = "plain", least: float = 6.0) -> Grammar:
+    """An automaton for each label; without labelled credentials nothing is ever found beside the fixed formats.
+
+    The bits that a candidate has to gain are calibrated on every fifth value of each label, which automata of the others
+    score: half way between the 2nd percentile of the credentials and the 99.8th of the background, or `least`. Then
+    all values are learned from.
+    """
     by: dict[str, list[str]] = {}
     for kind, value in labelled:
         by.setdefault(kind, []).append(value)
-    made = {kind: infer(values) for kind, values in by.items()}
-    alphabet = len({c for _, value in labelled for c in value}) or 1
-    shortest = min((len(value) for kind, value in labelled if not kind.startswith(background)), default=1) * 4 // 5
-    return Grammar({k: a for k, a in made.items() if not k.startswith(background)}, [a for k, a in made.items() if k.startswith(background)], alphabet, shortest=max(1, shortest))
+    trial = _fitted({k: [v for i, v in enumerate(values) if i % 5] or values for k, values in by.items()}, background, float("-inf"))
+    gains: dict[bool, list[float]] = {True: [], False: []}
+    for kind, values in by.items():
+        gains[kind.startswith(background)] += [found[1] for v in values[::5] if (found := trial.best(v))]
+    high, low = (float(np.quantile(gains[plain], q)) if gains[plain] else least for plain, q in ((True, 0.998), (False, 0.02)))
+    return _fitted(by, background, max(least, (high + low) / 2))
 
 
 def base_spans(text: str, runs: list[tuple[int, int]], assigns: bool) -> list[tuple[int, int, str]]:

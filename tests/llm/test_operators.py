@@ -802,3 +802,21 @@ def test_numbered(spark):
     rows = numbered(df, ["k"], [F.col("id")], F.xxhash64("id"), 3000, "at", per_bucket=100).collect()
     for k, n in (("hot", 2500), ("cold", 500)):
         assert sorted(r["at"] for r in rows if r.k == k) == list(range(n))
+
+
+def test_formats_are_told_from_what_is_only_random():
+    """Credentials and background that weren't learned from: at least 95 of 100 of each kind are found, and UUIDs, encoded content,
+    digests in capitals, names of built files and all other background are left alone."""
+    import base64
+    import uuid
+
+    grammar = secrets.learn(secrets.labelled_credentials())
+    found = lambda v: len(v) >= grammar.shortest and grammar.best(v) is not None
+    by = {}
+    for kind, value in secrets.labelled_credentials(200, seed=99):
+        by.setdefault(kind, []).append(found(value))
+    for kind, hits in by.items():
+        assert sum(hits) <= 0.005 * len(hits) if kind.startswith("plain") else sum(hits) >= 0.95 * len(hits), kind
+    rnd = random.Random(3)
+    made = [str(uuid.UUID(int=rnd.getrandbits(128))) for _ in range(300)] + [base64.b64encode(rnd.randbytes(300)).decode() for _ in range(100)] + [hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(100)]
+    assert not any(map(found, made))
