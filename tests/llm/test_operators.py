@@ -741,6 +741,36 @@ def test_ftrl_equals_a_scalar_version():
     assert dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want, rel=1e-4) and model.bias == pytest.approx(bias)
 
 
+def test_a_tuned_model_on_held_out_documents():
+    import pandas as pd
+
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.dropna(subset=["doc_id", "toxic"]).groupby("doc_id").toxic.max().reset_index().merge(docs, on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in known.doc_id])
+    rows = [((t or "").encode(), int(y)) for t, y in zip(known.text, known.toxic, strict=True)]
+    model = toxicity.tuned([r for r, h in zip(rows, held, strict=True) if not h])
+    dense, hasher = model.dense(), toxicity.Hasher()
+    got = [(toxicity.score(dense, model.bias, hasher(t)) >= 0.5, y) for (t, y), h in zip(rows, held, strict=True) if h]
+    toxic = [p for p, y in got if y]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(p for p, y in got if not y) <= 0.01 * (len(got) - len(toxic))
+    assert len(model.features) < 1000
+
+
+def test_tuned_without_evidence():
+    nothing, clean, toxic = toxicity.tuned([]), toxicity.tuned([(b"fine", 0)] * 9), toxicity.tuned([(b"vile", 1)] * 9)
+    assert nothing.bias == toxicity.UNKNOWN and clean.bias < 0 < toxic.bias and not len(nothing.features) + len(clean.features) + len(toxic.features)
+    mixed = toxicity.tuned([(None, 0), (b"", 1), (b"", 0), *[(b"vile scum %d" % i, 1) for i in range(30)], *[(b"nice day %d" % i, 0) for i in range(30)]])
+    dense, hasher = mixed.dense(), toxicity.Hasher()
+    marked = lambda t: toxicity.score(dense, mixed.bias, hasher(t)) >= 0.5
+    assert marked(b"vile scum") and not marked(b"nice day") and not marked(None) and not marked(b"unheard-of words")
+
+
+def test_the_cut_with_the_largest_f1():
+    z, y = np.array([3.0, 2.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 1, 0])
+    f1, cut = toxicity._cut(z, y)
+    assert (round(f1, 6), cut) == (round(6 / 7, 6), 0.5)
+
+
 def test_repeated_ids_and_a_clashing_score(spark):
     docs = spark.createDataFrame([(1, "vile scum", 9.0), (1, "vile scum", 9.0), (1, "other", 9.0), (2, "nice", 9.0), (None, "x", 9.0)], "doc_id long, text string, score double")
     model = toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int"), rows_per_label=1)
