@@ -22,6 +22,8 @@ UNGROUNDED_WORDS = (
 MONTHS = "january february march april may june july august september october november december".split()
 
 _YEAR = r"((?:19|20)\d{2})"
+#: An edge of a word of ASCII letters, digits and underscores, as RE2 has it: Java's own \b takes other letters for words too.
+EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
 def processed(text: Column) -> Column:
