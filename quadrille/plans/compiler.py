@@ -97,6 +97,8 @@ def _aggregate(a: Aggregate, mode: str, context: CubeContext) -> DataFrame:
     order = list(v.codes(a.selector)) if a.selector else list(v.measures)
     place = F.array_position(F.array(*map(F.lit, order)), col(over)) if order else F.lit(0)
     best = (F.max if a.function == "MAX" else F.min)(F.struct(F.col("Value"), *((-place).alias("p"), col(over).alias("label")) if a.function == "MAX" else (place.alias("p"), col(over).alias("label"))))
+    # first by label, where a hash table holds the numbers: of structs every row would be sorted
+    df = df.groupBy(*map(col, dict.fromkeys([*keys, over]))).agg(f("Value").alias("Value"))
     out = df.groupBy(*map(col, keys)).agg(best.alias("best")).select(*map(col, keys), F.col("best.label").alias("label"), F.col("best.Value").alias("Value"))
     if a.selector is None and context.units is not None:  # the best measure, with its unit
         named = unit_rules.with_units(out.withColumn("Measure", F.col("label")), context.units)
