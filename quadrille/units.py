@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.context import small
+
 
 class UnitCompatibilityError(ValueError):
     """Measures that must not be aggregated together."""
@@ -59,9 +61,9 @@ def errors(selected: DataFrame, units: DataFrame, question: str, allow_scaling:
 def scaled(long: DataFrame, units: DataFrame, unit_name: str = "number") -> DataFrame:
     """Long observations with Value times its measure's multiplier and Unit `unit_name`, where multipliers differ.
 
-    The multipliers of a catalog are few; the join broadcasts them by their size."""
+    The multipliers of a catalog are few and are broadcast: by Measure all observations would meet in a task for each measure."""
     of = units.groupBy(F.col("node_id").alias("Measure")).agg(F.max("multiplier").alias("_m"))
-    return long.join(of, "Measure", "left").withColumn("Value", F.col("Value") * F.coalesce(F.col("_m").cast("double"), F.lit(1.0))).withColumn("Unit", F.lit(unit_name)).drop("_m")
+    return long.join(small(of), "Measure", "left").withColumn("Value", F.col("Value") * F.coalesce(F.col("_m").cast("double"), F.lit(1.0))).withColumn("Unit", F.lit(unit_name)).drop("_m")
 
 
 def with_units(long: DataFrame, units: DataFrame) -> DataFrame:
