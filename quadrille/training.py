@@ -57,13 +57,21 @@ def cosine_negatives(vectors: DataFrame, queries: DataFrame, query: str, item: s
     return picked[0].unionByName(picked[1])
 
 
-def hard_negatives(scores: DataFrame, positives_: DataFrame, query: str, item: str, n: int, random_pool: DataFrame | None = None, seed: int = 42) -> DataFrame:
+def hard_negatives(scores: DataFrame, positives_: DataFrame | Column, query: str, item: str, n: int, random_pool: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """(query, item, rank): the first n items by score that are no positives; a query with fewer is padded at random from the
     items of random_pool (item), each as likely as the others. A query without a scored item is in no list, unless it is in
-    positives_. Each partition keeps n items a query before they are shuffled."""
-    found = ranking.ranked(scores.join(positives_, [query, item], "left_anti"), [query], item, k=n).select(query, item, "rank")
+    positives_, which may also be a condition on the scores' rows: then nothing is joined. Each partition keeps n items a
+    query before they are shuffled."""
+    if random_pool is not None:
+        scores = kept(scores, "scores")  # read several times
+    if isinstance(positives_, Column):
+        others, positives_ = scores.where(~F.coalesce(positives_, F.lit(False))), scores.where(positives_).select(query, item)
+    else:
+        others = scores.join(positives_, [query, item], "left_anti")
+    found = ranking.ranked(others, [query], item, k=n).select(query, item, "rank")
     if random_pool is None:
         return found
+    found = kept(found, "found")
     taken = found.select(query, item).union(positives_.select(query, item)).distinct()
     asked = taken.select(query).distinct()
     pad = drawn(asked, random_pool, taken, query, item, n, seed).select(query, item, (n + F.col("rank")).alias("rank"))

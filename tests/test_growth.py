@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quadrille import queries, units
-from quadrille.context import ship
+from quadrille import queries, training, units
 from quadrille.plans.compiler import CubeContext, compile
+from quadrille.retrieval import ranking
 
 
 def plan(df):
@@ -38,3 +38,28 @@ def test_the_best_label_needs_no_sort_of_all_rows(spark):
         assert "HashAggregate" in plan(df) and "SortAggregate" in plan(df)  # the latter of one row for each label
         assert first.rindex("HashAggregate") > first.rfind("SortAggregate")
     assert got == {"MAX": [("x", "k", "a", 5.0), ("y", "k", "a", 3.0)], "MIN": [("x", "k", "a", 1.0), ("y", "k", "a", 3.0)]}
+
+
+def test_terms_are_counted_in_their_row(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "", "b", None]), (2, []), (3, ["x"])], "id long, t array<string>")
+    got = {r.id: [tuple(x) for x in r.c] for r in df.select("id", ranking.counted(F.col("t")).alias("c")).collect()}
+    assert got == {1: [("", 1), ("a", 1), ("b", 3)], 2: [], 3: [("x", 1)]}
+
+
+def test_bm25_shuffles_documents_once(spark):
+    """Of what has a row for each term or pair, nothing is shuffled but sums and first k."""
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i % 3} a") for i in range(300)], "doc long, t string")
+    asked = spark.createDataFrame([(q, f"a b{q}") for q in range(5)], "q long, u string")
+    df = ranking.bm25(docs, asked, "doc", "q", F.split("t", " "), F.split("u", " "), 3)
+    rows = df.collect()
+    assert len(rows) == 15 and all(r.doc == r.q + 7 * (r["rank"] - 1) for r in rows)
+    dealt = [line for line in plan(df).splitlines() if "Exchange hashpartitioning(" in line]
+    assert any("REPARTITION_BY_NUM" in line for line in dealt)
+    assert not any("doc#" in line and "REPARTITION_BY_NUM" not in line for line in dealt)
+
+
+def test_positives_by_a_condition_are_those_of_a_table(spark):
+    scores = spark.createDataFrame([(q, i, float(i * 7 % 11)) for q in range(4) for i in range(11)], "q long, i long, score double")
+    table = scores.where("i % 3 = q % 3").select("q", "i")
+    got = [sorted(map(tuple, training.hard_negatives(scores, p, "q", "i", 4).collect())) for p in (table, F.expr("i % 3 = q % 3"))]
+    assert got[0] == got[1] and len(got[0]) == 16
