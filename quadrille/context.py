@@ -48,3 +48,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """The table to be broadcast if it has no more rows than that, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def weigh_files(spark: SparkSession, factor: float = 40.0) -> None:
+    """Files count as so many times their bytes where Spark decides what to broadcast: terms of a graph share most of their
+    letters and take some forty times as much in memory, where a table of a million would go through the driver as a small
+    one. A setting of the session, raised for good; tables that turn out small while a plan runs are still broadcast."""
+    name = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(name)) < factor:
+        spark.conf.set(name, str(factor))

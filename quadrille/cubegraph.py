@@ -132,13 +132,13 @@ SINGLE = {
 
 
 def _facts(triples: DataFrame) -> DataFrame:
-    """A row for each subject with its single values and marks: one aggregation, map-side, of fixed width, so that a subject of
-    many triples is no long list."""
+    """A row for each subject with its single values and marks: one aggregation of fixed width, so that a subject of many
+    triples is no long list; after the shuffle, as smallest texts are found by sorting, and a task reads more than it sorts."""
     p, o = F.col("p"), F.col("o")
     value = lambda name: F.min(F.when(p == iri(SINGLE[name]), text_of(o))).alias(name)
     has = lambda condition, name: F.coalesce(F.max(condition), F.lit(False)).alias(name)
     of_type = p == iri("rdf:type")
-    return triples.where(p.isin([iri(x) for x in (*SINGLE.values(), "rdf:type", "skos:broader", "qudt:hasQuantityKind")])).groupBy("s").agg(
+    return triples.where(p.isin([iri(x) for x in (*SINGLE.values(), "rdf:type", "skos:broader", "qudt:hasQuantityKind")])).repartition("s").groupBy("s").agg(
         *map(value, SINGLE), has(of_type & (o == TIME), "is_time"), has(of_type & (o == GEO), "is_geo"), has(p == iri("skos:broader"), "has_parent"),
         has((p == iri("qudt:hasQuantityKind")) & o.isin(*DIMENSIONLESS), "is_dimensionless"),
     )

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.context import kept, weigh_files
 from quadrille.operators.reshape import col
 
 #: Public vocabularies that names are shortened by.
@@ -24,6 +25,8 @@ PREFIXES = {
     "qudt": "http://qudt.org/schema/qudt/",
     "scot": "http://statistics.gov.scot/def/dimension/",
 }
+#: Triples of a task that sorts and writes them.
+TRIPLES = 500_000
 Term = str | Sequence[str]
 Triple = tuple[Term, Term, Term]
 
@@ -162,19 +165,21 @@ class Graph:
     def of(quads: DataFrame, graphs: Iterable[str] | None = None) -> Graph:
         """The union of named graphs, or of some; quads are (s, p, o, g, o_is_literal, o_datatype, o_lang)."""
         rows = quads if graphs is None else quads.where(F.col("g").isin(list(graphs)))
-        return Graph(rows.select("s", "p", term(F.col("o"), F.col("o_is_literal"), F.col("o_datatype"), F.col("o_lang")).alias("o")).distinct())
+        return Graph(rows.select("s", "p", term(F.col("o"), F.col("o_is_literal"), F.col("o_datatype"), F.col("o_lang")).alias("o")).repartition("s", "p", "o").distinct())  # dealt first: a task that reads much would hold all that it reads
 
     def write(self, path: str) -> Graph:
         """Laid out by predicate, so that a pattern reads the files of its predicates only, and within one by ranges of
-        subjects, so that a predicate that holds much of the graph is many files and tasks. Predicates, which are a
-        vocabulary, are counted once."""
-        self.triples.select("s", "p", "o").repartitionByRange(F.col("p"), F.col("s")).sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("p").parquet(path)
+        subjects and objects, so that a predicate that holds much of the graph, or a subject that does, is many files and
+        tasks, of some TRIPLES each. Predicates, which are a vocabulary, are counted once."""
+        whole = kept(self.triples.select("s", "p", "o"), "triples")
+        whole.repartitionByRange(max(1, -(-whole.count() // TRIPLES)), "p", "s", "o").sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("p").parquet(path)
         return Graph.read(self.triples.sparkSession, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Graph:
-        kept = spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")
-        return Graph(kept, dict(kept.groupBy("p").count().collect()))
+        weigh_files(spark)
+        rows = spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")
+        return Graph(rows, dict(rows.groupBy("p").count().collect()))
 
     def _one(self, triple: Triple) -> Solutions:
         """One triple pattern: constants are filters, and variables columns; a sequence of constants is any of them."""

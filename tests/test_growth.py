@@ -63,3 +63,15 @@ def test_positives_by_a_condition_are_those_of_a_table(spark):
     table = scores.where("i % 3 = q % 3").select("q", "i")
     got = [sorted(map(tuple, training.hard_negatives(scores, p, "q", "i", 4).collect())) for p in (table, F.expr("i % 3 = q % 3"))]
     assert got[0] == got[1] and len(got[0]) == 16
+
+
+def test_a_graph_is_written_in_parts_and_read_at_its_weight(spark, tmp_path, monkeypatch):
+    """One subject of many triples is several files, and files count as what they are in memory."""
+    from quadrille.plans import patterns
+
+    monkeypatch.setattr(patterns, "TRIPLES", 100)
+    rows = spark.range(1000).select(F.lit("http://x/t").alias("s"), F.lit("http://x/p").alias("p"), F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("o"))
+    g = patterns.Graph(rows).write(f"{tmp_path}/g")
+    assert g.triples.count() == 1000 and g.counts == {"http://x/p": 1000}
+    assert len(g.triples.inputFiles()) >= 8
+    assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) >= 40
