@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quadrille import queries, training, units
 from quadrille.plans.compiler import CubeContext, compile
 from quadrille.retrieval import ranking
+from quadrille.retrieval.textindex import TextIndex
 
 
 def plan(df):
@@ -75,3 +76,17 @@ def test_a_graph_is_written_in_parts_and_read_at_its_weight(spark, tmp_path, mon
     assert g.triples.count() == 1000 and g.counts == {"http://x/p": 1000}
     assert len(g.triples.inputFiles()) >= 8
     assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) >= 40
+
+
+def test_an_index_is_built_and_searched_where_a_document_lies(spark, tmp_path):
+    """All postings of a document are in one part, and no pair of query and document is shuffled."""
+    docs = spark.createDataFrame([(i, " ".join(["a", f"b{i % 7}", f"c{i % 50}"] * (1 + i % 3)) if i else None) for i in range(3000)], "d long, t string")
+    asked = spark.createDataFrame([(q, f"a b{q} c3 none") for q in range(5)], "q long, u string")
+    words, own = F.split("t", " "), F.split("u", " ")
+    index = TextIndex.build(docs, "d", words, f"{tmp_path}/x")
+    each = index.table("postings").select("parts", "part", F.explode("docs.doc").alias("doc"))
+    assert each.distinct().count() == each.select("doc").distinct().count()
+    df = index.search(asked, "q", own, 4)
+    shown = lambda df: sorted((r.q, r["rank"], r.doc, round(r.score, 6)) for r in df.collect())
+    assert shown(df) == shown(ranking.bm25(docs, asked, "d", "q", words, own, 4).withColumnRenamed("d", "doc"))
+    assert not any("Exchange" in line and "doc#" in line for line in plan(df).splitlines())
