@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quadrille.context import kept
-from quadrille.retrieval.ranking import met, ranked
+from quadrille.retrieval.ranking import NUMBERS, met, ranked
 
 #: Token vectors that centroids and code buckets are fitted on; all are indexed.
 SAMPLE = 32_768
@@ -38,7 +38,8 @@ def _vectors(lists: list, width: int) -> tuple[np.ndarray, np.ndarray]:
 def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The closest centroid of each vector."""
     half = (centroids**2).sum(axis=1) / 2
-    return np.concatenate([np.zeros(0, np.int64), *((vectors[i : i + 8192] @ centroids.T - half).argmax(axis=1) for i in range(0, len(vectors), 8192))])
+    some = max(1, NUMBERS // max(1, len(centroids)))
+    return np.concatenate([np.zeros(0, np.int64), *((vectors[i : i + some] @ centroids.T - half).argmax(axis=1) for i in range(0, len(vectors), some))])
 
 
 def k_means(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -224,30 +225,50 @@ class LateIndex:
         codec, of = self.codec, to_arrow_type(queries.schema[query].dataType)
         width, shared = codec.centroids.shape[1], queries.sparkSession.sparkContext.broadcast(codec)
 
+        def ends_of(part: list, asked: list, sizes: np.ndarray, decoded: np.ndarray, errors: np.ndarray) -> list[np.ndarray]:
+            """The lower and upper ends of the scores of some queries with a batch's documents."""
+            vectors, of_query = _vectors(asked, width)
+            vectors = vectors.astype(np.float64)
+            norms = np.linalg.norm(vectors, axis=1)[:, None]
+            full = np.flatnonzero(sizes)
+            starts = np.cumsum([0, *sizes[full][:-1]])
+            ends = [np.zeros((len(part), len(sizes))) for _ in range(2)]
+            step = max(1, NUMBERS // max(1, len(decoded)))  # of query tokens
+            owner = np.repeat(np.arange(len(part)), of_query)
+            for i in range(0, len(vectors) if len(full) else 0, step):
+                products = vectors[i : i + step] @ decoded.T
+                slack = norms[i : i + step] * errors
+                for total, side in zip(ends, (products - slack, products + slack), strict=True):
+                    best = np.zeros((len(side), len(sizes)))
+                    best[:, full] = np.maximum.reduceat(side, starts, axis=1)
+                    np.add.at(total, owner[i : i + step], best)
+            return ends
+
         def run(part: list, batch: pa.RecordBatch) -> pa.RecordBatch:
-            codec = shared.value
-            asked, of_query = _vectors([r[1] for r in part], width)
-            asked = asked.astype(np.float64)
-            norms = np.linalg.norm(asked, axis=1)[:, None]
-            at = batch.column(1).flatten().to_numpy()
+            codec, n, found = shared.value, most or k, []
             sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(at), -1) if len(at) else np.zeros((0, 1), np.uint8)
-            products = asked @ codec.decode(at, data).T.astype(np.float64) if len(at) else np.zeros((len(asked), 0))
-            slack = norms * batch.column(3).flatten().to_numpy() * (1 + 1e-6) + 1e-6 * norms
-            ends = []
-            for side in (products - slack, products + slack):
-                best = np.zeros((len(asked), len(sizes)))
-                full = np.flatnonzero(sizes)
-                if len(full) and len(asked):
-                    best[:, full] = np.maximum.reduceat(side, np.cumsum([0, *sizes[full][:-1]]), axis=1)
-                total = np.zeros((len(part), len(sizes)))
-                np.add.at(total, np.repeat(np.arange(len(part)), of_query), best)
-                ends.append(total)
-            low, high = ends
-            floor, n = (low + high if most else low), most or k
-            least = np.partition(floor, floor.shape[1] - n, axis=1)[:, floor.shape[1] - n][:, None] if floor.shape[1] > n else np.full((len(part), 1), -np.inf)
-            q, d = np.nonzero((floor if most else high) >= least)
-            return pa.RecordBatch.from_arrays([pa.array([part[i][0] for i in q.tolist()], of), batch.column(0).take(pa.array(d)), pa.array(low[q, d]), pa.array(high[q, d])], names=[query, "doc", "low", "high"])
+            marks, total = [0], 0
+            for i, size in enumerate(sizes.tolist()):  # documents of so many tokens at once, or one
+                total += size
+                if total * width > 4 * NUMBERS and i > marks[-1]:
+                    marks.append(i)
+                    total = size
+            for first, last in zip(marks, [*marks[1:], len(sizes)], strict=True):
+                piece = batch.slice(first, last - first)
+                at = piece.column(1).flatten().to_numpy()
+                data = np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint8).reshape(len(at), -1) if len(at) else np.zeros((0, 1), np.uint8)
+                decoded = codec.decode(at, data).astype(np.float64) if len(at) else np.zeros((0, width))
+                errors = piece.column(3).flatten().to_numpy() * (1 + 1e-6) + 1e-6
+                some = max(1, NUMBERS // max(1, last - first))  # of queries
+                for i in range(0, len(part), some):
+                    rows = part[i : i + some]
+                    low, high = ends_of(rows, [r[1] for r in rows], sizes[first:last], decoded, errors)
+                    floor = low + high if most else low
+                    least = np.partition(floor, floor.shape[1] - n, axis=1)[:, floor.shape[1] - n][:, None] if floor.shape[1] > n else np.full((len(rows), 1), -np.inf)
+                    q, d = np.nonzero((floor if most else high) >= least)
+                    found.append((q + i, d + first, low[q, d], high[q, d]))
+            q, d, low, high = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            return pa.RecordBatch.from_arrays([pa.array([part[i][0] for i in q.tolist()], of), batch.column(0).take(pa.array(d)), pa.array(low), pa.array(high)], names=[query, "doc", "low", "high"])
 
         kinds = dict(queries.dtypes) | dict(self.documents.dtypes)
         found = met(self.documents.select("doc", "at", "codes", "errors"), queries.select(query, tokens), run, f"`{query}` {kinds[query]}, doc {kinds['doc']}, low double, high double", block)

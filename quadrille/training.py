@@ -35,15 +35,17 @@ def positives(questions: DataFrame, node_map: DataFrame, question: str = "questi
 def cosine_negatives(vectors: DataFrame, queries: DataFrame, query: str, item: str, group: str, n: int, body: str | None = None, block: int = 4096) -> DataFrame:
     """(query, item, kind): half (rounded up) of the n negatives are the most similar items of another group, half the least.
     vectors: (item, vector, group[, body]); queries: (query, query_vector, group[, body]). The stated queries meet all items
-    in blocks, and a batch passes on only what may be among a query's negatives; near-duplicate bodies are left out where
+    in blocks, some at once, and a batch passes on only what may be among a query's negatives; near-duplicate bodies are left out where
     bodies are given."""
     halves = {"near": -(-n // 2), "far": n // 2}
     extra = [group, *([body] if body else [])]
 
     def score(columns: list[list], part: list, items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scores = ranking._cosines([r[1] for r in part], columns[0])
-        groups = columns[1].to_pylist()
-        allowed = np.array([[g is not None and r[2] is not None and g != r[2] for g in groups] for r in part], np.bool_).reshape(scores.shape)
+        known: dict = {}
+        of = lambda values: np.array([-1 if g is None else known.setdefault(g, len(known)) for g in values], np.int64)
+        groups, own = of(columns[1].to_pylist()), of(r[2] for r in part)
+        allowed = (groups != own[:, None]) & (groups >= 0) & (own >= 0)[:, None]
         if body:
             bodies = columns[2].to_pylist()
             allowed &= np.array([[not ok or not near_equal(x, r[3]) for x, ok in zip(bodies, oks, strict=True)] for r, oks in zip(part, allowed.tolist(), strict=True)], np.bool_).reshape(scores.shape)

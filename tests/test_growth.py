@@ -1,10 +1,14 @@
 """Plans whose tasks grow no faster than their input, with results that stay the same."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quadrille import queries, training, units
 from quadrille.plans.compiler import CubeContext, compile
-from quadrille.retrieval import ranking
+from quadrille.retrieval import lateindex, ranking
 from quadrille.retrieval.textindex import TextIndex
 
 
@@ -90,3 +94,30 @@ def test_an_index_is_built_and_searched_where_a_document_lies(spark, tmp_path):
     shown = lambda df: sorted((r.q, r["rank"], r.doc, round(r.score, 6)) for r in df.collect())
     assert shown(df) == shown(ranking.bm25(docs, asked, "d", "q", words, own, 4).withColumnRenamed("d", "doc"))
     assert not any("Exchange" in line and "doc#" in line for line in plan(df).splitlines())
+
+
+def test_scores_of_a_block_are_made_some_at_once(spark, tmp_path, monkeypatch):
+    """A task's memory is bounded whatever the number of a block's queries."""
+    caught = []
+    catch = lambda rows, queries, run, schema, *_: caught.append(run) or spark.createDataFrame([], schema)
+    rnd = np.random.default_rng(3)
+    numbers = lambda n: rnd.normal(0, 1, (n, 8)).tolist()
+    docs = spark.createDataFrame([(i, numbers(5)) for i in range(40)], "doc long, doc_tokens array<array<float>>")
+    index = lateindex.LateIndex.build(docs, "doc", "doc_tokens", f"{tmp_path}/x", bits=8)
+    codes = index.documents.select("doc", "at", "codes", "errors").toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(ranking, "met", catch)
+    monkeypatch.setattr(lateindex, "met", catch)
+    monkeypatch.setattr(lateindex, "kept", lambda df, name: df)
+    rows = spark.createDataFrame([(1, [1.0], 1)], "i long, vector array<float>, g long")
+    training.cosine_negatives(rows, rows.toDF("q", "query_vector", "g"), "q", "i", "g", 5)
+    index.within(docs.toDF("q", "t"), "q", "t", 5)
+    index.within(docs.toDF("q", "t"), "q", "t", 5, most=7)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2048)), pa.array(numbers(2048), pa.list_(pa.float32())), pa.array([i % 10 for i in range(2048)])], names=["i", "vector", "g"])
+    many = pa.Table.from_batches([codes] * 51).combine_chunks().to_batches()[0]
+    asked = [(q, x, q % 10) for q, x in enumerate(numbers(2000))], [(q, numbers(5)) for q in range(500)]
+    for run, part, given in ((caught[0], asked[0], batch), (caught[1], asked[1], many), (caught[2], asked[1], many)):
+        tracemalloc.start()
+        made = run(part, given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made.num_rows and peak < 90e6, peak
