@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions import fuzzy
 from quadrille.functions.text import camel_words, grounded, is_period_code, partial_ratio
 from quadrille.operators.reshape import col
 
+#: Texts of a block that meets a block of others in a task.
+TEXTS = 4096
+
 
 def distinct_codes(df: DataFrame, dimension: str, most: int = 100) -> DataFrame:
     """The first codes of a dimension in order; only its column is read."""
@@ -34,67 +39,43 @@ def pruned(wanted: DataFrame, probed: DataFrame) -> DataFrame:
     return found.withColumn("_keep", keep).withColumn("_any", any_kept).where("_keep OR _any = 0").drop("_there", "_keep", "_any")
 
 
-def _shared_least(m: Column, q: int, threshold: float) -> Column:
-    """How many q-grams of a text of m characters, counted as often as they stand there, any longer text with a partial ratio of
-    the threshold has at least; 0 or less is no promise.
-
-    A window of w <= m characters with a common subsequence of l has a ratio of 2 l / (m + w), so l >= t (m + w) / 2. Each of
-    the m - l characters that are left out of the text breaks q of its grams at most, and each of the w - l that are put
-    between its characters q - 1. What is broken is linear in w, between w = m and the shortest window, where w = l.
-    """
-    t = threshold / 100 - 1e-9
-    broken = F.greatest((2 * q - 1) * (1 - t) * m, q * (m - m * (t / (2 - t))))
-    return F.ceil(m - (q - 1) - broken - 1e-6)
+def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left, right): pairs of distinct texts (each side's column `text`) that have a partial ratio of at least the threshold, which
+    is above 0."""
+    return similar_scores(left, right, threshold).select("left", "right")
 
 
-def _grams(c: Column, q: int) -> Column:
-    """A text's q-grams in order, repeats included; the empty text's only one is empty."""
-    n = F.length(c)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(n - (q - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(q)))
-    return F.when(n >= q, made).when(n == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+def similar_scores(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left, right, score): pairs of distinct texts with a partial ratio of at least the threshold, which is above 0.
 
+    Both sides are dealt to blocks, and each two blocks meet in a task, so that no gram's texts are one task's and no pair is
+    shuffled. There a product of the shorter texts' grams and the longer ones' leaves pairs that share as many as the
+    threshold promises, and these are compared in arrays.
+    """
+    sides = [df.select(F.col("text")).where("text IS NOT NULL").distinct() for df in (left, right)]
+    of = [max(1, -(-side.count() // TEXTS)) for side in sides]
+    place = lambda n: F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    given = sides[0].select("text", place(of[0]).alias("_l")).select("text", "_l", every(of[1]).alias("_r"))
+    asked = sides[1].select("text", place(of[1]).alias("_r")).select("text", "_r", every(of[0]).alias("_l"))
 
-def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left, right): pairs of distinct texts (each side's column `text`) that may have a partial ratio of at least the threshold,
-    which is above 0; none that has it is missing.
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"left": pa.array([], pa.string()), "right": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        a, b = a.column("text").combine_chunks(), b.column("text").combine_chunks()
+        i, j, score = fuzzy.similar(a.to_pylist(), b.to_pylist(), threshold)
+        return pa.table({"left": a.take(pa.array(i)), "right": b.take(pa.array(j)), "score": score})
 
-    Of the shorter text's n grams at least s are in the longer one, so one of any n - s + 1 is: the rarest ones are joined with
-    all grams of longer texts. Pairs that then don't share s grams are dropped. Pairs of grams if these promise enough,
-    else characters, so that short texts have their own way.
-    """
-    t = F.col("text")
-    sides = []
-    for df in (left, right):
-        own = df.select("text").where("text IS NOT NULL").distinct()
-        m = F.length("text")
-        two = _shared_least(m, 2, threshold)
-        grams = F.when(two >= 1, _grams(t, 2)).otherwise(_grams(t, 1))
-        least = F.when(m == 0, 1).when(two >= 1, two).otherwise(F.greatest(F.lit(1), _shared_least(m, 1, threshold)))
-        sides.append(own.select("text", m.alias("m"), grams.alias("grams"), least.cast("int").alias("least"), F.array_distinct(F.concat(_grams(t, 1), _grams(t, 2))).alias("all_grams")))
-
-    def pairs(short: DataFrame, long: DataFrame, strict: bool) -> DataFrame:
-        """(short, long) where the first is the shorter, or as long as the other unless strict."""
-        postings = long.select(F.col("text").alias("long"), F.col("m").alias("long_m"), F.explode("all_grams").alias("gram"))
-        frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
-        stood = short.select("text", "m", "least", F.size("grams").alias("of"), F.posexplode("grams").alias("at", "gram")).join(frequency, "gram", "left")
-        rank = F.row_number().over(Window.partitionBy("text").orderBy(F.col("n").asc_nulls_first(), "at"))  # of one text's grams
-        probes = stood.withColumn("rank", rank).where(F.col("rank") <= F.col("of") - F.col("least") + 1).select(F.col("text").alias("short"), F.col("m").alias("short_m"), "gram").distinct()
-        met = probes.join(postings, "gram").where(F.col("short_m") < F.col("long_m") if strict else F.col("short_m") <= F.col("long_m")).select("short", "long").distinct()
-        both = met.join(short.select(F.col("text").alias("short"), "grams", "least"), "short").join(long.select(F.col("text").alias("long"), "all_grams"), "long")
-        return both.where(F.size(F.filter("grams", lambda g: F.array_contains("all_grams", g))) >= F.col("least")).select("short", "long")
-
-    first = pairs(*sides, False).select(F.col("short").alias("left"), F.col("long").alias("right"))
-    return first.union(pairs(*sides[::-1], True).select(F.col("long").alias("left"), F.col("short").alias("right")))
+    given, asked = (x.repartition(of[0] * of[1], "_l", "_r") for x in (given, asked))  # a stated number, so that small bytes of much work stay apart
+    return given.groupBy("_l", "_r").cogroup(asked.groupBy("_l", "_r")).applyInArrow(meet, "left string, right string, score double")
 
 
 def ranked_codes(questions: DataFrame, codes: DataFrame, question: Column, label: Column, k: int = 1, threshold: float = 80.0, gate: bool = False) -> DataFrame:
     """(.., score, rank): the codes whose labels fit a stated question best, per question and dimension. With the gate, a
-    label of meaningful words has to have one of them in the question. Pairs come from the texts' shared grams, and only
-    those are compared; a threshold of 0, which every pair reaches, asks for all pairs."""
+    label of meaningful words has to have one of them in the question. Pairs that can't share grams enough aren't compared; a threshold of 0, which every pair reaches, asks for all pairs."""
     codes, questions = codes.withColumn("_l", F.lower(label)), questions.withColumn("_q", F.lower(question))
     if threshold > 0:
-        found = similar_texts(codes.select(F.col("_l").alias("text")), questions.select(F.col("_q").alias("text")), threshold)
-        scores = found.withColumn("score", partial_ratio(F.col("left"), F.col("right"))).where(F.col("score") >= threshold)
+        scores = similar_scores(codes.select(F.col("_l").alias("text")), questions.select(F.col("_q").alias("text")), threshold)
         pairs = codes.join(scores, F.col("_l") == F.col("left")).join(questions, F.col("_q") == F.col("right")).drop("left", "right")
     else:
         pairs = codes.crossJoin(questions).withColumn("score", partial_ratio(F.col("_l"), F.col("_q")))  # every pair is asked for

@@ -53,3 +53,14 @@ def test_escapes_split_heavy_tokens(spark):
     pool = spark.createDataFrame([(k, i) for k in range(12) for i in range(20)], "q long, item long")
     got = lambda heavy: sorted(map(tuple, ranking.escapes(index, asked, pool, "q", "item", F.split("t", " "), heavy=heavy).select("q", "item", "n").collect()))
     assert got(7) == got(100_000) and got(7)
+
+
+def test_pairs_and_scores_are_those_of_all_pairs(spark, monkeypatch):
+    """No pair below the threshold is left, texts beyond 64 characters too, and blocks meet as one would."""
+    monkeypatch.setattr(probing, "TEXTS", 20)
+    rnd = random.Random(7)
+    a, b = (sorted({*strings(rnd, 60, "abcdefgh é", 16), *("".join(rnd.choices("ab", k=rnd.randint(60, 80))) for _ in range(4)), ""}) for _ in range(2))
+    frame = lambda x: spark.createDataFrame([(t,) for t in [*x, None]], "text string")
+    want = sorted((x, y, s) for x in a for y in b if (s := best_window_ratio(x, y)) >= 75)
+    assert sorted(map(tuple, probing.similar_scores(frame(a), frame(b), 75.0).collect())) == want
+    assert sorted(map(tuple, probing.similar_texts(frame(a), frame(b), 75.0).collect())) == [x[:2] for x in want]
