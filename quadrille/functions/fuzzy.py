@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -10,6 +11,8 @@ from quadrille.functions.text import best_window_ratio
 
 #: Columns of a matrix of grams; more grams share columns, which only lets more pairs through. Pairs of a product, and characters.
 GRAMS, PAIRS, CHARS = 4096, 1 << 20, 1 << 20
+#: Texts that are asked for at once.
+ASKED = 64
 
 
 def shared_least(m: int, q: int, threshold: float) -> int:
@@ -154,3 +157,301 @@ def _ratios(shorts: list[str], longs: list[str], i: np.ndarray, j: np.ndarray, t
             best[ok] = top
         out[some] = best
     return out
+
+
+def nearest(asked: list[str], labels: list[str], k: int, threshold: float, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of asked texts and of the k labels (of each group, if the labels' groups are given) of the best partial ratio
+    with each, of those of at least the threshold, and the ratios; of equal ratios the earlier label counts as better, of texts of
+    one length the label as the shorter.
+
+    Texts of up to 64 characters are compared in arrays, without groups under a threshold that rises to the k-th best ratio
+    found; others as by similar(), some at once.
+    """
+    fits = lambda texts, fit: np.array([n for n, x in enumerate(texts) if (len(x) <= 64) == fit], int)
+    of = lambda texts, at: [texts[n] for n in at.tolist()]
+    found, few, given = [np.zeros((3, 0))], fits(asked, True), fits(labels, True)
+    if len(few) and len(given):
+        index = _Index(of(labels, given), None if groups is None else groups[given])
+        for first in range(0, len(few), ASKED):
+            part = few[first : first + ASKED]
+            i, j, score = index.nearest(of(asked, part), k, threshold)
+            found.append(np.array([part[i], given[j], score]))
+    for some, others in ((few, fits(labels, False)), (fits(asked, False), np.arange(len(labels)))):
+        for first in range(0, len(some) if len(others) else 0, PAIRS // 512):
+            part, best = some[first : first + PAIRS // 512], np.zeros((3, 0))
+            for begin in range(0, len(others), PAIRS // 256):
+                these = others[begin : begin + PAIRS // 256]
+                j, i, score = similar(of(labels, these), of(asked, part), threshold)
+                best = _first(np.concatenate((best, [part[i], these[j], score]), axis=1), k, groups)
+            found.append(best)
+    i, j, score = _first(np.concatenate(found, axis=1), k, groups)
+    return i.astype(np.int64), j.astype(np.int64), score
+
+
+def _first(found: np.ndarray, k: int, groups: np.ndarray | None) -> np.ndarray:
+    """The k best of each asked text's (and group's) columns (asked, label, ratio)."""
+    group = np.zeros(found.shape[1], int) if groups is None else groups[found[1].astype(int)]
+    order = np.lexsort((found[1], -found[2], group, found[0]))
+    found, group, at = found[:, order], group[order], np.arange(len(order))
+    new = (np.diff(found[0], prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0)
+    return found[:, at - np.maximum.accumulate(np.where(new, at, 0)) < k]
+
+
+#: Numbers of features; more features share numbers, which only lets more pairs through. Words that have their lowest bits.
+FEATURES, LOW = 1 << 16, np.array([(1 << n) - 1 for n in range(65)], np.uint64)
+
+
+class _Features:
+    """Bits for a text's characters, as often as they stand there, or for its 2-grams."""
+
+    def __init__(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: list[tuple[np.ndarray, np.ndarray]], words: int):
+        """Features that some parts (characters, sizes) of texts have get columns of which each is set about equally often."""
+        self.of = of
+        counts = sum(np.bincount(of(*part).ravel(), minlength=FEATURES + 1)[:FEATURES] for part in parts)
+        self.bit, heap = np.zeros((words, FEATURES + 1), np.uint64), [(0, c) for c in range(64 * words)]
+        for f in np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].tolist():
+            load, c = heap[0]
+            self.bit[c // 64, f] = 1 << c % 64
+            heapq.heapreplace(heap, (load + int(counts[f]), c))
+        self.strange = np.append(counts == 0, False)
+
+    def bits(self, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each text, and how many of its features no text of the parts has."""
+        found = np.ascontiguousarray(self.of(place, sizes).T)
+        out = np.zeros((len(self.bit), len(sizes)), np.uint64)
+        for f in found:
+            for word, bit in zip(out, self.bit, strict=True):
+                word |= bit.take(f)
+        return out, self.strange.take(found).sum(axis=0)
+
+
+def _chars(place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    place, at = np.sort(place, axis=1), np.arange(place.shape[1], dtype=np.int32)  # what pads a text is the last
+    begin = np.maximum.accumulate(np.where(np.diff(place, axis=1, prepend=place[:, :1]) != 0, at, 0), axis=1)
+    return np.where(at < sizes[:, None], (place.astype(np.int64) * 64 + (at - begin)) % FEATURES, FEATURES)
+
+
+def _pairs(place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    place, base = place.astype(np.int64), max(256, 1 << int(place.max(initial=0)).bit_length())
+    return np.where(np.arange(1, place.shape[1]) < sizes[:, None], (place[:, :-1] * base + place[:, 1:]) % FEATURES, FEATURES)
+
+
+class _Index:
+    """Labels of up to 64 characters in order of length, with bits of their characters and 2-grams."""
+
+    def __init__(self, labels: list[str], groups: np.ndarray | None = None):
+        self.groups = groups
+        sizes = np.array([len(x) for x in labels])
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        texts = [labels[j] for j in self.order.tolist()]
+        codes = [_codes(texts[a : a + 16384], int(self.sizes[min(a + 16384, len(texts)) - 1])) for a in range(0, len(texts), 16384)]
+        self.alphabet = np.unique(np.concatenate([np.unique(x) for x in codes]))
+        self.kind = np.min_scalar_type(len(self.alphabet) + 1)
+        self.place = np.full((max(1, int(self.sizes[-1])), len(texts)), len(self.alphabet) + 1, self.kind)
+        parts, a = [], 0
+        for x in codes:
+            b = a + len(x)
+            parts.append((self.placed(x, self.sizes[a:b]), self.sizes[a:b]))
+            self.place[: x.shape[1], a:b] = parts[-1][0].T
+            a = b
+        self.chars, self.grams = _Features(_chars, parts, 1), _Features(_pairs, parts, 2)
+        self.by_chars, self.by_grams = (np.concatenate([f.bits(*part)[0] for part in parts], axis=1) for f in (self.chars, self.grams))
+        self.by_chars = self.by_chars[0]
+        self.many_chars = np.bitwise_count(self.by_chars)
+        self.many_grams = np.bitwise_count(self.by_grams).sum(axis=0, dtype=np.uint8)
+        self.same, self.shared, self.ok = np.empty(16384, np.uint64), np.empty(len(sizes), np.uint8), np.zeros(-(-len(sizes) // 8) * 8, bool)
+        self.short, self.least = self.sizes.astype(np.uint8), -1.0
+        self.guess = [0.0, 100.0]  # of the k-th best ratios: a low and a high one
+
+    def placed(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Characters by their place in the alphabet; those of no label and what pads a text come after all others."""
+        at = np.searchsorted(self.alphabet, codes).clip(0, len(self.alphabet) - 1)
+        at = np.where(self.alphabet[at] == codes, at, len(self.alphabet))
+        return np.where(np.arange(codes.shape[1]) < sizes[:, None], at, len(self.alphabet) + 1).astype(self.kind)
+
+    def nearest(self, asked: list[str], k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As nearest(), for some texts. Pairs that share enough for a first guess of the k-th best ratio are compared, those of the
+        highest bounds first; where the guess was too high, again from the k-th ratio found."""
+        sizes = np.array([len(x) for x in asked])
+        place = self.placed(_codes(asked, int(sizes.max())), sizes)
+        tables = _Tables(self, place, sizes)
+        chars, grams = self.chars.bits(place, sizes), self.grams.bits(place, sizes)
+        own = [(np.bitwise_count(x).sum(axis=0, dtype=np.int64) + strange).tolist() for x, strange in (chars, grams)]
+        shorter = np.searchsorted(self.sizes, sizes, "right").tolist()
+
+        def able(n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Labels that share characters and grams enough for a ratio, and how many of each are missing."""
+            if least != self.least:
+                self.least, t, lengths = least, least / 100 - 1e-9, np.arange(65)
+                # Grams that the characters left out of the shorter text, and others put between them, break: as in shared_least().
+                self.allowed = [np.floor(x * lengths + 1e-6).astype(np.uint8) for x in (_gone(t), max(3 * (1 - t), 2 * _gone(t)))]
+                self.needed = self.many_chars - np.minimum(self.many_chars, self.allowed[0].take(self.sizes))
+            b, m, shared, ok = shorter[n], int(sizes[n]), self.shared, self.ok
+            for a in range(0, len(shared), 16384):
+                np.bitwise_and(self.by_chars[a : a + 16384], chars[0][0, n], out=self.same[: len(shared) - a])
+                np.bitwise_count(self.same[: len(shared) - a], out=shared[a : a + 16384])
+            np.greater_equal(shared[:b], self.needed[:b], out=ok[:b])
+            np.greater_equal(shared[b:], max(0, own[0][n] - int(self.allowed[0][m])), out=ok[b : len(shared)])
+            eight = np.flatnonzero(ok.view(np.uint64))  # most have none
+            at = np.flatnonzero(ok.reshape(-1, 8).take(eight, axis=0))
+            at = (eight << 3).take(at >> 3) + (at & 7)
+            lost = self.many_grams.take(at)
+            lost[(c := int(at.searchsorted(b))) :] = own[1][n]
+            for word, x in zip(self.by_grams, grams[0][:, n], strict=True):
+                lost -= np.bitwise_count(word.take(at) & x)
+            ok = (lost <= self.allowed[1].take(np.minimum(self.short.take(at), m))).nonzero()[0]
+            at, c = at.take(ok), int(ok.searchsorted(c))
+            missed = self.many_chars.take(at)
+            missed[c:] = own[0][n]
+            return at, lost.take(ok), missed - shared.take(at)
+
+        def compared(found: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+            i, j, score = tables.ratios(i, j, least)
+            keep = score >= threshold
+            return _first(np.concatenate((found, [i[keep], self.order[j[keep]], score[keep]]), axis=1), k, self.groups)
+
+        def reached(found: np.ndarray, low: np.ndarray) -> np.ndarray:
+            """The k-th best ratio where it is over the low one."""
+            if self.groups is not None:
+                return low
+            out, last = low.copy(), np.flatnonzero(np.arange(found.shape[1]) - np.searchsorted(found[0], found[0]) == k - 1)
+            of = found[0][last].astype(int)
+            out[of] = np.maximum(out[of], found[2][last])
+            return out
+
+        size, lack = np.maximum(1, np.arange(65))[:, None], np.arange(65)  # bounds by lengths and what is missing
+        by_chars, by_grams = 100 * _gone(np.minimum(1, lack / size)) + 1e-6, 100 * np.maximum(1 - lack / size / 3, _gone(np.minimum(1, lack / size / 2))) + 1e-6
+        out, which = [np.zeros((3, 0))], np.arange(len(asked))
+        low = np.full(len(asked), max(threshold, self.guess[0]))
+        while len(which):
+            found, waiting, n = np.zeros((3, 0)), [], 0
+            for x in [*which.tolist(), None]:
+                if x is not None:
+                    waiting.append((x, *able(x, low[x])))
+                    n += len(waiting[-1][1])
+                if n and (x is None or n >= PAIRS // 4):
+                    of, *some = zip(*waiting, strict=True)
+                    i, (j, lost, missed) = np.repeat(of, [len(at) for at in some[0]]), (np.concatenate(v) for v in some)
+                    size = np.minimum(self.short.take(j), sizes[i])
+                    bound = np.minimum(by_chars.take(size * 65 + missed), by_grams.take(size * 65 + lost))
+                    high = bound >= self.guess[1]
+                    found = compared(found, i[high], j[high], low)
+                    least = reached(found, low)
+                    rest = ~high & (bound >= least[i])
+                    found = compared(found, i[rest], j[rest], least)
+                    waiting, n = [], 0
+            full = np.bincount(found[0].astype(int), found[2] >= low[found[0].astype(int)], len(asked))
+            done = (full >= k) | (low <= threshold)
+            out.append(found[:, done[found[0].astype(int)]])
+            low = reached(found, np.full(len(asked), float(threshold)))
+            which = which[~done[which]]
+        i, j, score = found = _first(np.concatenate(out, axis=1), k, self.groups)
+        self.guess = np.percentile(reached(found, np.full(len(asked), float(threshold))), (8, 80)).tolist()
+        return i.astype(int), j.astype(int), score
+
+def _gone(t: np.ndarray | float) -> np.ndarray | float:
+    """The part of the shorter text's characters that may be left out at a ratio, of windows that have all of theirs; and the
+    ratio at which a part may be."""
+    return (2 - 2 * t) / (2 - t)
+
+
+class _Tables:
+    """Common subsequences of asked texts and labels by bits of the asked ones, of which each has its characters' masks."""
+
+    def __init__(self, index: _Index, place: np.ndarray, sizes: np.ndarray):
+        self.index, self.sizes = index, sizes
+        self.stride = len(index.alphabet) + 2
+        self.masks, self.turned = (np.zeros((len(sizes), self.stride), np.uint64) for _ in range(2))
+        for p in range(place.shape[1]):
+            of = np.flatnonzero((sizes > p) & (place[:, p] < len(index.alphabet)))
+            self.masks[of, place[of, p]] |= np.uint64(1 << p)
+            self.turned[of, place[of, p]] |= np.uint64(1) << (sizes[of] - 1 - p).astype(np.uint64)
+        self.masks, self.turned = self.masks.ravel(), self.turned.ravel()
+
+    def ratios(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that can have the least ratio, by the common subsequences of whole texts, and their ratios."""
+        kept = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64))]
+        order = np.sort(-j << 32 | np.arange(len(j)))  # in falling order of length, and a chunk's characters lie near each other
+        order &= (1 << 32) - 1
+        i, j = i[order], j[order]
+        for a in range(0, len(i), CHARS // 64):
+            x, y = i[a : a + CHARS // 64], j[a : a + CHARS // 64]
+            m, n = self.sizes[x], self.index.sizes[y]
+            t = least[x] / 100 - 1e-9
+            need = np.ceil(np.minimum(m, n) * t / (2 - t) - 1e-6).astype(np.int64)
+            row, base = np.full(len(x), LOW[64]), x * self.stride
+            most, live = int(n[0]) if len(n) else 0, _longer(n)
+            for p in range(most):
+                if p in (most // 2, most * 3 // 4):  # what is missed already can't be made good
+                    ok = np.flatnonzero(m - np.bitwise_count(row & LOW[m]) + (n - p).clip(0) >= need)
+                    x, y, m, n, need, row, base = (v[ok] for v in (x, y, m, n, need, row, base))
+                    live = _longer(n)
+                    if not len(n) or p >= n[0]:
+                        break
+                c = live[p]
+                step(row[:c], self.masks.take(base[:c] + self.index.place[p].take(y[:c])))
+            common = m - np.bitwise_count(row & LOW[m])
+            ok = np.flatnonzero(common >= need)
+            kept.append((x[ok], y[ok], common[ok], row[ok]))
+        x, y, common, row = (np.concatenate(v) for v in zip(*kept, strict=True))
+        return x, y, self.windows(x, y, common, row, least[x])
+
+    def windows(self, x: np.ndarray, y: np.ndarray, common: np.ndarray, whole: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """best_window_ratio() of pairs in falling order of the labels' lengths, whose rows for whole texts are given; one below the
+        least may get less than its ratio."""
+        m, n = self.sizes[x], self.index.sizes[y]
+        t = least / 100 - 1e-9
+        out = np.where((m == 0) & (n == 0), 100.0, 0.0)
+        for within in (True, False):  # windows of the asked text, or of the label
+            of = np.flatnonzero((n <= m) == within)
+            if not len(of):
+                continue
+            base, text, a, b = x[of] * self.stride, y[of], m[of], n[of]
+            best, live, size = out[of], _longer(b), np.minimum(a, b)
+            low, floor = LOW[a], max(1, int((size * t[of] / (2 - t[of])).min()))  # shorter windows can't have the least
+            for turn, masks in ((False, self.masks), (True, self.turned)):  # from the beginnings, from the ends
+                row = whole[of] if within and not turn else np.full(len(of), LOW[64])
+                for p in range(0 if within and not turn else int(b[0])):
+                    c = live[p]
+                    at = self.index.place[b[:c] - 1 - p, text[:c]] if turn else self.index.place[p].take(text[:c])
+                    step(row[:c], masks.take(base[:c] + at))
+                    if not within and p + 1 >= floor:
+                        ratio = 200.0 * (a[:c] - np.bitwise_count(row[:c] & low[:c])) / (a[:c] + (p + 1))
+                        np.maximum(best[:c], ratio, out=best[:c], where=a[:c] > p)
+                if within:
+                    for w in range(floor, int(b[0]) + 1):
+                        c = live[w - 1]
+                        np.maximum(best[:c], 200.0 * (w - np.bitwise_count(row[:c] & LOW[w]).astype(np.int64)) / (b[:c] + w), out=best[:c])
+            out[of] = best
+            of = np.flatnonzero((common[of] >= size * t[of] - 1e-6) & (np.abs(a - b) > 1) & (size > 0))
+            base, text, size, times, of = base[of], text[of], size[of], np.abs(a - b)[of] - 1, np.flatnonzero((n <= m) == within)[of]
+            pair = np.repeat(np.arange(len(of)), times)
+            start = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times) + 1
+            order = np.argsort(64 - size[pair].astype(np.uint8), kind="stable")
+            for first in range(0, len(pair), CHARS // 64):
+                z, o = pair[order[first : first + CHARS // 64]], start[order[first : first + CHARS // 64]]
+                begin, label, length, shift = base[z], text[z], size[z], o.astype(np.uint64)
+                row, live = np.full(len(z), LOW[64]), _longer(length)
+                for p in range(int(length[0])):
+                    c = live[p]
+                    if within:
+                        mask = self.masks.take(begin[:c] + self.index.place[p].take(label[:c])) >> shift[:c]
+                    else:
+                        mask = self.masks.take(begin[:c] + self.index.place[o[:c] + p, label[:c]])
+                    step(row[:c], mask)
+                np.maximum.at(out, of[z], 200.0 * (length - np.bitwise_count(row & LOW[length])) / (length + length))
+        return out
+
+
+def _longer(n: np.ndarray) -> list[int]:
+    """How many of some numbers up to 64, which fall, are over 0, 1, .."""
+    return np.cumsum(np.bincount(n, minlength=66)[::-1])[::-1][1:].tolist()
+
+
+def step(row: np.ndarray, mask: np.ndarray) -> None:
+    """A character more, in place: bits of a text's characters are 0 where they lengthen the common subsequence."""
+    mask &= row
+    rest = row - mask
+    row += mask
+    row |= rest

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quadrille.functions import fuzzy
@@ -13,6 +16,10 @@ from quadrille.operators.reshape import col
 
 #: Texts of a block that meets a block of others in a task.
 TEXTS = 4096
+#: Most labels of a block, most asked texts and fewest of a block if that gives no more than some blocks, most characters of one.
+LABELS, ASKED, FEW, BLOCKS, CHARS = 1 << 18, 1 << 14, 512, 64, 1 << 23
+#: Labels of a dimension that are searched on their own.
+OWN = 512
 
 
 def distinct_codes(df: DataFrame, dimension: str, most: int = 100) -> DataFrame:
@@ -70,11 +77,60 @@ def similar_scores(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     return given.groupBy("_l", "_r").cogroup(asked.groupBy("_l", "_r")).applyInArrow(meet, "left string, right string, score double")
 
 
+def nearest_labels(asked: DataFrame, labels: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(text, dimension, label, score): labels of the best partial ratio with each asked `text`, of those of at least the threshold,
+    which is above 0: the k best of each dimension at least, of equal ones those of the lower codes.
+
+    labels: distinct (dimension, label) with the lowest code of each. Both sides are dealt to blocks, and each two blocks meet
+    in a task of their own, where the threshold rises to the k-th best ratio that a text has found. A block of labels is as large as
+    a task can hold, as fewer pairs are compared the more labels the k best are found among.
+    """
+    asked, labels = asked.select("text").where("text IS NOT NULL").distinct(), labels.where("label IS NOT NULL")
+    size = lambda df, text: df.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    (many, chars), (n, m) = size(asked, "text"), size(labels, "label")
+    of = max(1, -(-many // ASKED), -(-chars // CHARS), min(BLOCKS, -(-many // FEW))), max(1, -(-n // LABELS), -(-m // CHARS))
+    place = lambda text, n: F.pmod(F.xxhash64(text), F.lit(n)).cast("int")
+    first, other = place("text", of[0]) * of[1], place("label", of[1])
+    given = asked.select("text", F.explode(F.sequence(first, first + F.lit(of[1] - 1))).alias("_block"))
+    found = labels.select("dimension", "label", "code", F.explode(F.sequence(other, other + F.lit((of[0] - 1) * of[1]), F.lit(of[1]))).alias("_block"))
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("dimension", labels.schema["dimension"].dataType), T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.take(pc.sort_indices(b, sort_keys=[("code", "ascending")], null_placement="at_start")).combine_chunks()
+        texts, names, parts = a.column("text").to_pylist(), b.column("label").to_pylist(), [np.zeros((3, 0))]
+        if texts and names:
+            coded = pc.dictionary_encode(b.column("dimension"), null_encoding="encode").combine_chunks()
+            coded = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).indices.to_numpy()
+            own = np.bincount(coded) >= OWN
+            for at in [*(np.flatnonzero(coded == d) for d in np.flatnonzero(own)), np.flatnonzero(~own[coded])]:
+                groups = None if len(at) and (coded[at] == coded[at[0]]).all() else coded[at]
+                if len(at):
+                    i, j, score = fuzzy.nearest(texts, [names[x] for x in at.tolist()], k, threshold, groups)
+                    parts.append(np.array([i, at[j], score]))
+        i, j, score = np.concatenate(parts, axis=1)
+        i, j = pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))
+        return pa.table({"text": a.column("text").take(i), "dimension": b.column("dimension").take(j), "label": b.column("label").take(j), "score": score})
+
+    given, found = (x.repartitionById(of[0] * of[1], F.col("_block")) for x in (given, found))  # no two blocks in one task
+    return given.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(meet, schema)
+
+
 def ranked_codes(questions: DataFrame, codes: DataFrame, question: Column, label: Column, k: int = 1, threshold: float = 80.0, gate: bool = False) -> DataFrame:
     """(.., score, rank): the codes whose labels fit a stated question best, per question and dimension. With the gate, a
-    label of meaningful words has to have one of them in the question. Pairs that can't share grams enough aren't compared; a threshold of 0, which every pair reaches, asks for all pairs."""
+    label of meaningful words has to have one of them in the question. Pairs that can't share grams enough aren't compared; a threshold of 0, which every pair reaches, asks for all pairs.
+    Without the gate only a text's k best labels leave the search, each with its k lowest codes, and are then given to all
+    questions of that text."""
     codes, questions = codes.withColumn("_l", F.lower(label)), questions.withColumn("_q", F.lower(question))
-    if threshold > 0:
+    if threshold > 0 and not gate:
+        lowest = Window.partitionBy("dimension", "_l").orderBy("code")
+        codes = codes.where("_l IS NOT NULL").withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= k)
+        scores = nearest_labels(questions.select(F.col("_q").alias("text")), codes.where("_n = 1").select("dimension", F.col("_l").alias("label"), "code"), k, threshold)
+        scores = scores.select(F.col("text").alias("right"), F.col("dimension").alias("_d"), F.col("label").alias("left"), "score")
+        best = Window.partitionBy("right", "dimension").orderBy(F.desc("score"), "code")
+        pairs = codes.join(scores, (F.col("_l") == F.col("left")) & F.col("dimension").eqNullSafe(F.col("_d"))).drop("_n", "_d")
+        pairs = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+        pairs = pairs.join(questions, F.col("_q") == F.col("right")).drop("left", "right")
+    elif threshold > 0:
         scores = similar_scores(codes.select(F.col("_l").alias("text")), questions.select(F.col("_q").alias("text")), threshold)
         pairs = codes.join(scores, F.col("_l") == F.col("left")).join(questions, F.col("_q") == F.col("right")).drop("left", "right")
     else:
