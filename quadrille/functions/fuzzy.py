@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 
@@ -224,11 +225,27 @@ class _Features:
                 word |= bit.take(f)
         return out, self.strange.take(found).sum(axis=0)
 
+    def ends(self, place: np.ndarray, sizes: np.ndarray, back: bool) -> Callable[[int], np.ndarray]:
+        """Bits of beginnings or ends of a size, of characters only."""
+        found = np.ascontiguousarray(self.of(place, sizes, back).T)
 
-def _chars(place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    place, at = np.sort(place, axis=1), np.arange(place.shape[1], dtype=np.int32)  # what pads a text is the last
-    begin = np.maximum.accumulate(np.where(np.diff(place, axis=1, prepend=place[:, :1]) != 0, at, 0), axis=1)
-    return np.where(at < sizes[:, None], (place.astype(np.int64) * 64 + (at - begin)) % FEATURES, FEATURES)
+        def of(size: int) -> np.ndarray:
+            out = np.zeros(len(sizes), np.uint64)
+            for p, f in enumerate(found if back else found[:size]):
+                out |= np.where(sizes - p <= size, self.bit[0].take(f), 0) if back else self.bit[0].take(f)
+            return out
+
+        return of
+
+
+def _chars(place: np.ndarray, sizes: np.ndarray, back: bool = False) -> np.ndarray:
+    """A character and how many like it come before (or after) it."""
+    place, at = np.ascontiguousarray(place.T), np.arange(place.shape[1])
+    same = np.zeros(place.shape, np.uint8)
+    for p in at.tolist():
+        for other in range(p + 1, len(place)) if back else range(p):
+            same[p] += place[p] == place[other]
+    return np.where(at[:, None] < sizes, (place.astype(np.int32) * 64 + same) % FEATURES, FEATURES).T
 
 
 def _pairs(place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -261,8 +278,15 @@ class _Index:
         self.many_chars = np.bitwise_count(self.by_chars)
         self.many_grams = np.bitwise_count(self.by_grams).sum(axis=0, dtype=np.uint8)
         self.same, self.shared, self.ok = np.empty(16384, np.uint64), np.empty(len(sizes), np.uint8), np.zeros(-(-len(sizes) // 8) * 8, bool)
-        self.short, self.least = self.sizes.astype(np.uint8), -1.0
-        self.guess = [0.0, 100.0]  # of the k-th best ratios: a low and a high one
+        self.short, self.least, self.guess = self.sizes.astype(np.uint8), -1.0, 0.0
+        self.of_ends = [[self.chars.ends(*part, back) for part in parts] for back in (False, True)]
+        self.ends: dict[int, list[np.ndarray]] = {}
+
+    def end(self, size: int) -> list[np.ndarray]:
+        """Bits of the characters of the labels' beginnings and ends of a size."""
+        if size not in self.ends:
+            self.ends[size] = [np.concatenate([of(size) for of in parts]) for parts in self.of_ends]
+        return self.ends[size]
 
     def placed(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Characters by their place in the alphabet; those of no label and what pads a text come after all others."""
@@ -271,28 +295,27 @@ class _Index:
         return np.where(np.arange(codes.shape[1]) < sizes[:, None], at, len(self.alphabet) + 1).astype(self.kind)
 
     def nearest(self, asked: list[str], k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As nearest(), for some texts. Pairs that share enough for a first guess of the k-th best ratio are compared, those of the
-        highest bounds first; where the guess was too high, again from the k-th ratio found."""
+        """As nearest(), for some texts. Pairs that can reach a guess of the k-th best ratio are compared; where it was too high, again
+        from the k-th ratio found."""
         sizes = np.array([len(x) for x in asked])
         place = self.placed(_codes(asked, int(sizes.max())), sizes)
         tables = _Tables(self, place, sizes)
         chars, grams = self.chars.bits(place, sizes), self.grams.bits(place, sizes)
         own = [(np.bitwise_count(x).sum(axis=0, dtype=np.int64) + strange).tolist() for x, strange in (chars, grams)]
+        ends = [np.array([of(size) for size in range(int(sizes.max()) + 1)]) for of in (self.chars.ends(place, sizes, back) for back in (False, True))]
         shorter = np.searchsorted(self.sizes, sizes, "right").tolist()
 
-        def able(n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Labels that share characters and grams enough for a ratio, and how many of each are missing."""
+        def able(n: int, least: float) -> np.ndarray:
+            """Labels that share characters and grams enough with a text for a ratio."""
             if least != self.least:
-                self.least, t, lengths = least, least / 100 - 1e-9, np.arange(65)
-                # Grams that the characters left out of the shorter text, and others put between them, break: as in shared_least().
-                self.allowed = [np.floor(x * lengths + 1e-6).astype(np.uint8) for x in (_gone(t), max(3 * (1 - t), 2 * _gone(t)))]
-                self.needed = self.many_chars - np.minimum(self.many_chars, self.allowed[0].take(self.sizes))
-            b, m, shared, ok = shorter[n], int(sizes[n]), self.shared, self.ok
+                self.least, self.allowed = least, _allowed(least)
+                self.needed = self.many_chars - np.minimum(self.many_chars, self.allowed.chars.take(self.sizes))
+            b, m, shared, ok, allowed = shorter[n], int(sizes[n]), self.shared, self.ok, self.allowed
             for a in range(0, len(shared), 16384):
                 np.bitwise_and(self.by_chars[a : a + 16384], chars[0][0, n], out=self.same[: len(shared) - a])
                 np.bitwise_count(self.same[: len(shared) - a], out=shared[a : a + 16384])
             np.greater_equal(shared[:b], self.needed[:b], out=ok[:b])
-            np.greater_equal(shared[b:], max(0, own[0][n] - int(self.allowed[0][m])), out=ok[b : len(shared)])
+            np.greater_equal(shared[b:], max(0, own[0][n] - int(allowed.chars[m])), out=ok[b : len(shared)])
             eight = np.flatnonzero(ok.view(np.uint64))  # most have none
             at = np.flatnonzero(ok.reshape(-1, 8).take(eight, axis=0))
             at = (eight << 3).take(at >> 3) + (at & 7)
@@ -300,16 +323,20 @@ class _Index:
             lost[(c := int(at.searchsorted(b))) :] = own[1][n]
             for word, x in zip(self.by_grams, grams[0][:, n], strict=True):
                 lost -= np.bitwise_count(word.take(at) & x)
-            ok = (lost <= self.allowed[1].take(np.minimum(self.short.take(at), m))).nonzero()[0]
-            at, c = at.take(ok), int(ok.searchsorted(c))
+            size = np.minimum(self.short.take(at), m)
+            ok = (lost <= allowed.grams.take(size)).nonzero()[0]
+            at, lost, size, c = at.take(ok), lost.take(ok), size.take(ok), int(ok.searchsorted(c))
             missed = self.many_chars.take(at)
             missed[c:] = own[0][n]
-            return at, lost.take(ok), missed - shared.take(at)
-
-        def compared(found: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
-            i, j, score = tables.ratios(i, j, least)
-            keep = score >= threshold
-            return _first(np.concatenate((found, [i[keep], self.order[j[keep]], score[keep]]), axis=1), k, self.groups)
+            missed -= shared.take(at)
+            ok = (missed <= allowed.full_chars.take(size)) & (lost <= allowed.full_grams.take(size))
+            least_size, most = allowed.size.take(size[:c]), allowed.beyond.take(size)
+            bits, given = ~self.by_chars.take(at[:c]), ~chars[0][0, n]
+            for end, label_end in zip(ends, self.end(int(allowed.size[m])) if c < len(at) else (None, None), strict=True):
+                ok[:c] |= np.bitwise_count(end[:, n].take(least_size) & bits) < most[:c]
+                if c < len(at):
+                    ok[c:] |= np.bitwise_count(label_end.take(at[c:]) & given) < most[c:]
+            return at[ok]
 
         def reached(found: np.ndarray, low: np.ndarray) -> np.ndarray:
             """The k-th best ratio where it is over the low one."""
@@ -320,40 +347,51 @@ class _Index:
             out[of] = np.maximum(out[of], found[2][last])
             return out
 
-        size, lack = np.maximum(1, np.arange(65))[:, None], np.arange(65)  # bounds by lengths and what is missing
-        by_chars, by_grams = 100 * _gone(np.minimum(1, lack / size)) + 1e-6, 100 * np.maximum(1 - lack / size / 3, _gone(np.minimum(1, lack / size / 2))) + 1e-6
-        out, which = [np.zeros((3, 0))], np.arange(len(asked))
-        low = np.full(len(asked), max(threshold, self.guess[0]))
+        floor = np.full(len(asked), float(threshold))
+        out, which, low = [np.zeros((3, 0))], np.arange(len(asked)), np.full(len(asked), max(threshold, self.guess))
         while len(which):
             found, waiting, n = np.zeros((3, 0)), [], 0
             for x in [*which.tolist(), None]:
                 if x is not None:
-                    waiting.append((x, *able(x, low[x])))
-                    n += len(waiting[-1][1])
-                if n and (x is None or n >= PAIRS // 4):
-                    of, *some = zip(*waiting, strict=True)
-                    i, (j, lost, missed) = np.repeat(of, [len(at) for at in some[0]]), (np.concatenate(v) for v in some)
-                    size = np.minimum(self.short.take(j), sizes[i])
-                    bound = np.minimum(by_chars.take(size * 65 + missed), by_grams.take(size * 65 + lost))
-                    high = bound >= self.guess[1]
-                    found = compared(found, i[high], j[high], low)
-                    least = reached(found, low)
-                    rest = ~high & (bound >= least[i])
-                    found = compared(found, i[rest], j[rest], least)
+                    at = able(x, low[x])
+                    waiting.append((np.full(len(at), x), at))
+                    n += len(at)
+                if n and (x is None or n >= PAIRS // 16):
+                    i, j, score = tables.ratios(*(np.concatenate(v) for v in zip(*waiting, strict=True)), low)
+                    keep = score >= threshold
+                    found = _first(np.concatenate((found, [i[keep], self.order[j[keep]], score[keep]]), axis=1), k, self.groups)
                     waiting, n = [], 0
-            full = np.bincount(found[0].astype(int), found[2] >= low[found[0].astype(int)], len(asked))
-            done = (full >= k) | (low <= threshold)
-            out.append(found[:, done[found[0].astype(int)]])
-            low = reached(found, np.full(len(asked), float(threshold)))
-            which = which[~done[which]]
+            of = found[0].astype(int)
+            done = (np.bincount(of, found[2] >= low[of], len(asked)) >= k) | (low <= threshold)
+            out.append(found[:, done[of]])
+            low, which = reached(found, floor), which[~done[which]]
         i, j, score = found = _first(np.concatenate(out, axis=1), k, self.groups)
-        self.guess = np.percentile(reached(found, np.full(len(asked), float(threshold))), (8, 80)).tolist()
+        self.guess = float(np.percentile(reached(found, floor), 8))
         return i.astype(int), j.astype(int), score
 
-def _gone(t: np.ndarray | float) -> np.ndarray | float:
-    """The part of the shorter text's characters that may be left out at a ratio, of windows that have all of theirs; and the
-    ratio at which a part may be."""
-    return (2 - 2 * t) / (2 - t)
+
+class _Allowed(NamedTuple):
+    """What may be missing by the length of the shorter text: characters and grams for any window; for windows of its length;
+    the length of the shortest windows, and one more than the characters any shorter window may have beyond the common ones."""
+
+    chars: np.ndarray
+    grams: np.ndarray
+    full_chars: np.ndarray
+    full_grams: np.ndarray
+    size: np.ndarray
+    beyond: np.ndarray
+
+
+def _allowed(least: float) -> _Allowed:
+    """A window of w characters and a text of m with a common subsequence of l have a ratio of 2 l / (m + w). Each of the m - l
+    characters that are left out of the text breaks 2 of its grams at most, and each of the w - l that are put between its
+    characters 1. Windows of fewer than m characters begin or end the longer text, and so do the shortest of these."""
+    m, w = np.arange(65)[:, None], np.arange(65)
+    l = np.ceil((least / 100 - 1e-9) * (m + w) / 2 - 1e-6).astype(int)
+    fits, full = (w <= m) & (l <= w), w == m
+    most = lambda x, of: np.where(of, x, 0).max(axis=1).astype(np.uint8)
+    size = np.where(fits, w, 64).min(axis=1)
+    return _Allowed(most(m - l, fits), most(2 * (m - l) + w - l, fits), most(m - l, full), most(3 * (m - l), full), size, most(w - l + 1, fits & ~full))
 
 
 class _Tables:
