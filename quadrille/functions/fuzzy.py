@@ -173,6 +173,7 @@ def nearest(asked: list[str], labels: list[str], k: int, threshold: float, group
     found, few, given = [np.zeros((3, 0))], fits(asked, True), fits(labels, True)
     if len(few) and len(given):
         index = _Index(of(labels, given), None if groups is None else groups[given])
+        few = few[sorted(range(len(few)), key=lambda n: (len(asked[few[n]]), asked[few[n]]))]  # like ones have like ratios, and like labels
         for first in range(0, len(few), ASKED):
             part = few[first : first + ASKED]
             i, j, score = index.nearest(of(asked, part), k, threshold)
