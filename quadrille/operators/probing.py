@@ -16,8 +16,8 @@ from quadrille.operators.reshape import col
 
 #: Texts of a block that meets a block of others in a task.
 TEXTS = 4096
-#: Most labels of a block, most asked texts and fewest of a block if that gives no more than some blocks, most characters of one.
-LABELS, ASKED, FEW, BLOCKS, CHARS = 1 << 18, 1 << 14, 512, 64, 1 << 23
+#: Most labels of a block; most asked texts of one, but so few that there are some blocks, though no fewer than stated; most characters.
+LABELS, ASKED, BLOCKS, FEW, CHARS = 1 << 18, 1 << 15, 64, 512, 1 << 23
 #: Labels of a dimension that are searched on their own.
 OWN = 512
 
